@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from netweave.llm import url_filter
+from netweave.llm import source_mix, url_filter
 from netweave.session import table
 
 URL_RULES = (
@@ -22,7 +22,12 @@ def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(pages, "page_id", "url", URL_RULES)
 
 
-QUERIES = {"op7_url_filters": op7_url_filters}
+def op9_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    return source_mix.mix(documents, "doc_id", "text", "source").drop("text_key")
+
+
+QUERIES = {"op7_url_filters": op7_url_filters, "op9_source_mix": op9_source_mix}
 
 ORACLE_SQL: dict[str, str] = {}
 ORACLE_SQL["op7_url_filters"] = """
