@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from netweave.llm import source_mix, url_filter
-from netweave.session import table
+from netweave.llm import arc_warc, source_mix, url_filter
+from netweave.session import shared_path, table
 
 URL_RULES = (
     url_filter.Rule("allow", "org", "/"),
@@ -17,6 +17,16 @@ URL_RULES = (
 )
 
 
+def op5_arc_to_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages as ARC archives, these as WARC files, and what is read back."""
+    pages = table(spark, sf_dir, "pages")
+    records = arc_warc.arc_to_warc(arc_warc.pages_to_arc(pages, "page_id", "url", "html"))
+    path = shared_path(spark, "warc")
+    arc_warc.write_warc(arc_warc.mark_revisits(records), path)
+    found = arc_warc.read_warc(spark, path, payloads=False).filter("record_type IN ('response', 'revisit')")
+    return found.select(F.col("capture_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
     return url_filter.filter_urls(pages, "page_id", "url", URL_RULES)
@@ -27,7 +37,7 @@ def op9_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_mix.mix(documents, "doc_id", "text", "source").drop("text_key")
 
 
-QUERIES = {"op7_url_filters": op7_url_filters, "op9_source_mix": op9_source_mix}
+QUERIES = {"op5_arc_to_warc": op5_arc_to_warc, "op7_url_filters": op7_url_filters, "op9_source_mix": op9_source_mix}
 
 ORACLE_SQL: dict[str, str] = {}
 ORACLE_SQL["op7_url_filters"] = """
@@ -53,3 +63,13 @@ flagged AS (
 SELECT best.page_id, host, path, won.rule AS rule, coalesce(won.action, CASE WHEN matched_glob IS NULL THEN 'allow' ELSE 'block' END) AS verdict, matched_glob
 FROM best LEFT JOIN flagged USING (page_id)
 """
+
+ORACLE_SQL["op5_arc_to_warc"] = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+d AS (SELECT page_id, CAST(strlen(html) AS BIGINT) AS payload_bytes, sha256(html) AS payload_digest FROM p),
+f AS (SELECT *, CASE WHEN payload_bytes >= 100 THEN min(page_id) OVER (PARTITION BY payload_digest) ELSE page_id END AS first_id FROM d)
+SELECT page_id, payload_bytes, payload_digest,
+  CASE WHEN first_id = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN first_id <> page_id THEN first_id END AS refers_to
+FROM f
+"""
