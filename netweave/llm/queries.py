@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from netweave.llm import arc_warc, simhash, source_mix, token_counts, url_filter
+from netweave.llm import arc_warc, decontaminate, simhash, source_mix, token_counts, url_filter
 from netweave.session import shared_path, table
 
 URL_RULES = (
@@ -17,6 +17,11 @@ URL_RULES = (
 )
 
 
+def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents, benchmark = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    return decontaminate.contaminated(documents, "doc_id", "text", benchmark, "item_id", "text")
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_sections(table(spark, sf_dir, "documents"), "doc_id", "text")
 
@@ -46,7 +51,7 @@ def op9_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_mix.mix(documents, "doc_id", "text", "source").drop("text_key")
 
 
-QUERIES = {"op3_token_counts": op3_token_counts, "op4_simhash": op4_simhash, "op5_arc_to_warc": op5_arc_to_warc, "op7_url_filters": op7_url_filters, "op9_source_mix": op9_source_mix}
+QUERIES = {"op1_decontaminate": op1_decontaminate, "op3_token_counts": op3_token_counts, "op4_simhash": op4_simhash, "op5_arc_to_warc": op5_arc_to_warc, "op7_url_filters": op7_url_filters, "op9_source_mix": op9_source_mix}
 
 ORACLE_SQL: dict[str, str] = {}
 ORACLE_SQL["op7_url_filters"] = """
