@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from netweave.llm import arc_warc, decontaminate, line_dedup, permutation_index, quality, simhash, source_mix, token_counts, url_filter
+from netweave.llm import arc_warc, decontaminate, html_labeller, line_dedup, permutation_index, quality, simhash, source_mix, token_counts, url_filter
 from netweave.session import shared_path, table
 
 URL_RULES = (
@@ -63,7 +63,11 @@ def op9_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_mix.mix(documents, "doc_id", "text", "source").drop("text_key")
 
 
-QUERIES = {"op1_decontaminate": op1_decontaminate, "op2_quality": op2_quality, "op3_token_counts": op3_token_counts, "op4_simhash": op4_simhash, "op5_arc_to_warc": op5_arc_to_warc, "op6_line_dedup": op6_line_dedup, "op7_url_filters": op7_url_filters, "op8_permutation_index": op8_permutation_index, "op9_source_mix": op9_source_mix}
+def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_labeller.extract(table(spark, sf_dir, "pages"), "page_id", "url", "html")
+
+
+QUERIES = {"op1_decontaminate": op1_decontaminate, "op2_quality": op2_quality, "op3_token_counts": op3_token_counts, "op4_simhash": op4_simhash, "op5_arc_to_warc": op5_arc_to_warc, "op6_line_dedup": op6_line_dedup, "op7_url_filters": op7_url_filters, "op8_permutation_index": op8_permutation_index, "op9_source_mix": op9_source_mix, "op10_html_text": op10_html_text}
 
 ORACLE_SQL: dict[str, str] = {}
 ORACLE_SQL["op7_url_filters"] = """
