@@ -143,7 +143,7 @@ def mix(df: DataFrame, id_col: str, text_col: str, source_col: str, weights: Seq
 
 
 def serve(df: DataFrame, id_col: str, text_col: str, source_col: str, weights: Sequence[int] = (5, 2, 1), repeat: int = 3, seed: int = 0) -> DataFrame:
-    """The rows of df that the mix takes, as often as it takes them, ranged by
+    """The rows of df that the mix takes, as often as it takes them, range-sorted by
     virtual finish time; with the columns ``mix_pass`` and ``mix_finish``."""
     planned = mix(df, id_col, text_col, source_col, weights, repeat, seed).filter("times > 0")
     planned = planned.select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key"), F.col("finish").alias("__finish"), F.col("times").alias("__times"), F.col("source").alias("__source"), (F.col("source_size") / F.col("target")).alias("__pass"))
@@ -153,4 +153,5 @@ def serve(df: DataFrame, id_col: str, text_col: str, source_col: str, weights: S
     same = F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__text_key") == F.col("__key")) & F.col(source_col).eqNullSafe(F.col("__source"))
     joined = rows.join(planned, same & (F.col("__row") == F.col("__nr")))
     copies = joined.withColumn("mix_pass", F.explode(F.sequence(F.lit(0), F.col("__times") - 1))).withColumn("mix_finish", F.col("__finish") + F.col("mix_pass") * F.col("__pass"))
-    return copies.select(*[F.col(f"`{c}`") for c in df.columns], "mix_pass", "mix_finish")
+    served = copies.select(*[F.col(f"`{c}`") for c in df.columns], "mix_pass", "mix_finish")
+    return served.repartitionByRange("mix_finish", id_col).sortWithinPartitions("mix_finish", id_col)
