@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Nominal bores in millimetres of sizes in inches.
@@ -35,7 +35,8 @@ def first_match(text: Column, patterns: Sequence[tuple[str, str]]) -> Column:
 
 def _closest(value: Column, steps: Sequence[tuple[float, float]]) -> Column:
     """The result of the step nearest to a value, the first of equals."""
-    near = F.array(*[F.struct(F.abs(value - F.lit(float(at))).alias("d"), F.lit(i).alias("i"), F.lit(float(out)).alias("out")) for i, (at, out) in enumerate(steps)])
+    known = F.array(*[F.struct(F.lit(float(at)).alias("at"), F.lit(i).alias("i"), F.lit(float(out)).alias("out")) for i, (at, out) in enumerate(steps)])
+    near = F.transform(known, lambda s: F.struct(F.abs(value - s["at"]).alias("d"), s["i"].alias("i"), s["out"].alias("out")))
     return F.when(value.isNotNull(), F.array_min(near)["out"])
 
 
@@ -56,22 +57,21 @@ def next_size(required: Column, current: Column, ladder: Sequence[float]) -> Col
     return F.greatest(current, F.coalesce(F.array_min(F.filter(sizes, lambda v: v >= required)), F.lit(float(max(ladder)))))
 
 
-def parse_label(text: Column, ladder: Sequence[float] | None = None) -> tuple[Column, Column, Column]:
-    """diameter_mm, material and asset of a label: millimetres, else a fraction
-    of inches, else inches, else a bare number from 15 to 2000."""
-    t = F.trim(F.upper(text))
+def parse_labels(df: DataFrame, text: str, ladder: Sequence[float] | None = None) -> DataFrame:
+    """Adds diameter_mm, material and asset of the labels in a column:
+    millimetres, else a fraction of inches, else inches, else a bare number
+    from 15 to 2000. Null labels have none of these."""
+    t, kept = F.col("__t"), df.columns
     number = lambda pattern, group: F.nullif(F.regexp_extract(t, pattern, group), F.lit("")).cast("double")
-    whole, part = F.coalesce(number(_FRACTION, 1), F.lit(0.0)), number(_FRACTION, 2) / F.nullif(number(_FRACTION, 3), F.lit(0.0))
-    bare_whole = F.regexp_extract(t, _FRACTION, 1) == ""
-    inches = F.when(whole != 0, whole + part).when(bare_whole & (part < 1), 1 + part).otherwise(part)
-    bare = number(_BARE, 1)
-    mm = (
-        F.when(t.rlike(_MM), number(_MM, 1))
-        .when(t.rlike(_FRACTION), inch_to_mm(inches, ladder))
-        .when(t.rlike(_INCH), inch_to_mm(number(_INCH, 1), ladder))
-        .when(bare.between(15, 2000), bare)
-    )
-    return mm, first_match(t, MATERIALS), first_match(t, ASSETS)
+    read = df.withColumn("__t", F.trim(F.upper(text))).withColumns({
+        "__mm": number(_MM, 1), "__whole": number(_FRACTION, 1), "__part": number(_FRACTION, 2) / F.nullif(number(_FRACTION, 3), F.lit(0.0)),
+        "__inch": number(_INCH, 1), "__bare": number(_BARE, 1), "material": first_match(t, MATERIALS), "asset": first_match(t, ASSETS),
+    })
+    whole, part = F.col("__whole"), F.col("__part")
+    fraction = F.when(whole != 0, whole + part).when(whole.isNull() & (part < 1), 1 + part).otherwise(part)
+    read = read.withColumn("__inch", F.coalesce(fraction, "__inch"))
+    mm = F.coalesce("__mm", inch_to_mm(F.col("__inch"), ladder), F.when(F.col("__bare").between(15, 2000), F.col("__bare")))
+    return read.withColumn("diameter_mm", mm).select(*kept, "diameter_mm", "material", "asset")
 
 
 def material_name(code: Column) -> Column:

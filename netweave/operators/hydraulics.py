@@ -103,6 +103,41 @@ def tree_flows(tree: DataFrame, demands: DataFrame, peak: float = 1.0) -> DataFr
     return flows.filter("depth > 0").select("node_id", "link_id", (F.col("flow").cast("double") * peak).alias("flow"))
 
 
+def network_trees(nodes: DataFrame, links: DataFrame, roots: DataFrame, peak: float = 1.0) -> DataFrame:
+    """(network_id, node_id, depth, parent, link_id, flow): spanning_tree and
+    tree_flows for many networks at once, each walked by a worker of its own;
+    for networks that fit one. Long chains cost no rounds here.
+
+    nodes: network_id, node_id, demand; links: network_id, link_id, node1, node2;
+    roots: network_id, node_id. Nodes are visited in order of arrival, links of a
+    node in order of their ids; nodes that no root reaches are left out."""
+    rows = nodes.select("network_id", "node_id", F.lit(None).cast("long").alias("link_id"), F.lit(None).cast("long").alias("node2"), F.coalesce("demand", F.lit(0.0)).alias("demand"), F.lit("node").alias("kind"))
+    rows = rows.union(links.select("network_id", "node1", "link_id", "node2", F.lit(0.0), F.lit("link"))).union(roots.select("network_id", "node_id", F.lit(None).cast("long"), F.lit(None).cast("long"), F.lit(0.0), F.lit("root")))
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        around: dict[int, list[tuple[int, int]]] = {}
+        own = pdf[pdf.kind == "link"].sort_values("link_id")
+        for link, a, b in zip(own.link_id.astype(int), own.node_id.astype(int), own.node2.astype(int), strict=True):
+            if a != b:
+                around.setdefault(a, []).append((link, b))
+                around.setdefault(b, []).append((link, a))
+        below = {int(n): float(d) for n, d in zip(pdf[pdf.kind == "node"].node_id, pdf[pdf.kind == "node"].demand, strict=True)}
+        queue = sorted(int(n) for n in pdf[pdf.kind == "root"].node_id)
+        found: dict[int, tuple] = {n: (0, None, None) for n in queue}
+        for n in queue:
+            for link, other in around.get(n, ()):
+                if other not in found:
+                    found[other] = (found[n][0] + 1, n, link)
+                    queue.append(other)
+        for n in reversed(queue):
+            if found[n][1] is not None:
+                below[found[n][1]] = below.get(found[n][1], 0.0) + below.get(n, 0.0)
+        out = pd.DataFrame([(n, *found[n], below.get(n, 0.0) * peak) for n in queue], columns=["node_id", "depth", "parent", "link_id", "flow"])
+        return out.assign(network_id=pdf.network_id.iloc[0])[["network_id", "node_id", "depth", "parent", "link_id", "flow"]].astype({"parent": "Int64", "link_id": "Int64"})
+
+    return rows.groupBy("network_id").applyInPandas(run, "network_id long, node_id long, depth int, parent long, link_id long, flow double")
+
+
 def reachable(links: DataFrame, roots: DataFrame, src: str = "node1", dst: str = "node2", key: str = "link_id") -> DataFrame:
     """(node_id) that a root reaches."""
     return spanning_tree(links, roots, src, dst, key).select("node_id")

@@ -1 +1,53 @@
-"""Queries."""
+"""Exports, summaries and readings."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from netweave.functions import labels
+from netweave.operators import hydraulics
+from netweave.plans.fixtures import BASE, PIPES, net_nodes, net_pipes
+from netweave.plans.registry import query
+from netweave.session import table
+from netweave.sources import export
+from netweave.streaming import readings
+
+
+@query("geojson_features", f"""WITH {BASE} SELECT '{{"type":"Feature","properties":{{"node_id":' || node_id || ',"degree":' || degree || ',"node_type":"' || node_type || '","deep":' || CAST(degree > 2 AS INTEGER) || '}},"geometry":{{"type":"Point","coordinates":[' || CAST(node_id AS DOUBLE) / 8 || ',' || CAST(degree AS DOUBLE) / 4 || ']}}}}' AS feature FROM nodes""")
+def geojson_features(spark, sf_dir):
+    nodes = net_nodes(spark, sf_dir).withColumn("deep", F.col("degree") > 2)
+    return export.geojson_points(nodes, ["node_id", "degree", "absent", "node_type", "deep"], F.col("node_id") / 8, F.col("degree") / 4)
+
+
+@query("inp_lines", f"""WITH {BASE}, {PIPES}, src AS (SELECT node_id FROM (SELECT node1 AS node_id, y1 AS y FROM pipes WHERE diameter_mm = (SELECT max(diameter_mm) FROM pipes) UNION ALL SELECT node2, y2 FROM pipes WHERE diameter_mm = (SELECT max(diameter_mm) FROM pipes)) ORDER BY y DESC, node_id LIMIT 1)
+  SELECT 'JUNCTIONS' AS section, concat_ws(chr(9), 'J' || node_id, CAST(CAST(elevation_m AS DECIMAL(28,4)) AS VARCHAR), CAST(CAST(demand_lps AS DECIMAL(28,6)) AS VARCHAR), 'PEAK') AS line FROM nodes
+  UNION ALL SELECT 'PIPES', concat_ws(chr(9), 'P' || link_id, 'J' || node1, 'J' || node2, CAST(CAST(floor(length_m) AS DECIMAL(28,3)) AS VARCHAR), CAST(CAST(diameter_mm AS DECIMAL(28,2)) AS VARCHAR), '110.0', '0', 'OPEN') FROM pipes
+  UNION ALL SELECT 'PIPES', 'P_SRC' || chr(9) || 'R1' || chr(9) || 'J' || node_id || chr(9) || '25' || chr(9) || '300' || chr(9) || '130' || chr(9) || '0' || chr(9) || 'OPEN' FROM src
+  UNION ALL SELECT 'COORDINATES', concat_ws(chr(9), 'J' || node_id, CAST(CAST(x AS DECIMAL(28,3)) AS VARCHAR), CAST(CAST(y AS DECIMAL(28,3)) AS VARCHAR)) FROM nodes
+  UNION ALL SELECT * FROM (VALUES ('JUNCTIONS', '[JUNCTIONS]'), ('RESERVOIRS', '[RESERVOIRS]'), ('RESERVOIRS', 'R1' || chr(9) || '111.7000'), ('PIPES', '[PIPES]'), ('PATTERNS', '[PATTERNS]'), ('PATTERNS', 'PEAK' || chr(9) || '2.5'), ('TIMES', '[TIMES]'), ('TIMES', 'DURATION' || chr(9) || '0'), ('OPTIONS', '[OPTIONS]'), ('OPTIONS', 'UNITS' || chr(9) || 'LPS'), ('OPTIONS', 'HEADLOSS' || chr(9) || 'H-W'), ('OPTIONS', 'ACCURACY' || chr(9) || '0.001'), ('COORDINATES', '[COORDINATES]'), ('END', '[END]'))""")
+def inp_lines(spark, sf_dir):
+    pipes = net_pipes(spark, sf_dir)
+    sized = pipes.withColumn("length_m", F.floor("length_m").cast("double")).withColumn("roughness", labels.roughness(F.lit("UNK")))
+    return export.inp_lines(net_nodes(spark, sf_dir), sized, hydraulics.pick_source(pipes), 2.5, 111.7).select("section", "line")
+
+
+@query("observation_medians", "SELECT event_type AS property, 'U' || user_id AS station, date_trunc('minute', ts) AS start, quantile_cont(floor(value), 0.5) AS median, count(*) AS n FROM events GROUP BY ALL")
+def observation_medians(spark, sf_dir):
+    return readings.medians(_readings(spark, sf_dir)).select("property", "station", "start", "median", "n")
+
+
+def _readings(spark, sf_dir):
+    return table(spark, sf_dir, "events").select(F.concat(F.lit("U"), "user_id").alias("station"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").alias("property"), F.floor("value").cast("double").alias("value"))
+
+
+@query("observation_breaches", "WITH m AS (SELECT event_type AS property, 'U' || user_id AS station, date_trunc('minute', ts) AS start, quantile_cont(floor(value), 0.5) AS median, count(*) AS n FROM events GROUP BY ALL), r(property, low, high) AS (VALUES ('click', 10.0, 60.0), ('view', NULL, 50.0), ('purchase', 20.0, NULL)) SELECT station, m.property, start, median, n, CASE WHEN median < low THEN 'low' ELSE 'high' END AS side FROM m JOIN r USING (property) WHERE median < low OR median > high")
+def observation_breaches(spark, sf_dir):
+    ranges = readings.permissible(spark, {"click": (10.0, 60.0), "view": (None, 50.0), "purchase": (20.0, None)})
+    return readings.breaches(observation_medians(spark, sf_dir), ranges)
+
+
+@query("network_report", f"WITH {BASE}, {PIPES} SELECT (SELECT count(*) FROM nodes) AS n_nodes, (SELECT count(*) FROM pipes) AS n_pipes, (SELECT CAST(sum(CAST(demand_lps AS DECIMAL(28,6))) AS DOUBLE) FROM nodes) AS demand_lps, (SELECT max(pressure_m) FROM nodes) AS pressure_max")
+def network_report(spark, sf_dir):
+    nodes, pipes = net_nodes(spark, sf_dir), net_pipes(spark, sf_dir)
+    figures = nodes.agg(F.count("*").alias("n_nodes"), F.sum(F.col("demand_lps").cast("decimal(28,6)")).cast("double").alias("demand_lps"), F.max("pressure_m").alias("pressure_max"))
+    return figures.crossJoin(pipes.agg(F.count("*").alias("n_pipes"))).select("n_nodes", "n_pipes", "demand_lps", "pressure_max")  # one row each

@@ -1 +1,229 @@
-"""Queries."""
+"""Degrees, components, trees, cleaning, sizing and the solve."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from netweave.functions import labels
+from netweave.operators import georeference, hydraulics, noding, topology, zones
+from netweave.operators.components import connected_components
+from netweave.plans.fixtures import BASE, LADDER, PIPES, memo, net_links, net_nodes, net_pipes
+from netweave.plans.registry import query
+from netweave.plans.scalar_queries import LABELS, _snap, read_labels
+from netweave.session import table
+
+
+@query("degree_map", f"WITH {BASE} SELECT node_id, degree FROM deg")
+def degree_map(spark, sf_dir):
+    return topology.degree_map(net_links(spark, sf_dir), "node1", "node2")
+
+
+@query("degree_histogram", f"WITH {BASE} SELECT degree, count(*) AS n FROM deg GROUP BY degree")
+def degree_histogram(spark, sf_dir):
+    return degree_map(spark, sf_dir).groupBy("degree").agg(F.count("*").alias("n"))
+
+
+@query("node_class", f"WITH {BASE} SELECT node_id, degree, node_type FROM nodes")
+def node_class(spark, sf_dir):
+    return net_nodes(spark, sf_dir).select("node_id", "degree", topology.node_class(F.col("degree")).alias("node_type"))
+
+
+@query("endpoint_ids", f"WITH {BASE}, {PIPES}, spots AS (SELECT x, y, row_number() OVER (ORDER BY x, y) AS nr FROM (SELECT x1 AS x, y1 AS y FROM pipes UNION SELECT x2, y2 FROM pipes)) SELECT link_id, 'J' || a.nr AS from_id, 'J' || b.nr AS to_id FROM pipes JOIN spots a ON a.x = x1 AND a.y = y1 JOIN spots b ON b.x = x2 AND b.y = y2")
+def endpoint_ids(spark, sf_dir):
+    pipes = net_pipes(spark, sf_dir)
+    tips = pipes.select(F.explode(F.array(F.struct(F.col("x1").alias("x"), F.col("y1").alias("y")), F.struct(F.col("x2").alias("x"), F.col("y2").alias("y")))).alias("p"))
+    spots = topology.number(tips.select("p.x", "p.y").distinct(), ["x", "y"], "nr")
+    for end, name in (("1", "from_id"), ("2", "to_id")):
+        kx, ky = topology.grid_key(F.col(f"x{end}"), F.col(f"y{end}"))
+        sx, sy = topology.grid_key(F.col("x"), F.col("y"))
+        own = spots.select(sx.alias("kx"), sy.alias("ky"), F.concat(F.lit("J"), "nr").alias(name))
+        pipes = pipes.withColumns({"kx": kx, "ky": ky}).join(own, ["kx", "ky"]).drop("kx", "ky")
+    return pipes.select("link_id", "from_id", "to_id")
+
+
+WALK = f"""WITH RECURSIVE {BASE}, both_ways AS (SELECT node1 AS a, node2 AS b FROM links UNION ALL SELECT node2, node1 FROM links),
+  walk AS (SELECT node_id AS node, node_id AS component FROM deg UNION SELECT b, component FROM walk JOIN both_ways ON a = node),
+  comp AS (SELECT node, min(component) AS component FROM walk GROUP BY node) """
+
+
+@query("components", WALK + "SELECT node, component FROM comp")
+def components(spark, sf_dir):
+    return connected_components(net_links(spark, sf_dir), "node1", "node2")
+
+
+@query("components_by_size", WALK + "SELECT component, count(*) AS n_nodes FROM comp GROUP BY component")
+def components_by_size(spark, sf_dir):
+    return topology.components_by_size(net_links(spark, sf_dir))
+
+
+@query("largest_component", WALK + ", best AS (SELECT component FROM comp GROUP BY component ORDER BY count(*) DESC, component LIMIT 1) SELECT link_id, node1, node2 FROM links JOIN comp ON node = node1 JOIN best USING (component)")
+def largest_component(spark, sf_dir):
+    return topology.largest_component(net_links(spark, sf_dir)).select("link_id", "node1", "node2")
+
+
+@query("reachability", f"WITH RECURSIVE {BASE}, both_ways AS (SELECT node1 AS a, node2 AS b FROM links UNION ALL SELECT node2, node1 FROM links), walk AS (SELECT CAST(5 AS BIGINT) AS node_id UNION SELECT b FROM walk JOIN both_ways ON a = node_id) SELECT node_id FROM walk")
+def reachability(spark, sf_dir):
+    root = spark.createDataFrame([(5,)], "node_id long")
+    return hydraulics.reachable(net_links(spark, sf_dir), root)
+
+
+@query("unreachable_nodes", f"WITH RECURSIVE {BASE}, both_ways AS (SELECT node1 AS a, node2 AS b FROM links UNION ALL SELECT node2, node1 FROM links), walk AS (SELECT CAST(5 AS BIGINT) AS node_id UNION SELECT b FROM walk JOIN both_ways ON a = node_id) SELECT node_id FROM nodes WHERE node_id NOT IN (SELECT node_id FROM walk)")
+def unreachable_nodes(spark, sf_dir):
+    return net_nodes(spark, sf_dir).select("node_id").join(reachability(spark, sf_dir), "node_id", "left_anti")
+
+
+@query("spatial_clusters", f"""WITH RECURSIVE {BASE}, few AS (SELECT * FROM nodes WHERE node_id % 5 = 0), near AS (SELECT a.node_id AS a, b.node_id AS b FROM few a JOIN few b ON sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) <= 40),
+  walk AS (SELECT node_id, node_id AS c FROM few UNION SELECT b, c FROM walk JOIN near ON a = node_id) SELECT node_id, min(c) AS spatial_cluster FROM walk GROUP BY node_id""")
+def spatial_clusters(spark, sf_dir):
+    from netweave.operators.spatial import radius_pairs
+
+    few = net_nodes(spark, sf_dir).filter("node_id % 5 = 0").select("node_id", "x", "y")
+    found = connected_components(radius_pairs(few, "node_id", 40.0), "a", "b")
+    return few.join(found, few["node_id"] == found["node"], "left").select("node_id", F.coalesce("component", "node_id").alias("spatial_cluster"))
+
+
+def roots(spark, sf_dir):
+    return net_nodes(spark, sf_dir).groupBy("cluster").agg(F.min("node_id").alias("node_id"))
+
+
+@memo
+def tree(spark, sf_dir):
+    nodes, links = net_nodes(spark, sf_dir), net_pipes(spark, sf_dir)
+    return hydraulics.network_trees(nodes.select(F.col("cluster").alias("network_id"), "node_id", F.col("demand_lps").alias("demand")), links.select(F.col("cluster").alias("network_id"), "link_id", "node1", "node2"), roots(spark, sf_dir).select(F.col("cluster").alias("network_id"), "node_id"), 2.5)
+
+
+@query("bfs_tree", f"""WITH RECURSIVE {BASE}, both_ways AS (SELECT node1 AS a, node2 AS b, link_id FROM links UNION ALL SELECT node2, node1, link_id FROM links),
+  walk AS (SELECT min(node_id) AS node_id, 0 AS depth FROM nodes GROUP BY cluster UNION SELECT b, depth + 1 FROM walk JOIN both_ways ON a = node_id WHERE depth < 90)
+  SELECT node_id, CAST(min(depth) AS INTEGER) AS depth FROM walk GROUP BY node_id""")
+def bfs_tree(spark, sf_dir):
+    return tree(spark, sf_dir).select("node_id", "depth")
+
+
+@query("bfs_tree_flow")
+def bfs_tree_flow(spark, sf_dir):
+    """Demand below each tree link; conservation is held in the tests."""
+    return tree(spark, sf_dir).filter("depth > 0").select("node_id", "parent", "link_id", "flow")
+
+
+@query("diameter_assign", f"""WITH {BASE}, {PIPES}, {LABELS}, spots AS (SELECT id, diameter_mm AS mm, material AS m, (id * 7919 % 10007) / CAST(10 AS DOUBLE) AS x, (id * 31 % 1009) * 1.0::DOUBLE AS y FROM read WHERE diameter_mm IS NOT NULL),
+  mids AS (SELECT link_id, (x1 + x2) / 2 AS x, (y1 + y2) / 2 AS y FROM pipes),
+  near AS (SELECT link_id, min(struct_pack(d := sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)), id := b.id)) AS best FROM mids a JOIN spots b ON sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) <= 60 GROUP BY link_id),
+  sized AS (SELECT pipes.link_id, coalesce(mm, 50) AS raw_mm, CASE WHEN best IS NULL THEN 'UNK' ELSE coalesce(m, 'UNK') END AS material, best.d AS label_distance_m, best IS NOT NULL AS diameter_from_cad, a.degree = 1 OR b.degree = 1 AS free
+    FROM pipes LEFT JOIN near USING (link_id) LEFT JOIN spots ON spots.id = best.id JOIN deg a ON a.node_id = node1 JOIN deg b ON b.node_id = node2)
+  SELECT link_id, material, label_distance_m, diameter_from_cad, CAST(raw_mm AS DOUBLE) AS diameter_raw_mm, CAST(CASE WHEN free THEN least(raw_mm, 50) ELSE raw_mm END AS DOUBLE) AS diameter_capped_mm, {_snap("CASE WHEN free THEN least(raw_mm, 50) ELSE raw_mm END")} AS diameter_mm FROM sized""")
+def diameter_assign(spark, sf_dir):
+    points = read_labels(spark, sf_dir).select(F.col("id").alias("label_id"), ((F.col("id") * 7919) % 10007 / F.lit(10.0)).alias("x"), (F.col("id") * 31 % 1009).cast("double").alias("y"), "diameter_mm", "material")
+    found = hydraulics.assign_diameters(net_pipes(spark, sf_dir), points, LADDER)
+    return found.select("link_id", "material", "label_distance_m", "diameter_from_cad", "diameter_raw_mm", "diameter_capped_mm", "diameter_mm")
+
+
+@query("raise_undersized", f"WITH {BASE}, {PIPES}, need AS (SELECT link_id, diameter_mm AS was_mm, sqrt(4 * (abs(CAST(link_id % 60 AS DOUBLE)) / 1000) / (pi() * 1.5)) * 1000 AS need FROM pipes) SELECT link_id, was_mm, greatest(was_mm, coalesce(list_min(list_filter([{', '.join(f'{v}::DOUBLE' for v in LADDER)}], lambda v: v >= need)), 400)) AS diameter_mm FROM need")
+def raise_undersized(spark, sf_dir):
+    pipes = net_pipes(spark, sf_dir).withColumn("flow_lps", (F.col("link_id") % 60).cast("double"))
+    return pipes.select("link_id", F.col("diameter_mm").alias("was_mm"), hydraulics.raise_undersized(pipes, LADDER).alias("diameter_mm"))
+
+
+@query("pick_source", f"WITH {BASE}, {PIPES}, w AS (SELECT * FROM pipes WHERE diameter_mm = (SELECT max(diameter_mm) FROM pipes)) SELECT node_id, x, y FROM (SELECT node1 AS node_id, x1 AS x, y1 AS y FROM w UNION ALL SELECT node2, x2, y2 FROM w) ORDER BY y DESC, node_id LIMIT 1")
+def pick_source(spark, sf_dir):
+    return hydraulics.pick_source(net_pipes(spark, sf_dir))
+
+
+@memo
+def solved(spark, sf_dir):
+    nodes = net_nodes(spark, sf_dir).select(F.col("cluster").alias("network_id"), "node_id", (F.col("elevation_m") / 100).alias("elevation_m"), (F.col("demand_lps") / 100).alias("demand_lps"))
+    code = F.element_at(F.array(*[F.lit(m) for m in labels.ROUGHNESS]), (F.col("link_id") % len(labels.ROUGHNESS) + 1).cast("int"))
+    pipes = net_pipes(spark, sf_dir).select(F.col("cluster").alias("network_id"), "link_id", "node1", "node2", "length_m", "diameter_mm", labels.roughness(code).alias("roughness"))
+    return hydraulics.solve(nodes, pipes, roots(spark, sf_dir).select(F.col("cluster").alias("network_id"), "node_id"), peak=2.5)
+
+
+@query("hydraulic_solve")
+def hydraulic_solve(spark, sf_dir):
+    """Every nation's network; mass balance and losses are held in the tests."""
+    return solved(spark, sf_dir)
+
+
+@query("source_head_calibration")
+def source_head_calibration(spark, sf_dir):
+    heads = solved(spark, sf_dir)
+    return heads.groupBy("network_id").agg(F.max(F.when(F.col("kind") == "source", F.col("head_m"))).alias("source_head_m"), F.min("pressure_m").alias("least_pressure_m"))
+
+
+@query("fast_pipes")
+def fast_pipes(spark, sf_dir):
+    """The eight fastest pipes of all networks."""
+    return solved(spark, sf_dir).filter("kind = 'pipe'").orderBy(F.desc("velocity_ms"), "id").limit(8).select("network_id", "id", "velocity_ms")
+
+
+@query("network_problems", f"WITH {BASE}, {PIPES} SELECT 'length' AS problem, CAST(link_id AS VARCHAR) AS id FROM pipes WHERE length_m <= 0 UNION ALL SELECT 'no pipe', CAST(node_id AS VARCHAR) FROM nodes WHERE node_id NOT IN (SELECT node1 FROM pipes UNION SELECT node2 FROM pipes) UNION ALL SELECT 'diameter', CAST(link_id AS VARCHAR) FROM pipes WHERE diameter_mm <= 0")
+def network_problems(spark, sf_dir):
+    return hydraulics.check_network(net_nodes(spark, sf_dir), net_pipes(spark, sf_dir))
+
+
+@query("prune_dangles")
+def prune_dangles(spark, sf_dir):
+    """Free short links go, again and again; the tests compare a plain loop."""
+    return topology.prune_dangles(net_pipes(spark, sf_dir), 400.0).select("link_id", "node1", "node2")
+
+
+def chords(spark, sf_dir):
+    point = lambda x, y: F.struct(F.col(x).alias("x"), F.col(y).alias("y"))
+    return net_pipes(spark, sf_dir).filter("cluster <= 3").select(F.col("link_id").alias("line_id"), F.array(point("x1", "y1"), point("x2", "y2")).alias("points"))
+
+
+@query("weld_endpoints")
+def weld_endpoints(spark, sf_dir):
+    """Ends within 15 m of each other meet; the tests compare all pairs."""
+    return topology.weld(chords(spark, sf_dir), 15.0)
+
+
+@query("split_rings")
+def split_rings(spark, sf_dir):
+    corner = lambda dx, dy: F.struct((F.col("x") + dx).alias("x"), (F.col("y") + dy).alias("y"))
+    rings = net_nodes(spark, sf_dir).select(F.col("node_id").alias("line_id"), F.array(corner(0, 0), corner(9, 0), corner(9, 9), corner(0, 9), corner(0, 0)).alias("points"))
+    return topology.split_rings(rings)
+
+
+@query("contract_short")
+def contract_short(spark, sf_dir):
+    links, _ = topology.merge_short(net_pipes(spark, sf_dir), net_nodes(spark, sf_dir), 60.0)
+    return links.select("link_id", "node1", "node2")
+
+
+@query("bridge_islands")
+def bridge_islands(spark, sf_dir):
+    """Connectors that join the nations' networks; one less than components."""
+    return topology.bridge_islands(net_links(spark, sf_dir), net_nodes(spark, sf_dir), 150.0)
+
+
+@query("node_and_merge")
+def node_and_merge(spark, sf_dir):
+    """Chords of three nations cut at every crossing, then chains merged."""
+    pieces = noding.node(noding.segments(chords(spark, sf_dir)), 100.0)
+    spots = pieces.select(F.explode(F.array(F.struct(F.col("ax").alias("x"), F.col("ay").alias("y")), F.struct(F.col("bx").alias("x"), F.col("by").alias("y")))).alias("p")).select("p.x", "p.y").distinct()
+    spots = topology.number(spots, ["x", "y"], "node_id")
+    a, b = spots.toDF("ax", "ay", "node1"), spots.toDF("bx", "by", "node2")
+    length = F.sqrt((F.col("bx") - F.col("ax")) ** 2 + (F.col("by") - F.col("ay")) ** 2)
+    return noding.merge_chains(pieces.join(a, ["ax", "ay"]).join(b, ["bx", "by"]).select("link_id", "node1", "node2", length.alias("length_m")))
+
+
+@query("kmeans_zones")
+def kmeans_zones(spark, sf_dir):
+    """Five zones; every node is at its nearest centre, which the tests check."""
+    zoned, _ = zones.kmeans_zones(net_nodes(spark, sf_dir).select("node_id", "x", "y"), ["x", "y"], k=5, starts=2)
+    return zoned.select("node_id", "cluster")
+
+
+@query("registration_grid")
+def registration_grid(spark, sf_dir):
+    """Finds the shift between an outline and a boundary of the same shape."""
+    shape = [(0.0, 0.0), (900.0, 50.0), (800.0, 700.0), (350.0, 500.0), (60.0, 900.0)]
+    moved = [(x + 210.0, y - 135.0) for x, y in shape]
+    found = georeference.register(spark, shape, moved, reach=120.0, step=40.0)
+    return spark.createDataFrame([(found["dx"], found["dy"], found["iou"], found["contrast"])], "dx double, dy double, iou double, contrast double")
+
+
+@query("cluster_choice", "SELECT c_mktsegment AS best FROM customer GROUP BY 1 ORDER BY CAST(count(*) FILTER (c_acctbal > 0) AS DOUBLE) / count(*) DESC, count(*) DESC LIMIT 1")
+def cluster_choice(spark, sf_dir):
+    """The cluster with the largest share inside, of equals the longest."""
+    stats = table(spark, sf_dir, "customer").groupBy("c_mktsegment").agg((F.count_if(F.col("c_acctbal") > 0) / F.count("*")).alias("share"), F.count("*").alias("length"))
+    return stats.agg(F.max_by("c_mktsegment", F.struct("share", "length")).alias("best"))
