@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from netweave.functions import geometry, labels
 from netweave.operators import hydraulics, topology
-from netweave.plans.fixtures import BASE, LADDER, PIPES, label_sql, net_nodes, net_pipes
+from netweave.plans.fixtures import BASE, LADDER, PIPES, label_sql, memo, net_nodes, net_pipes
 from netweave.plans.registry import query
 from netweave.session import table
 from netweave.sources import layers
@@ -35,6 +35,7 @@ read AS (SELECT id, raw, t,
   {_CASES(labels.MATERIALS)} AS material, {_CASES(labels.ASSETS)} AS asset FROM inches)"""
 
 
+@memo
 def read_labels(spark, sf_dir):
     return labels.parse_labels(table(spark, sf_dir, "part").selectExpr("p_partkey AS id", f"{label_sql()} AS raw"), "raw")
 
