@@ -13,10 +13,10 @@ DataFrame operations only. Lines of a band are verified against its first
 line, so a family of n similar lines costs n comparisons. Bands that this leaves
 with lines of different components are mostly lines that share a passage and
 little else; their lines are banded again by longer bands, which tell such lines
-apart, and verified against the first lines of these. No band's lines are paired
-off with each other, so a passage that very many lines share costs no more than
-its lines. A pair stays unlinked only if it is alike in no band whose first line
-it resembles; the tests count how many that are.
+apart, and verified against one line of each of these. What is still mixed then
+is compared whole: a band's lines are cut into blocks, and of every two blocks
+all lines of different components are compared by their signatures, and exactly
+where these allow it. So no link between lines that share a band is lost.
 
 Defined results: null texts have no lines and stay null; rows that repeat id and
 text are one document; null ids come after all others; lines are compared
@@ -26,6 +26,7 @@ whole, however long.
 from __future__ import annotations
 
 import random
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -39,6 +40,8 @@ SHINGLE, BANDS, BAND_ROWS, SIMILARITY = 8, 8, 3, 0.8
 FINE_GROUPS, FINE_BANDS, FINE_ROWS = 5, 4, 6
 #: A pair is fetched and verified if this share of its signature's places agree: 0.8 are expected at similarity 0.8, and fewer than half of 24 come twice in ten thousand times.
 AGREE = 0.5
+#: Lines of a mixed band that are compared at once, and the share of a second signature's places that must agree then: at similarity 0.8 fewer than 70 of 120 come once in fifty million times.
+BLOCK, FINE_AGREE = 512, 70 / 120
 #: Bits of a sieve: 16 MB.
 BITS = 1 << 27
 
@@ -74,17 +77,63 @@ def _places(number: int) -> list[Column]:
     return [F.min(F.col("h").bitwiseXOR(F.lit(points.getrandbits(64) - (1 << 63)).cast("long"))).alias(f"s{i}") for i in range(number)]
 
 
-def _bands(bands: int, band_rows: int, *more: Column) -> Column:
-    return F.explode(F.array(*[F.xxhash64(F.lit(b), *more, *[f"s{b * band_rows + r}" for r in range(band_rows)]) for b in range(bands)])).alias("band")
+def _band_keys(bands: int, band_rows: int, *more: Column) -> list[Column]:
+    return [F.xxhash64(F.lit(b), *more, *[f"s{b * band_rows + r}" for r in range(band_rows)]) for b in range(bands)]
 
 
-def _led(banded: DataFrame) -> DataFrame:
+def _bands(bands: int, band_rows: int) -> Column:
+    return F.explode(F.array(*_band_keys(bands, band_rows))).alias("band")
+
+
+def led(banded: DataFrame, spread: bool = False) -> DataFrame:
     """(band, h1, lead) of the bands with two lines or more: lead is the
-    smallest. Most lines share no band and are sifted out before the join."""
-    leads = banded.groupBy("band").agg(F.min("h1").alias("lead"), F.max("h1").alias("last")).filter("lead != last").select("band", "lead")
+    smallest, with spread another for each band of the same lines. Most lines
+    share no band and are sifted out before the join."""
+    mask = F.col("band") if spread else F.lit(0).cast("long")
+    rank = F.col("h1").bitwiseXOR(mask)
+    leads = banded.groupBy("band").agg(F.min(rank).alias("lead"), F.max(rank).alias("last")).filter("lead != last").select("band", F.col("lead").bitwiseXOR(mask).alias("lead"))
     return _sieve(banded, leads, "band").join(leads, "band")
 
 
+def stars(members: DataFrame) -> DataFrame:
+    """(src, dst): every line of a band with the band's lead."""
+    return members.filter("h1 != lead").select(F.col("h1").alias("src"), F.col("lead").alias("dst")).distinct()
+
+
+def extended(reached: DataFrame, links: DataFrame) -> DataFrame:
+    """reached, (node, component), with the components that links join as one:
+    only the graph of the components is searched."""
+    ends = links.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
+    known = cut(ends.join(reached, "node", "full").select("node", F.coalesce("component", "node").alias("component")))
+    between = links.join(known.toDF("src", "a"), "src").join(known.toDF("dst", "b"), "dst").filter("a != b").select("a", "b")
+    joined = connected_components(between, "a", "b").toDF("component", "root")
+    return cut(known.join(joined, "component", "left").select("node", F.coalesce("root", "component").alias("component")))
+
+
+def mixed(members: DataFrame, reached: DataFrame) -> DataFrame:
+    """(band, h1, root, blocks) of the bands with lines of different components."""
+    rooted = members.join(reached, members["h1"] == reached["node"], "left").select("band", "h1", F.coalesce("component", "h1").alias("root"))
+    bands = rooted.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    return rooted.join(bands.filter("low != high").select("band", "blocks"), "band")
+
+
+def across(rows: DataFrame, signs: DataFrame, places: int, agree: float, similarity: float) -> DataFrame:
+    """(src, dst): all lines of one mixed band and different components whose
+    sizes and signatures (h1, n, w0, w1 ...) allow the similarity. Every two
+    blocks of a band meet under a key of their own, and only the pairs that the
+    signatures allow leave the join."""
+    rows = rows.join(signs, "h1").withColumn("own", F.pmod(F.xxhash64("h1"), F.col("blocks")).cast("int"))
+    kept = ["h1", "root", *(c for c in signs.columns if c != "h1")]
+    one = rows.withColumn("other", F.explode(F.sequence(F.col("own"), F.col("blocks") - 1)))
+    two = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("own"))))
+    one = one.select(F.xxhash64("band", "own", "other").alias("cell"), (F.col("own") == F.col("other")).alias("same"), *[F.col(c).alias(f"src_{c}") for c in kept])
+    two = two.select(F.xxhash64("band", "other", "own").alias("at"), *[F.col(c).alias(f"dst_{c}") for c in kept])
+    apart = (F.col("src_root") != F.col("dst_root")) & (~F.col("same") | (F.col("src_h1") < F.col("dst_h1")))
+    alike = (F.least("src_n", "dst_n") >= similarity * F.greatest("src_n", "dst_n")) & (_agreeing(places) >= agree * places)
+    found = one.join(two, (F.col("cell") == F.col("at")) & apart & alike)
+    return found.select(F.greatest("src_h1", "dst_h1").alias("src"), F.least("src_h1", "dst_h1").alias("dst")).distinct()
+
+
 def _bit(key: str) -> Column:
     return F.pmod(F.col(key), F.lit(BITS)) + 1
 
@@ -100,7 +149,7 @@ def _sieve(rows: DataFrame, keys: DataFrame, key: str) -> DataFrame:
     return found.filter(F.getbit(byte, (place % 8).cast("int")) == 1).select(*rows.columns)
 
 
-def _packed(places: int) -> list[Column]:
+def packed(places: int) -> list[Column]:
     """A byte of each place, eight to a long."""
     lanes = [F.shiftleft(F.col(f"s{i}").bitwiseAND(F.lit(255)), 8 * (i % 8)) for i in range(places)]
     out = []
@@ -123,51 +172,54 @@ def _agreeing(places: int) -> Column:
     return out
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, shingle: int, places: int, similarity: float) -> DataFrame:
-    """The pairs (src, dst) whose sets' Jaccard similarity is at least that.
-    Sizes and signatures rule most others out before texts are fetched."""
+def verified(pairs: DataFrame, texts: DataFrame, column: str, hashes: Callable[[Column], Column], places: int, similarity: float) -> DataFrame:
+    """The pairs (src, dst) whose sets' Jaccard similarity is at least that;
+    hashes makes a set of what the texts have in column. Sizes and signatures
+    rule most others out before texts are fetched."""
 
     def member(own: str, *columns: str) -> DataFrame:
         return texts.select(F.col("h1").alias(own), *[F.col(c).alias(f"{own}_{c}") for c in columns])
 
-    def shingles(own: str) -> Column:
-        chars = F.col(f"{own}_chars")
-        count = F.greatest(F.octet_length(chars) / 2 - shingle, F.lit(0)).cast("int")
-        return F.transform(F.sequence(F.lit(0), count), lambda i: F.xxhash64(F.substring(chars, i * 2 + 1, F.lit(2 * shingle))))
-
     words = [f"w{k}" for k in range(-(-places // 8))]
     near = pairs.join(member("src", "n", *words), "src").join(member("dst", "n", *words), "dst")
     near = near.filter((F.least("src_n", "dst_n") >= similarity * F.greatest("src_n", "dst_n")) & (_agreeing(places) >= AGREE * places)).select("src", "dst", "src_n", "dst_n")
-    joined = near.join(member("src", "chars"), "src").join(member("dst", "chars"), "dst")
-    shared = F.size(F.array_intersect(shingles("src"), shingles("dst")))
+    joined = near.join(member("src", column), "src").join(member("dst", column), "dst")
+    shared = F.size(F.array_intersect(hashes(F.col(f"src_{column}")), hashes(F.col(f"dst_{column}"))))
     return joined.filter(shared * (1 + similarity) >= similarity * (F.col("src_n") + F.col("dst_n"))).select("src", "dst")
 
 
+def _shingles(chars: Column, shingle: int) -> Column:
+    count = F.greatest(F.octet_length(chars) / 2 - shingle, F.lit(0)).cast("int")
+    return F.transform(F.sequence(F.lit(0), count), lambda i: F.xxhash64(F.substring(chars, i * 2 + 1, F.lit(2 * shingle))))
+
+
 def similar_lines(lines: DataFrame, shingle: int = SHINGLE, bands: int = BANDS, band_rows: int = BAND_ROWS, similarity: float = SIMILARITY) -> DataFrame:
     """(h1, h2, component) of the distinct lines that are similar to some other.
     Lines whose 64-bit hashes collide, which h2 tells, take no part."""
     places = bands * band_rows
     chars = lines.select("h1", "h2", F.encode("line", "UTF-16BE").alias("chars"))
     signed = _spread(chars, shingle, "h1", "h2").groupBy("h1").agg(F.min("h2").alias("low"), F.max("h2").alias("high"), *_places(places)).filter("low = high")
-    members = stored(_led(signed.select("h1", _bands(bands, band_rows))), "members")
+    members = stored(led(signed.select("h1", _bands(bands, band_rows))), "members")
     wanted = members.select("h1").distinct()
     texts = _sieve(chars, wanted, "h1").groupBy("h1").agg(F.first("h2").alias("h2"), F.first("chars").alias("chars")).join(wanted, "h1", "left_semi")
     n = F.size(F.array_distinct(F.transform(F.sequence(F.lit(0), _count(shingle)), lambda i: _hash(i, shingle))))
-    packed = _spread(texts, shingle, "h1").groupBy("h1").agg(*_places(places)).select("h1", *_packed(places))
-    texts = stored(texts.withColumn("n", n).join(packed, "h1"), "texts")
+    words = _spread(texts, shingle, "h1").groupBy("h1").agg(*_places(places)).select("h1", *packed(places))
+    texts = stored(texts.withColumn("n", n).join(words, "h1"), "texts")
 
-    def linked(led: DataFrame) -> DataFrame:
-        stars = led.filter("h1 != lead").select(F.col("h1").alias("src"), F.col("lead").alias("dst")).distinct()
-        return cut(_verified(stars, texts, shingle, places, similarity))
+    def linked(pairs: DataFrame) -> DataFrame:
+        return cut(verified(pairs, texts, "chars", lambda chars: _shingles(chars, shingle), places, similarity))
 
-    found = linked(members)
-    reached = connected_components(found)
-    rooted = members.join(reached, members["h1"] == reached["node"], "left").select("band", "h1", F.coalesce("component", "h1").alias("root"))
-    mixed = rooted.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low != high").select("band")
-    unsure = texts.join(rooted.join(mixed, "band", "left_semi").select("h1").distinct(), "h1", "left_semi")
+    reached = connected_components(linked(stars(members)))
+    unsure = texts.join(mixed(members, reached).select("h1").distinct(), "h1", "left_semi")
     groups = _spread(unsure, shingle, "h1").withColumn("g", F.explode(F.sequence(F.lit(1), F.lit(FINE_GROUPS)))).select("h1", "g", F.xxhash64("g", "h").alias("h"))
-    fine = groups.groupBy("h1", "g").agg(*_places(FINE_BANDS * FINE_ROWS)).select("h1", _bands(FINE_BANDS, FINE_ROWS, F.col("g")))
-    joined = connected_components(found.union(linked(_led(fine))))
+    fine_places = FINE_BANDS * FINE_ROWS
+    fine = stored(groups.groupBy("h1", "g").agg(*_places(fine_places)).select("h1", "g", F.array(*_band_keys(FINE_BANDS, FINE_ROWS, F.col("g"))).alias("bands"), *packed(fine_places)), "fine")
+    reached = extended(reached, linked(stars(led(fine.select("h1", F.explode("bands").alias("band")), spread=True))))
+    rest = cut(mixed(members, reached))
+    lanes = fine_places // 8
+    signs = [F.max(F.when(F.col("g") == g + 1, F.col(f"w{k}"))).alias(f"w{g * lanes + k}") for g in range(FINE_GROUPS) for k in range(lanes)]
+    signs = fine.join(rest.select("h1").distinct(), "h1", "left_semi").groupBy("h1").agg(*signs).join(texts.select("h1", "n"), "h1")
+    joined = extended(reached, linked(across(rest, signs, FINE_GROUPS * fine_places, FINE_AGREE, similarity)))
     return cut(joined.join(texts.select("h1", "h2"), joined["node"] == texts["h1"]).select("h1", "h2", "component"))
 
 

@@ -52,9 +52,12 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def stored(df: DataFrame, label: str = "stored") -> DataFrame:
-    """Like cut, as a compressed table: for frames that are large or read often."""
+    """Like cut, as a compressed table: for frames that are large or read often.
+    The driver then collects its garbage, since Spark keeps the shuffle files of
+    what is written until that happens."""
     path = shared_path(df.sparkSession, label)
     df.write.option("compression", "zstd").parquet(path)
+    df.sparkSession.sparkContext._jvm.System.gc()
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

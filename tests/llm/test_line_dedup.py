@@ -110,3 +110,22 @@ def test_components(spark):
             root[y] = x
     assert got == {x: find(x) for x in root}
     assert connected_components(spark.createDataFrame([], "src long, dst long")).count() == 0
+
+
+def test_templated_lines(spark):
+    """Many lines of which six sevenths are the same, so no line leads them all, and pairs among them at 0.8 and above."""
+    r = random.Random(11)
+    draw = lambda n: "".join(r.choices("abcdefghijklmnopqrstuvwxyz", k=n))
+    common, lines, planted = draw(138), [], []
+    for _ in range(1600):
+        lines.append(common + draw(29))
+    for i in range(200):
+        planted.append((lines[i], lines[i][:-r.randint(8, 11)]))
+        lines.append(planted[-1][1] + draw(len(lines[i]) - len(planted[-1][1])))
+    rows = list(enumerate(lines))
+    want = keepers(rows)
+    assert 1000 < len(want) < len(lines) - 150
+    got = d.line_report(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text").collect()
+    kept = {r.doc_id for r in got if r.n_kept}
+    true = {doc[1] for doc, _ in want}
+    assert true <= kept and len(kept - true) <= 0.01 * (len(lines) - len(true))
