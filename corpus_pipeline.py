@@ -5,7 +5,7 @@ Every stage is a function of (session, documents, folder of the tables) and
 returns documents; ``run`` writes each result as Parquet to the shared folder
 and reads it again for the next, so a lost executor costs one stage at most.
 
-SQL cannot express the stages (a learned scorer, MinHash, SimHash), so there is
+SQL cannot express the stages (a learned scorer, MinHash), so there is
 no ORACLE_SQL; tests/llm holds the stages against brute force.
 """
 
@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from netweave.llm import decontaminate, line_dedup, quality, simhash, source_mix
+from netweave.llm import decontaminate, line_dedup, quality, source_mix, word_dedup
 from netweave.session import shared_path, table
 
 ORACLE_SQL = None
@@ -33,8 +33,9 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates."""
-    return simhash.keep_first(docs, "doc_id", "text")
+    """One document of each group of near-duplicates: those linked by a Jaccard
+    similarity of their five-word shingles of 0.8 or more."""
+    return word_dedup.keep_first(docs, "doc_id", "text")
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
