@@ -167,7 +167,7 @@ def prune_dangles(spark, sf_dir):
 
 def chords(spark, sf_dir):
     point = lambda x, y: F.struct(F.col(x).alias("x"), F.col(y).alias("y"))
-    return net_pipes(spark, sf_dir).filter("cluster <= 3").select(F.col("link_id").alias("line_id"), F.array(point("x1", "y1"), point("x2", "y2")).alias("points"))
+    return net_pipes(spark, sf_dir).select(F.col("link_id").alias("line_id"), F.array(point("x1", "y1"), point("x2", "y2")).alias("points"))
 
 
 @query("weld_endpoints")
@@ -197,7 +197,7 @@ def bridge_islands(spark, sf_dir):
 
 @query("node_and_merge")
 def node_and_merge(spark, sf_dir):
-    """Chords of three nations cut at every crossing, then chains merged."""
+    """Chords of all nations cut at every crossing, then chains merged."""
     pieces = noding.node(noding.segments(chords(spark, sf_dir)), 100.0)
     spots = pieces.select(F.explode(F.array(F.struct(F.col("ax").alias("x"), F.col("ay").alias("y")), F.struct(F.col("bx").alias("x"), F.col("by").alias("y")))).alias("p")).select("p.x", "p.y").distinct()
     spots = topology.number(spots, ["x", "y"], "node_id")
