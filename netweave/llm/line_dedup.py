@@ -38,8 +38,8 @@ from netweave.session import cut, stored
 SHINGLE, BANDS, BAND_ROWS, SIMILARITY = 8, 8, 3, 0.8
 #: Lines of a band that stay apart are banded again, this many groups of bands of more rows: 0.998 of pairs at similarity 0.8 share one.
 FINE_GROUPS, FINE_BANDS, FINE_ROWS = 5, 4, 6
-#: A pair is fetched and verified if this share of its signature's places agree: 0.8 are expected at similarity 0.8, and fewer than half of 24 come twice in ten thousand times.
-AGREE = 0.5
+#: A pair is fetched and verified if this share of its signature's places agree: 0.8 are expected at similarity 0.8, and fewer than 8 of 24 come once in ten million times.
+AGREE = 1 / 3
 #: Lines of a mixed band that are compared at once, and the share of a second signature's places that must agree then: at similarity 0.8 fewer than 70 of 120 come once in fifty million times.
 BLOCK, FINE_AGREE = 512, 70 / 120
 #: Bits of a sieve: 16 MB.

@@ -129,3 +129,12 @@ def test_templated_lines(spark):
     kept = {r.doc_id for r in got if r.n_kept}
     true = {doc[1] for doc, _ in want}
     assert true <= kept and len(kept - true) <= 0.01 * (len(lines) - len(true))
+
+
+def test_few_places_agree(spark):
+    """Two lines at similarity 0.808 that share a band, but only 11 of the 24 places."""
+    common = "dkeymrqaujppjlpoifoumigypnychudfwdqeitlwonrrfxfdbmllgtbbbwavpbsdaaroqrqaivjyhudqmthaeuntneuobkzpevbryezjeprknyvwcdduprmyxbepglupifyvhmdgoltpgybbyrtvpe"
+    lines = [common + "dxapxdxogxfbjhuvhg", common + "mpprhizjiisajukte"]
+    assert len(grams(lines[0]) & grams(lines[1])) >= 0.8 * len(grams(lines[0]) | grams(lines[1]))
+    df = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    assert sum(x.n_kept for x in d.line_report(df, "doc_id", "text").collect()) == 1
