@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
 import uuid
+from functools import lru_cache
 
+from pyspark import SparkContext
 from pyspark.sql import DataFrame, SparkSession
 
 DEFAULTS = {
@@ -30,36 +33,62 @@ def local_session(cores: int | str = "*", partitions: int = 8, memory: str = "8g
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
-    The cluster names it in ``spark.checkpoint.dir``; one of our own is set
-    only where that is unset, as in tests on one machine.
+    The cluster names it in ``spark.checkpoint.dir``. Only where that is unset
+    and the driver is the only machine, as in tests, it is one of our own.
     """
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         named = spark.conf.get("spark.checkpoint.dir", None)
+        if named is None and not context.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         context.setCheckpointDir(named or os.path.join(tempfile.gettempdir(), "netweave-checkpoints"))
     return context.getCheckpointDir()
 
 
-def shared_path(spark: SparkSession, label: str) -> str:
-    """A fresh path in the shared folder."""
-    return f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
+@lru_cache(maxsize=8)
+def _own_folder(folder: str, application: str) -> str:
+    """A folder for one application's tables, which goes when it ends."""
+    path = f"{folder}/netweave-{application}"
+    atexit.register(_delete, path)
+    return path
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Materialise a frame in the shared folder and cut its lineage."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+def _delete(path: str) -> None:
+    context = SparkContext._active_spark_context
+    if context is not None and context._jsc is not None:
+        place = context._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(context._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def shared_path(spark: SparkSession, label: str) -> str:
+    """A fresh path in the shared folder."""
+    return f"{_own_folder(shared_folder(spark), spark.sparkContext.applicationId)}/{label}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, label: str = "stored") -> DataFrame:
-    """Like cut, as a compressed table: for frames that are large or read often.
-    The driver then collects its garbage, since Spark keeps the shuffle files of
-    what is written until that happens."""
+def stored(df: DataFrame, label: str = "stored", collect: bool = True) -> DataFrame:
+    """df as a compressed table in the shared folder, which cuts its lineage: a
+    lost executor costs what came after it. With collect the driver then collects its
+    garbage, since Spark keeps the shuffle files of what is written until that
+    happens."""
     path = shared_path(df.sparkSession, label)
     df.write.option("compression", "zstd").parquet(path)
-    df.sparkSession.sparkContext._jvm.System.gc()
+    if collect:
+        df.sparkSession.sparkContext._jvm.System.gc()
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def cut(df: DataFrame) -> DataFrame:
+    """Like stored, for frames that are small. A table also leaves behind what the
+    optimiser has inferred, which in loops grows with every round and which a
+    checkpoint would carry on."""
+    return stored(df, "cut", collect=False)
+
+
+def release(df: DataFrame) -> None:
+    """Delete the table that stored or cut has written, which nothing may read any more."""
+    for path in {os.path.dirname(file) for file in df.inputFiles()}:
+        _delete(path)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
