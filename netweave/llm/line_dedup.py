@@ -7,220 +7,108 @@ each of bands x band_rows fixed points, the shingle hash nearest to it (in
 exclusive-or order, which is a minimum over a random order). Lines that agree in
 a whole band are candidates, exact Jaccard similarity decides, and connected
 components of the links keep one line each: the first by document id, then by
-place in the document. Blank lines are no lines and stay.
+place in the document. Blank lines are no lines and stay. Two lines exactly at a
+similarity of 0.8 share a band with probability 0.997.
 
-DataFrame operations only. Lines of a band are verified against its first
-line, so a family of n similar lines costs n comparisons. Bands that this leaves
-with lines of different components are mostly lines that share a passage and
-little else; their lines are banded again by longer bands, which tell such lines
-apart, and verified against one line of each of these. What is still mixed then
-is compared whole: a band's lines are cut into blocks, and of every two blocks
-all lines of different components are compared by their signatures, and exactly
-where these allow it. So no link between lines that share a band is lost.
+DataFrame operations only. Lines of a band are verified against the band's lead,
+so a family of n similar lines costs n comparisons; lines of a band that this
+leaves in different components are compared with each other (``similarity.py``),
+so no link between lines that share a band is lost.
 
 Defined results: null texts have no lines and stay null; rows that repeat id and
 text are one document; null ids come after all others; lines are compared
-whole, however long.
+whole, however long; other columns may have any name.
 """
 
 from __future__ import annotations
 
 import random
-from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from netweave.llm import similarity as near
 from netweave.llm.rows import row_keys
-from netweave.operators.components import connected_components
-from netweave.session import cut, stored
+from netweave.session import stored
 
 SHINGLE, BANDS, BAND_ROWS, SIMILARITY = 8, 8, 3, 0.8
-#: Lines of a band that stay apart are banded again, this many groups of bands of more rows: 0.998 of pairs at similarity 0.8 share one.
-FINE_GROUPS, FINE_BANDS, FINE_ROWS = 5, 4, 6
-#: A pair is fetched and verified if this share of its signature's places agree: 0.8 are expected at similarity 0.8, and fewer than 8 of 24 come once in ten million times.
-AGREE = 1 / 3
-#: Lines of a mixed band that are compared at once, and the share of a second signature's places that must agree then: at similarity 0.8 fewer than 70 of 120 come once in fifty million times.
-BLOCK, FINE_AGREE = 512, 70 / 120
-#: Bits of a sieve: 16 MB.
-BITS = 1 << 27
+#: Shingles hashed at once, in one row.
+STEP = 4
+_WHITE = " \t\x0b\f\r"
 
 
 def normal(line: Column) -> Column:
-    return F.trim(F.regexp_replace(F.lower(line), r"\s+", " "))
+    odd = reduce(Column.__or__, [F.contains(line, F.lit(white)) for white in ("  ", *_WHITE[1:])])
+    return F.trim(F.when(odd, F.regexp_replace(F.lower(line), r"\s+", " ")).otherwise(F.lower(line)))
+
+
+def blank(line: Column) -> Column:
+    return F.trim(line, F.lit(_WHITE)) == ""
 
 
 def lines_of(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(doc_id, __k1, __k2, pos, h1, h2, line): the lines that are not blank."""
-    rows = df.select(F.col(id_col).alias("doc_id"), *row_keys(id_col, text_col), F.posexplode(F.split(F.col(text_col), "\n")).alias("pos", "line"))
-    rows = rows.withColumn("line", normal(F.col("line"))).filter("line != ''")
+    rows = df.select(F.col(f"`{id_col}`").alias("doc_id"), *row_keys(id_col, text_col), F.posexplode(F.split(F.col(f"`{text_col}`"), "\n")).alias("pos", "line"))
+    rows = rows.filter(~blank(F.col("line"))).withColumn("line", normal(F.col("line")))
     return rows.withColumn("h1", F.xxhash64("line")).withColumn("h2", F.xxhash64(F.lit(2), "line"))
 
 
-def _count(shingle: int) -> Column:
-    return F.greatest(F.octet_length("chars") / 2 - shingle, F.lit(0)).cast("int")
-
-
-def _hash(at: Column, shingle: int) -> Column:
-    return F.xxhash64(F.substring(F.col("chars"), at * 2 + 1, F.lit(2 * shingle)))
-
-
-def _spread(lines: DataFrame, shingle: int, *keys: str) -> DataFrame:
-    """A row for each shingle of (keys, chars): chars has two bytes a character,
+def _last(chars: Column, shingle: int) -> Column:
+    """Where the last shingle begins, from 1: chars has two bytes a character,
     so a shingle is a slice of it."""
-    return lines.select(*keys, "chars", F.explode(F.sequence(F.lit(0), _count(shingle))).alias("at")).select(*keys, _hash(F.col("at"), shingle).alias("h"))
-
-
-def _places(number: int) -> list[Column]:
-    """Of a set's hashes the one nearest to each of so many fixed points."""
-    points = random.Random(42)
-    return [F.min(F.col("h").bitwiseXOR(F.lit(points.getrandbits(64) - (1 << 63)).cast("long"))).alias(f"s{i}") for i in range(number)]
-
-
-def _band_keys(bands: int, band_rows: int, *more: Column) -> list[Column]:
-    return [F.xxhash64(F.lit(b), *more, *[f"s{b * band_rows + r}" for r in range(band_rows)]) for b in range(bands)]
-
-
-def _bands(bands: int, band_rows: int) -> Column:
-    return F.explode(F.array(*_band_keys(bands, band_rows))).alias("band")
-
-
-def led(banded: DataFrame, spread: bool = False) -> DataFrame:
-    """(band, h1, lead) of the bands with two lines or more: lead is the
-    smallest, with spread another for each band of the same lines. Most lines
-    share no band and are sifted out before the join."""
-    mask = F.col("band") if spread else F.lit(0).cast("long")
-    rank = F.col("h1").bitwiseXOR(mask)
-    leads = banded.groupBy("band").agg(F.min(rank).alias("lead"), F.max(rank).alias("last")).filter("lead != last").select("band", F.col("lead").bitwiseXOR(mask).alias("lead"))
-    return _sieve(banded, leads, "band").join(leads, "band")
-
-
-def stars(members: DataFrame) -> DataFrame:
-    """(src, dst): every line of a band with the band's lead."""
-    return members.filter("h1 != lead").select(F.col("h1").alias("src"), F.col("lead").alias("dst")).distinct()
-
+    return F.greatest(F.octet_length(chars) - 2 * shingle, F.lit(0)) + 1
 
-def extended(reached: DataFrame, links: DataFrame) -> DataFrame:
-    """reached, (node, component), with the components that links join as one:
-    only the graph of the components is searched."""
-    ends = links.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
-    known = cut(ends.join(reached, "node", "full").select("node", F.coalesce("component", "node").alias("component")))
-    between = links.join(known.toDF("src", "a"), "src").join(known.toDF("dst", "b"), "dst").filter("a != b").select("a", "b")
-    joined = connected_components(between, "a", "b").toDF("component", "root")
-    return cut(known.join(joined, "component", "left").select("node", F.coalesce("root", "component").alias("component")))
 
+def _hash(chars: Column, at: Column, shingle: int) -> Column:
+    return F.xxhash64(F.substring(chars, at, F.lit(2 * shingle)))
 
-def mixed(members: DataFrame, reached: DataFrame) -> DataFrame:
-    """(band, h1, root, blocks) of the bands with lines of different components."""
-    rooted = members.join(reached, members["h1"] == reached["node"], "left").select("band", "h1", F.coalesce("component", "h1").alias("root"))
-    bands = rooted.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    return rooted.join(bands.filter("low != high").select("band", "blocks"), "band")
 
+def _spread(lines: DataFrame, shingle: int, step: int, *keys: str) -> DataFrame:
+    """Rows of so many shingles ``e0``, ``e1`` ... of (keys, chars), the last of
+    a line repeated where there are no more."""
+    chars, last = F.col("chars"), F.col("last")
+    rows = lines.select(*keys, "chars").withColumn("last", _last(chars, shingle))
+    rows = rows.withColumn("at", F.explode(F.sequence(F.lit(1), last, F.lit(2 * step))))
+    return rows.select(*keys, *[_hash(chars, F.least(F.col("at") + 2 * i, last), shingle).alias(f"e{i}") for i in range(step)])
 
-def across(rows: DataFrame, signs: DataFrame, places: int, agree: float, similarity: float) -> DataFrame:
-    """(src, dst): all lines of one mixed band and different components whose
-    sizes and signatures (h1, n, w0, w1 ...) allow the similarity. Every two
-    blocks of a band meet under a key of their own, and only the pairs that the
-    signatures allow leave the join."""
-    rows = rows.join(signs, "h1").withColumn("own", F.pmod(F.xxhash64("h1"), F.col("blocks")).cast("int"))
-    kept = ["h1", "root", *(c for c in signs.columns if c != "h1")]
-    one = rows.withColumn("other", F.explode(F.sequence(F.col("own"), F.col("blocks") - 1)))
-    two = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("own"))))
-    one = one.select(F.xxhash64("band", "own", "other").alias("cell"), (F.col("own") == F.col("other")).alias("same"), *[F.col(c).alias(f"src_{c}") for c in kept])
-    two = two.select(F.xxhash64("band", "other", "own").alias("at"), *[F.col(c).alias(f"dst_{c}") for c in kept])
-    apart = (F.col("src_root") != F.col("dst_root")) & (~F.col("same") | (F.col("src_h1") < F.col("dst_h1")))
-    alike = (F.least("src_n", "dst_n") >= similarity * F.greatest("src_n", "dst_n")) & (_agreeing(places) >= agree * places)
-    found = one.join(two, (F.col("cell") == F.col("at")) & apart & alike)
-    return found.select(F.greatest("src_h1", "dst_h1").alias("src"), F.least("src_h1", "dst_h1").alias("dst")).distinct()
 
-
-def _bit(key: str) -> Column:
-    return F.pmod(F.col(key), F.lit(BITS)) + 1
-
-
-def _sieve(rows: DataFrame, keys: DataFrame, key: str) -> DataFrame:
-    """The rows whose key may be among keys: by a bitmap of BITS bits, which is
-    all that is broadcast, however many keys there are. It lets some others
-    through, so a join follows; it saves shuffling most of the rows."""
-    bits = keys.groupBy(F.bitmap_bucket_number(_bit(key)).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(_bit(key))).alias("bitmap"))
-    place = F.bitmap_bit_position(_bit(key))
-    byte = F.conv(F.hex(F.substring(F.col("bitmap"), (F.floor(place / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
-    found = rows.join(F.broadcast(bits), F.bitmap_bucket_number(_bit(key)) == F.col("bucket"))
-    return found.filter(F.getbit(byte, (place % 8).cast("int")) == 1).select(*rows.columns)
-
-
-def packed(places: int) -> list[Column]:
-    """A byte of each place, eight to a long."""
-    lanes = [F.shiftleft(F.col(f"s{i}").bitwiseAND(F.lit(255)), 8 * (i % 8)) for i in range(places)]
-    out = []
-    for at in range(0, places, 8):
-        word = lanes[at]
-        for lane in lanes[at + 1 : at + 8]:
-            word = word.bitwiseOR(lane)
-        out.append(word.alias(f"w{at // 8}"))
-    return out
-
-
-def _agreeing(places: int) -> Column:
-    """How many places of src and dst have the same byte."""
-    out = F.lit(places)
-    for k in range(-(-places // 8)):
-        x = F.col(f"src_w{k}").bitwiseXOR(F.col(f"dst_w{k}"))
-        for shift in (4, 2, 1):
-            x = x.bitwiseOR(F.shiftrightunsigned(x, shift))
-        out = out - F.bit_count(x.bitwiseAND(F.lit(0x0101010101010101)))
-    return out
-
-
-def verified(pairs: DataFrame, texts: DataFrame, column: str, hashes: Callable[[Column], Column], places: int, similarity: float) -> DataFrame:
-    """The pairs (src, dst) whose sets' Jaccard similarity is at least that;
-    hashes makes a set of what the texts have in column. Sizes and signatures
-    rule most others out before texts are fetched."""
-
-    def member(own: str, *columns: str) -> DataFrame:
-        return texts.select(F.col("h1").alias(own), *[F.col(c).alias(f"{own}_{c}") for c in columns])
-
-    words = [f"w{k}" for k in range(-(-places // 8))]
-    near = pairs.join(member("src", "n", *words), "src").join(member("dst", "n", *words), "dst")
-    near = near.filter((F.least("src_n", "dst_n") >= similarity * F.greatest("src_n", "dst_n")) & (_agreeing(places) >= AGREE * places)).select("src", "dst", "src_n", "dst_n")
-    joined = near.join(member("src", column), "src").join(member("dst", column), "dst")
-    shared = F.size(F.array_intersect(hashes(F.col(f"src_{column}")), hashes(F.col(f"dst_{column}"))))
-    return joined.filter(shared * (1 + similarity) >= similarity * (F.col("src_n") + F.col("dst_n"))).select("src", "dst")
+def _shingles(chars: Column, shingle: int) -> Column:
+    return F.transform(F.sequence(F.lit(1), _last(chars, shingle), F.lit(2)), lambda at: _hash(chars, at, shingle))
 
 
-def _shingles(chars: Column, shingle: int) -> Column:
-    count = F.greatest(F.octet_length(chars) / 2 - shingle, F.lit(0)).cast("int")
-    return F.transform(F.sequence(F.lit(0), count), lambda i: F.xxhash64(F.substring(chars, i * 2 + 1, F.lit(2 * shingle))))
+def _signed(lines: DataFrame, shingle: int, bands: int, band_rows: int) -> DataFrame:
+    """(h1, low, high, bands) of (h1, h2, chars): the bands of each h1, with the
+    smallest and largest h2."""
+    points = random.Random(42)
+    points = [F.lit(points.getrandbits(64) - (1 << 63)).cast("long") for _ in range(bands * band_rows)]
+    places = [F.min(F.least(*[F.col(f"e{i}").bitwiseXOR(p) for i in range(STEP)])).alias(f"s{k}") for k, p in enumerate(points)]
+    signed = _spread(lines, shingle, STEP, "h1", "h2").groupBy("h1").agg(F.min("h2").alias("low"), F.max("h2").alias("high"), *places)
+    keys = [F.xxhash64(F.lit(b), *[f"s{b * band_rows + r}" for r in range(band_rows)]) for b in range(bands)]
+    return signed.select("h1", "low", "high", F.array(*keys).alias("bands"))
 
 
 def similar_lines(lines: DataFrame, shingle: int = SHINGLE, bands: int = BANDS, band_rows: int = BAND_ROWS, similarity: float = SIMILARITY) -> DataFrame:
-    """(h1, h2, component) of the distinct lines that are similar to some other.
-    Lines whose 64-bit hashes collide, which h2 tells, take no part."""
-    places = bands * band_rows
-    chars = lines.select("h1", "h2", F.encode("line", "UTF-16BE").alias("chars"))
-    signed = _spread(chars, shingle, "h1", "h2").groupBy("h1").agg(F.min("h2").alias("low"), F.max("h2").alias("high"), *_places(places)).filter("low = high")
-    members = stored(led(signed.select("h1", _bands(bands, band_rows))), "members")
-    wanted = members.select("h1").distinct()
-    texts = _sieve(chars, wanted, "h1").groupBy("h1").agg(F.first("h2").alias("h2"), F.first("chars").alias("chars")).join(wanted, "h1", "left_semi")
-    n = F.size(F.array_distinct(F.transform(F.sequence(F.lit(0), _count(shingle)), lambda i: _hash(i, shingle))))
-    words = _spread(texts, shingle, "h1").groupBy("h1").agg(*_places(places)).select("h1", *packed(places))
-    texts = stored(texts.withColumn("n", n).join(words, "h1"), "texts")
-
-    def linked(pairs: DataFrame) -> DataFrame:
-        return cut(verified(pairs, texts, "chars", lambda chars: _shingles(chars, shingle), places, similarity))
-
-    reached = connected_components(linked(stars(members)))
-    unsure = texts.join(mixed(members, reached).select("h1").distinct(), "h1", "left_semi")
-    groups = _spread(unsure, shingle, "h1").withColumn("g", F.explode(F.sequence(F.lit(1), F.lit(FINE_GROUPS)))).select("h1", "g", F.xxhash64("g", "h").alias("h"))
-    fine_places = FINE_BANDS * FINE_ROWS
-    fine = stored(groups.groupBy("h1", "g").agg(*_places(fine_places)).select("h1", "g", F.array(*_band_keys(FINE_BANDS, FINE_ROWS, F.col("g"))).alias("bands"), *packed(fine_places)), "fine")
-    reached = extended(reached, linked(stars(led(fine.select("h1", F.explode("bands").alias("band")), spread=True))))
-    rest = cut(mixed(members, reached))
-    lanes = fine_places // 8
-    signs = [F.max(F.when(F.col("g") == g + 1, F.col(f"w{k}"))).alias(f"w{g * lanes + k}") for g in range(FINE_GROUPS) for k in range(lanes)]
-    signs = fine.join(rest.select("h1").distinct(), "h1", "left_semi").groupBy("h1").agg(*signs).join(texts.select("h1", "n"), "h1")
-    joined = extended(reached, linked(across(rest, signs, FINE_GROUPS * fine_places, FINE_AGREE, similarity)))
-    return cut(joined.join(texts.select("h1", "h2"), joined["node"] == texts["h1"]).select("h1", "h2", "component"))
+    """(h1, h2, component) of the distinct lines of (line) that are similar to
+    some other. Should two lines have the same h1, which h2 tells, the search
+    knows them by other numbers."""
+    known = lines.select("line").distinct().select(F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(2), "line").alias("h2"), "line")
+    known = stored(known, "distinct").select("h1", "h2", F.col("h1").alias("own"), F.encode("line", "UTF-16BE").alias("chars"))
+    signed = stored(_signed(known, shingle, bands, band_rows), "signed")
+    clashing = signed.filter("low != high").select("h1")
+    renamed = known.join(clashing, "h1", "left_semi").withColumn("h1", F.xxhash64("h2", "h1"))
+    signed = signed.filter("low = high").union(_signed(renamed, shingle, bands, band_rows))
+    members = stored(near.led(signed.select("h1", F.explode("bands").alias("band"))), "members")
+    wanted = members.select(F.explode(F.array("src", "dst")).alias("h1")).distinct()
+    texts = known.join(clashing, "h1", "left_anti").unionByName(renamed).join(wanted, "h1", "left_semi")
+    sketches = _spread(texts, shingle, 1, "h1").withColumnRenamed("e0", "element").groupBy("h1").agg(F.count("*").alias("size"), *near.sketch())
+    texts = stored(texts.join(sketches, "h1"), "texts")
+
+    def elements(items: DataFrame) -> DataFrame:
+        return _spread(texts.join(items, "h1"), shingle, 1, "h1", "root").withColumnRenamed("e0", "element").distinct()
+
+    found = near.components(members, texts, "chars", lambda chars: _shingles(chars, shingle), elements, similarity)
+    return texts.join(found, texts["h1"] == found["node"]).select(F.col("own").alias("h1"), "h2", "component")
 
 
 def kept_lines(lines: DataFrame, components: DataFrame) -> DataFrame:
@@ -236,13 +124,17 @@ def kept_lines(lines: DataFrame, components: DataFrame) -> DataFrame:
     return kept.select("__k1", "__k2", F.size("kept").alias("__n_kept"), F.flatten(F.transform("kept", lambda p, i: F.concat(F.array_repeat(F.lit(False), gap(p, i)), F.array(F.lit(True))))).alias("__flags"))
 
 
+def _flags(df: DataFrame, id_col: str, text_col: str, **how) -> DataFrame:
+    lines = stored(lines_of(df, id_col, text_col), "lines")
+    return kept_lines(lines.drop("line"), similar_lines(lines, **how))
+
+
 def line_report(df: DataFrame, id_col: str, text_col: str, **how) -> DataFrame:
     """Per document (doc_id, n_lines, n_kept, removed): removed has the places
     of the lines that go, from 0, blank lines counted."""
-    lines = lines_of(df, id_col, text_col)
-    flags = kept_lines(lines, similar_lines(lines, **how))
-    blank = F.transform(F.split(F.col(text_col), "\n"), lambda line: normal(line) == "")
-    docs = df.select(F.col(id_col).alias("doc_id"), *row_keys(id_col, text_col), F.coalesce(blank, F.array().cast("array<boolean>")).alias("blank"))
+    flags = _flags(df, id_col, text_col, **how)
+    empty = F.transform(F.split(F.col(f"`{text_col}`"), "\n"), blank)
+    docs = df.select(F.col(f"`{id_col}`").alias("doc_id"), *row_keys(id_col, text_col), F.coalesce(empty, F.array().cast("array<boolean>")).alias("blank"))
     docs = docs.groupBy("__k1", "__k2").agg(F.first("doc_id").alias("doc_id"), F.first("blank").alias("blank"))
     joined = docs.join(flags, ["__k1", "__k2"], "left")
     places = F.filter(F.sequence(F.lit(0), F.size("blank") - 1), lambda i: ~F.get("blank", i) & ~F.coalesce(F.get("__flags", i), F.lit(False)))
@@ -256,13 +148,12 @@ def dedup_lines(df: DataFrame, id_col: str, text_col: str, drop_emptied: bool =
     """df with the lines that go taken out of its texts, each document once.
     With drop_emptied, documents all of whose lines go are left out; those that
     had none stay as they are."""
-    lines = lines_of(df, id_col, text_col)
-    flags = kept_lines(lines, similar_lines(lines, **how))
-    columns = [F.col(f"`{c}`") for c in df.columns]
-    keyed = df.select(*columns, *row_keys(id_col, text_col))
+    flags = _flags(df, id_col, text_col, **how)
+    keyed = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("__row"), *row_keys(id_col, text_col))
     joined = keyed.join(flags, ["__k1", "__k2"], "left").dropDuplicates(["__k1", "__k2"])
-    left = F.filter(F.split(F.col(text_col), "\n"), lambda line, i: (normal(line) == "") | F.coalesce(F.get("__flags", i), F.lit(False)))
-    text = F.when(F.col(text_col).isNotNull(), F.array_join(left, "\n"))
+    whole = F.col("__row")[text_col]
+    left = F.filter(F.split(whole, "\n"), lambda line, i: blank(line) | F.coalesce(F.get("__flags", i), F.lit(False)))
+    text = F.when(whole.isNotNull(), F.array_join(left, "\n"))
     if drop_emptied:
-        joined = joined.filter(F.col("__flags").isNotNull() | F.coalesce(normal(F.col(text_col)) == "", F.lit(True)))
-    return joined.select(*[text.alias(c) if c == text_col else F.col(f"`{c}`") for c in df.columns])
+        joined = joined.filter(F.col("__flags").isNotNull() | F.coalesce(F.trim(whole, F.lit(_WHITE + "\n")) == "", F.lit(True)))
+    return joined.select(*[text.alias(c) if c == text_col else F.col("__row")[c].alias(c) for c in df.columns])

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
@@ -15,9 +14,9 @@ def row_keys(id_col: str, text_col: str) -> list[Column]:
 
 
 def keep_rows(df: DataFrame, kept: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """The rows of df whose keys are in kept, each document once. df is
-    shuffled once, by its keys."""
-    keyed = df.select(*[F.col(f"`{c}`") for c in df.columns], *row_keys(id_col, text_col))
-    once = W.partitionBy("__k1", "__k2").orderBy("__k1")
+    """The rows of df whose keys are in kept, each document once. df is shuffled
+    once, by its keys, after each task has dropped the rows that it repeats; the
+    row travels as one column, so its own names cannot clash with the keys."""
+    keyed = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("__row"), *row_keys(id_col, text_col)).dropDuplicates(["__k1", "__k2"])
     joined = keyed.join(kept.select("__k1", "__k2"), ["__k1", "__k2"], "left_semi")
-    return joined.withColumn("__nr", F.row_number().over(once)).filter("__nr = 1").select(*[F.col(f"`{c}`") for c in df.columns])
+    return joined.select(*[F.col("__row")[c].alias(c) for c in df.columns])

@@ -15,12 +15,13 @@ nothing, however many there are.
 
 Defined results: null, empty and blank texts have fingerprint zero and are
 linked like any other; a null id is never the smallest; repeated rows are in
-one component; very long texts are hashed to their last word.
+one component; very long texts are hashed to their last word. ``similar_documents.py`` keeps one
+document of each group, checked by the exact similarity of the shingles.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import combinations, repeat
 
 import numpy as np
@@ -38,22 +39,31 @@ SEED, SHINGLE = 42, 3
 CHUNK, TILE, ROWS = 1 << 16, 2048, 1 << 16
 
 
-def fingerprint(raw: bytes | None, shingle: int = SHINGLE) -> int:
-    """The SimHash of a text's word shingles (A-Z lower-cased)."""
+def shingle_hashes(raw: bytes | None, shingle: int = SHINGLE) -> Iterator[np.ndarray]:
+    """The hashes of a text's word shingles (A-Z lower-cased), repeats included, in parts."""
     words = (raw or b"").lower().split()
-    if not words:
-        return 0
-    if len(words) < shingle:
+    if 0 < len(words) < shingle:
         words, shingle = [b" ".join(words)], 1
-    n, ones = len(words) - shingle + 1, np.zeros(64, np.int64)
-    for at in range(0, n, CHUNK):
+    for at in range(0, len(words) - shingle + 1, CHUNK):
         part = words[at : at + CHUNK + shingle - 1]
         texts = map(b" ".join, zip(*(part[i:] for i in range(shingle)), strict=False))
-        hashes = np.fromiter(map(xxhash.xxh64_intdigest, texts, repeat(SEED)), np.uint64)
+        yield np.fromiter(map(xxhash.xxh64_intdigest, texts, repeat(SEED)), np.uint64)
+
+
+def folded(parts: Iterable[np.ndarray]) -> int:
+    """The SimHash of the hashes: a bit is 1 if over half of them have it."""
+    n, ones = 0, np.zeros(64, np.int64)
+    for hashes in parts:
+        n += len(hashes)
         ones += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
     return int(np.packbits(2 * ones > n, bitorder="little").view(np.uint64)[0])
 
 
+def fingerprint(raw: bytes | None, shingle: int = SHINGLE) -> int:
+    """The SimHash of a text's word shingles."""
+    return folded(shingle_hashes(raw, shingle))
+
+
 def fingerprints(df: DataFrame, id_col: str, text_col: str, shingle: int = SHINGLE) -> DataFrame:
     """(doc_id, __k1, __k2, bits): the row's keys, and the 64 bits as a signed long."""
 

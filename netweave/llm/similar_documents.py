@@ -1,22 +1,26 @@
-"""Near-duplicate documents by exact similarity of their word shingles.
+"""One document of each group of near-duplicates: SimHash tiles, widened.
 
 A document's set is that of its shingles of five words (A-Z lower-cased; a
 shorter text is its own only shingle). Documents whose sets have a Jaccard
 similarity of 0.8 or more are linked, and connected components of the links
-keep one document each. Candidates agree in a whole band of a MinHash
-signature (16 bands of 4 places: two documents exactly at 0.8 share one with
-probability 0.9998). As in line dedup, a band's documents are compared exactly
-with its first one, and what stays mixed is compared whole, by blocks.
+keep one document each.
+
+Candidates are, first, the documents whose SimHash of these shingles is within
+three bits, by the tiles of ``simhash.py``. That finds copies with few edits: at
+a similarity of 0.8 about ten of the 64 bits differ, more than any choice of
+equal parts can cover. So documents that agree in a band of a MinHash signature
+are candidates too (16 bands of 4 places: two documents exactly at 0.8 share one
+with probability 0.9998). A component of fingerprints is one more band; bands
+are searched as in ``similarity.py``, which loses no link within them.
 
 Defined results: documents with equal sets are one before anything is compared;
 null, empty and blank texts have the same empty set; a null id is never the
-first; repeated rows are one document.
+first; repeated rows are one document; other columns may have any name.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -24,29 +28,17 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from netweave.llm.line_dedup import across, extended, led, mixed, stars, verified
+from netweave.llm import similarity as near
+from netweave.llm import simhash
 from netweave.llm.rows import keep_rows, row_keys
 from netweave.operators.components import connected_components
-from netweave.session import cut, stored
+from netweave.session import stored
 
-SEED, SHINGLE, BANDS, BAND_ROWS, SIMILARITY = 42, 5, 16, 4, 0.8
-#: Share of a signature's places that must agree in a mixed band: at similarity 0.8 fewer than 32 of 64 come once in fifty million times.
-AGREE = 0.5
+SEED, SHINGLE, RADIUS, BANDS, BAND_ROWS, SIMILARITY = 42, 5, 3, 16, 4, 0.8
 #: Shingles signed at once.
 CHUNK = 1 << 12
 
 
-def shingles(raw: bytes | None, shingle: int = SHINGLE) -> np.ndarray:
-    """The distinct hashes of a text's word shingles, in order."""
-    words = (raw or b"").lower().split()
-    if not words:
-        return np.zeros(0, np.uint64)
-    if len(words) < shingle:
-        words, shingle = [b" ".join(words)], 1
-    texts = map(b" ".join, zip(*(words[i:] for i in range(shingle)), strict=False))
-    return np.unique(np.fromiter(map(xxhash.xxh64_intdigest, texts, repeat(SEED)), np.uint64))
-
-
 def _orders(places: int) -> tuple[np.ndarray, np.ndarray]:
     draw = np.random.default_rng(SEED)
     return draw.integers(0, 1 << 63, places, np.uint64) * np.uint64(2) + np.uint64(1), draw.integers(0, 1 << 63, places, np.uint64)
@@ -62,60 +54,74 @@ def signature(hashes: np.ndarray, factor: np.ndarray, offset: np.ndarray) -> np.
     return out
 
 
-def _signed(df: DataFrame, id_col: str, text_col: str, bands: int, band_rows: int) -> DataFrame:
-    """(doc_id, __k1, __k2, h1, n, bands, words): the row's keys, a hash and the
-    size of its set, its bands, and a byte of each place, eight to a long."""
-    places = bands * band_rows
+def bitmap(hashes: np.ndarray) -> np.ndarray:
+    """What near.sketch makes of the hashes."""
+    words = np.zeros(near.WORDS, np.uint64)
+    np.bitwise_or.at(words, (hashes & np.uint64(near.WORDS - 1)).astype(np.intp), np.uint64(1) << (hashes >> np.uint64(4) & np.uint64(63)))
+    return words
+
+
+def _raw(text: pa.Scalar) -> bytes | None:
+    return text.as_buffer().to_pybytes() if text.is_valid else None
+
+
+def _signed(df: DataFrame, id_col: str, text_col: str, shingle: int, bands: int, band_rows: int) -> DataFrame:
+    """(doc_id, __k1, __k2, h1, size, bits, bands, words): the row's keys, a hash
+    and the size of its set, its SimHash, its bands and its bitmap."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        factor, offset = _orders(places)
+        factor, offset = _orders(bands * band_rows)
+        longs = lambda x: pa.array(np.array(x, np.uint64).view(np.int64))
+        lists = lambda x: pa.array([row.view(np.int64) for row in x], pa.list_(pa.int64()))
         for batch in batches:
-            own, sizes, keys, words = [], [], [], []
+            own, sizes, bits, keys, words = [], [], [], [], []
             for t in batch.column(3):
-                hashes = shingles(t.as_buffer().to_pybytes() if t.is_valid else None)
+                parts = list(simhash.shingle_hashes(_raw(t), shingle))
+                hashes = np.unique(np.concatenate(parts)) if parts else np.zeros(0, np.uint64)
                 signs = signature(hashes, factor, offset)
                 own.append(xxhash.xxh64_intdigest(hashes.tobytes(), SEED))
                 sizes.append(len(hashes))
-                keys.append([xxhash.xxh64_intdigest(signs[b * band_rows : (b + 1) * band_rows].tobytes(), b) for b in range(bands)])
-                words.append((signs & np.uint64(255)).astype(np.uint8).view(np.int64))
-            longs = lambda x: pa.array(list(np.array(x, np.uint64).view(np.int64)), pa.list_(pa.int64()))
-            made = [pa.array(np.array(own, np.uint64).view(np.int64)), pa.array(sizes, pa.int64()), longs(keys), pa.array(words, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *made], names=["doc_id", "__k1", "__k2", "h1", "n", "bands", "words"])
+                bits.append(simhash.folded(parts))
+                keys.append(np.array([xxhash.xxh64_intdigest(signs[b * band_rows : (b + 1) * band_rows].tobytes(), b) for b in range(bands)], np.uint64))
+                words.append(bitmap(hashes))
+            made = [longs(own), pa.array(sizes, pa.int64()), longs(bits), lists(keys), lists(words)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *made], names=["doc_id", "__k1", "__k2", "h1", "size", "bits", "bands", "words"])
 
     rows = df.select(F.col(f"`{id_col}`").alias("doc_id"), *row_keys(id_col, text_col), F.col(f"`{text_col}`").alias("__text"))
-    return rows.mapInArrow(run, f"doc_id {rows.schema[0].dataType.simpleString()}, __k1 long, __k2 long, h1 long, n long, bands array<long>, words array<long>")
+    return rows.mapInArrow(run, f"doc_id {rows.schema[0].dataType.simpleString()}, __k1 long, __k2 long, h1 long, size long, bits long, bands array<long>, words array<long>")
 
 
-def _sets(texts: DataFrame) -> DataFrame:
-    """(h1, n, words, hashes) of (h1, n, words, text)."""
+def _sets(texts: DataFrame, shingle: int) -> DataFrame:
+    """(h1, hashes) of (h1, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [shingles(t.as_buffer().to_pybytes() if t.is_valid else None).view(np.int64) for t in batch.column(3)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(found, pa.list_(pa.int64()))], names=["h1", "n", "words", "hashes"])
+            found = [np.unique(np.concatenate(list(simhash.shingle_hashes(_raw(t), shingle)))).view(np.int64) for t in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int64()))], names=["h1", "hashes"])
 
-    return texts.select("h1", "n", "words", "text").mapInArrow(run, "h1 long, n long, words array<long>, hashes array<long>")
+    return texts.select("h1", "text").mapInArrow(run, "h1 long, hashes array<long>")
 
 
-def keep_first(df: DataFrame, id_col: str, text_col: str, bands: int = BANDS, band_rows: int = BAND_ROWS, similarity: float = SIMILARITY) -> DataFrame:
+def keep_first(df: DataFrame, id_col: str, text_col: str, shingle: int = SHINGLE, radius: int = RADIUS, bands: int = BANDS, band_rows: int = BAND_ROWS, similarity: float = SIMILARITY) -> DataFrame:
     """The rows of df with one document of each component: that with the
     smallest id, of equal ids that with the smaller key; ids before null."""
-    places = bands * band_rows
-    rows = stored(_signed(df, id_col, text_col, bands, band_rows), "signed")
+    rows = stored(_signed(df, id_col, text_col, shingle, bands, band_rows), "signed")
     place = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__k1", "__k2"))
-    first = stored(rows.groupBy("h1").agg(place.alias("first"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("words").alias("words")), "sets")
-    members = stored(led(first.filter("n > 0").select("h1", F.explode("bands").alias("band"))), "members")
-    wanted = first.join(members.select("h1").distinct(), "h1", "left_semi").select("h1", "n", "words", "first.__k1", "first.__k2")
+    same = [F.first(c).alias(c) for c in ("size", "bands", "words")]
+    first = stored(rows.groupBy("h1").agg(place.alias("first"), F.min("bits").alias("bits"), *same), "sets")
+    full = first.filter("size > 0")
+    tiles = connected_components(simhash.links(full.select("bits").distinct(), radius))
+    tiled = full.join(tiles, full["bits"] == tiles["node"], "left").select("h1", F.xxhash64(F.lit("tile"), F.coalesce("component", "bits")).alias("band"))
+    members = stored(near.led(full.select("h1", F.explode("bands").alias("band")).unionByName(tiled)), "members")
+    wanted = first.join(members.select(F.explode(F.array("src", "dst")).alias("h1")).distinct(), "h1", "left_semi").select("h1", "first.__k1", "first.__k2")
     texts = df.select(*row_keys(id_col, text_col), F.col(f"`{text_col}`").alias("text")).join(wanted, ["__k1", "__k2"]).dropDuplicates(["h1"])
-    longs = [F.get("words", k).alias(f"w{k}") for k in range(-(-places // 8))]
-    texts = stored(_sets(texts).select("h1", "n", *longs, "hashes"), "texts")
+    sketches = first.select("h1", "size", *[F.get("words", k).alias(f"w{k}") for k in range(near.WORDS)])
+    texts = stored(_sets(texts, shingle).join(sketches, "h1"), "texts")
 
-    def linked(pairs: DataFrame) -> DataFrame:
-        return cut(verified(pairs, texts, "hashes", lambda hashes: hashes, places, similarity))
+    def elements(items: DataFrame) -> DataFrame:
+        return texts.join(items, "h1").select("h1", "root", F.explode("hashes").alias("element"))
 
-    reached = connected_components(linked(stars(members)))
-    rest = cut(mixed(members, reached))
-    reached = extended(reached, linked(across(rest, texts.drop("hashes"), places, AGREE, similarity)))
+    reached = near.components(members, texts, "hashes", lambda hashes: hashes, elements, similarity)
     rooted = first.join(reached, first["h1"] == reached["node"], "left").select("first", F.coalesce("component", "h1").alias("root"))
     kept = rooted.groupBy("root").agg(F.min("first").alias("first")).select("first.__k1", "first.__k2")
     return keep_rows(df, kept, id_col, text_col)
