@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from netweave.llm import decontaminate, line_dedup, quality, source_mix, word_dedup
+from netweave.llm import decontaminate, line_dedup, quality, similar_documents, source_mix
 from netweave.session import shared_path, table
 
 ORACLE_SQL = None
@@ -35,7 +35,7 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates: those linked by a Jaccard
     similarity of their five-word shingles of 0.8 or more."""
-    return word_dedup.keep_first(docs, "doc_id", "text")
+    return similar_documents.keep_first(docs, "doc_id", "text")
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
