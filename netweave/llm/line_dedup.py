@@ -93,21 +93,21 @@ def similar_lines(lines: DataFrame, shingle: int = SHINGLE, bands: int = BANDS,
     some other. Should two lines have the same h1, which h2 tells, the search
     knows them by other numbers."""
     known = lines.select("line").distinct().select(F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(2), "line").alias("h2"), "line")
-    known = stored(known, "distinct").select("h1", "h2", F.col("h1").alias("own"), F.encode("line", "UTF-16BE").alias("chars"))
-    signed = stored(_signed(known, shingle, bands, band_rows), "signed")
-    clashing = signed.filter("low != high").select("h1")
-    renamed = known.join(clashing, "h1", "left_semi").withColumn("h1", F.xxhash64("h2", "h1"))
-    signed = signed.filter("low = high").union(_signed(renamed, shingle, bands, band_rows))
+    known = stored(known.withColumn("own", F.col("h1")), "distinct")
+    chars = F.encode("line", "UTF-16BE").alias("chars")
+    signed = stored(_signed(known.select("h1", "h2", chars), shingle, bands, band_rows), "signed")
+    renamed = known.join(signed.filter("low != high").select("h1"), "h1", "left_semi").withColumn("h1", F.xxhash64("h2", "h1"))
+    signed = signed.filter("low = high").union(_signed(renamed.select("h1", "h2", chars), shingle, bands, band_rows))
     members = stored(near.led(signed.select("h1", F.explode("bands").alias("band"))), "members")
-    wanted = members.select(F.explode(F.array("src", "dst")).alias("h1")).distinct()
-    texts = known.join(clashing, "h1", "left_anti").unionByName(renamed).join(wanted, "h1", "left_semi")
+    wanted = members.select("src").union(members.select("dst")).distinct().toDF("h1")
+    texts = stored(known.unionByName(renamed).join(wanted, "h1", "left_semi"), "texts").select("h1", "h2", "own", chars)
     sketches = _spread(texts, shingle, 1, "h1").withColumnRenamed("e0", "element").groupBy("h1").agg(F.count("*").alias("size"), *near.sketch())
-    texts = stored(texts.join(sketches, "h1"), "texts")
+    sketches = stored(sketches, "sketches")
 
     def elements(items: DataFrame) -> DataFrame:
         return _spread(texts.join(items, "h1"), shingle, 1, "h1", "root").withColumnRenamed("e0", "element").distinct()
 
-    found = near.components(members, texts, "chars", lambda chars: _shingles(chars, shingle), elements, similarity)
+    found = near.components(members, sketches, texts, "chars", lambda chars: _shingles(chars, shingle), elements, similarity)
     return texts.join(found, texts["h1"] == found["node"]).select(F.col("own").alias("h1"), "h2", "component")
 
 

@@ -116,12 +116,12 @@ def keep_first(df: DataFrame, id_col: str, text_col: str, shingle: int = SHINGLE
     wanted = first.join(members.select(F.explode(F.array("src", "dst")).alias("h1")).distinct(), "h1", "left_semi").select("h1", "first.__k1", "first.__k2")
     texts = df.select(*row_keys(id_col, text_col), F.col(f"`{text_col}`").alias("text")).join(wanted, ["__k1", "__k2"]).dropDuplicates(["h1"])
     sketches = first.select("h1", "size", *[F.get("words", k).alias(f"w{k}") for k in range(near.WORDS)])
-    texts = stored(_sets(texts, shingle).join(sketches, "h1"), "texts")
+    texts = stored(_sets(texts, shingle), "texts")
 
     def elements(items: DataFrame) -> DataFrame:
         return texts.join(items, "h1").select("h1", "root", F.explode("hashes").alias("element"))
 
-    reached = near.components(members, texts, "hashes", lambda hashes: hashes, elements, similarity)
+    reached = near.components(members, sketches, texts, "hashes", lambda hashes: hashes, elements, similarity)
     rooted = first.join(reached, first["h1"] == reached["node"], "left").select("first", F.coalesce("component", "h1").alias("root"))
     kept = rooted.groupBy("root").agg(F.min("first").alias("first")).select("first.__k1", "first.__k2")
     return keep_rows(df, kept, id_col, text_col)

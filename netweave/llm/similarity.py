@@ -116,12 +116,12 @@ def prefix_pairs(elements: DataFrame, similarity: float) -> DataFrame:
     return met.select(F.col("src_h1").alias("src"), F.col("dst_h1").alias("dst"), "src_root", "dst_root").distinct()
 
 
-def verified(pairs: DataFrame, texts: DataFrame, column: str, set_of: Callable[[Column], Column], similarity: float) -> DataFrame:
+def verified(pairs: DataFrame, sketches: DataFrame, texts: DataFrame, column: str, set_of: Callable[[Column], Column], similarity: float) -> DataFrame:
     """The pairs (src, dst) whose sets' Jaccard similarity is at least that;
-    set_of makes a set of what texts (h1, sketch, column) has. The sketches rule
-    most others out before texts are fetched."""
+    set_of makes a set of what texts (h1, column) has. The sketches rule most
+    others out before texts are fetched."""
     for end in ("src", "dst"):
-        pairs = pairs.join(texts.select(*_sketched(end)), end)
+        pairs = pairs.join(sketches.select(*_sketched(end)), end)
     pairs = pairs.filter(_possible(similarity)).select("src", "dst")
     for end in ("src", "dst"):
         pairs = pairs.join(texts.select(F.col("h1").alias(end), F.col(column).alias(f"{end}_set")), end)
@@ -130,7 +130,7 @@ def verified(pairs: DataFrame, texts: DataFrame, column: str, set_of: Callable[[
     return pairs.filter(alike).select("src", "dst")
 
 
-def components(members: DataFrame, texts: DataFrame, column: str, set_of: Callable[[Column], Column], elements: Callable[[DataFrame], DataFrame], similarity: float, band: int = BAND) -> DataFrame:
+def components(members: DataFrame, sketches: DataFrame, texts: DataFrame, column: str, set_of: Callable[[Column], Column], elements: Callable[[DataFrame], DataFrame], similarity: float, band: int = BAND) -> DataFrame:
     """(node, component) of the items that are linked to some other.
 
     members: what led gives. elements: (h1, root, element) of (h1, root). Of the
@@ -138,11 +138,11 @@ def components(members: DataFrame, texts: DataFrame, column: str, set_of: Callab
     that leaves the components apart."""
 
     def linked(pairs: DataFrame) -> DataFrame:
-        return cut(verified(pairs, texts, column, set_of, similarity))
+        return cut(verified(pairs, sketches, texts, column, set_of, similarity))
 
     reached = connected_components(linked(members.select("src", "dst").distinct()))
     rest = cut(unsure(members, reached))
-    pairs = band_pairs(rest.filter(F.col("items") <= band), texts, similarity)
+    pairs = band_pairs(rest.filter(F.col("items") <= band), sketches, similarity)
     large = rest.filter(F.col("items") > band).select("h1", "root").distinct()
     pairs = cut(pairs.union(prefix_pairs(stored(elements(large), "elements"), similarity)))
     one_of_two = pairs.groupBy("src_root", "dst_root").agg(F.min(F.struct("src", "dst")).alias("pair")).select("pair.*")
