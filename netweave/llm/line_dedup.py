@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from netweave.llm import similarity as near
 from netweave.llm.rows import row_keys
-from netweave.session import stored
+from netweave.session import release, stored
 
 SHINGLE, BANDS, BAND_ROWS, SIMILARITY = 8, 8, 3, 0.8
 #: Shingles hashed at once, in one row.
@@ -101,6 +101,7 @@ def similar_lines(lines: DataFrame, shingle: int = SHINGLE, bands: int = BANDS,
     members = stored(near.led(signed.select("h1", F.explode("bands").alias("band"))), "members")
     wanted = members.select("src").union(members.select("dst")).distinct().toDF("h1")
     texts = stored(known.unionByName(renamed).join(wanted, "h1", "left_semi"), "texts").select("h1", "h2", "own", chars)
+    release(known)
     sketches = _spread(texts, shingle, 1, "h1").withColumnRenamed("e0", "element").groupBy("h1").agg(F.count("*").alias("size"), *near.sketch())
     sketches = stored(sketches, "sketches")
 
@@ -116,17 +117,16 @@ def kept_lines(lines: DataFrame, components: DataFrame) -> DataFrame:
     keeps its 0th, 1st ... up to the last that it keeps."""
     place = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__k1", "__k2", "pos")).alias("place")
     first = lines.groupBy("h1", "h2").agg(place).join(components, ["h1", "h2"], "left")
-    alone = first.filter("component IS NULL").select("place")
-    together = first.filter("component IS NOT NULL").groupBy("component").agg(F.min("place").alias("place")).select("place")
-    kept = alone.union(together).select("place.__k1", "place.__k2", "place.pos")
+    alone = F.when(F.col("component").isNull(), F.struct("h1", "h2"))
+    kept = first.groupBy("component", alone).agg(F.min("place").alias("place")).select("place.__k1", "place.__k2", "place.pos")
     kept = kept.groupBy("__k1", "__k2").agg(F.sort_array(F.collect_list("pos")).alias("kept"))  # at most a document's lines
     gap = lambda p, i: p - F.when(i == 0, F.lit(-1)).otherwise(F.get("kept", i - 1)) - 1
     return kept.select("__k1", "__k2", F.size("kept").alias("__n_kept"), F.flatten(F.transform("kept", lambda p, i: F.concat(F.array_repeat(F.lit(False), gap(p, i)), F.array(F.lit(True))))).alias("__flags"))
 
 
 def _flags(df: DataFrame, id_col: str, text_col: str, **how) -> DataFrame:
-    lines = stored(lines_of(df, id_col, text_col), "lines")
-    return kept_lines(lines.drop("line"), similar_lines(lines, **how))
+    lines = lines_of(df, id_col, text_col)
+    return kept_lines(stored(lines.drop("line"), "lines"), similar_lines(lines, **how))
 
 
 def line_report(df: DataFrame, id_col: str, text_col: str, **how) -> DataFrame:

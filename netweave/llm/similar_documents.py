@@ -57,7 +57,7 @@ def signature(hashes: np.ndarray, factor: np.ndarray, offset: np.ndarray) -> np.
 def bitmap(hashes: np.ndarray) -> np.ndarray:
     """What near.sketch makes of the hashes."""
     words = np.zeros(near.WORDS, np.uint64)
-    np.bitwise_or.at(words, (hashes & np.uint64(near.WORDS - 1)).astype(np.intp), np.uint64(1) << (hashes >> np.uint64(4) & np.uint64(63)))
+    np.bitwise_or.at(words, (hashes & np.uint64(near.WORDS - 1)).astype(np.intp), np.uint64(1) << (hashes >> np.uint64(5) & np.uint64(63)))
     return words
 
 

@@ -7,7 +7,7 @@ that were not compared with each other, they are compared too: within a band of
 moderate size by their sketches, those of large bands by ``prefix_pairs``. So no
 link between items that share a band is lost.
 
-An item's sketch (``size``, ``w0`` ... ``w15``) has at least as many elements as
+An item's sketch (``size``, ``w0`` ... ``w31``) has at least as many elements as
 its set and a bitmap of these. What is in one bitmap and not in the other bounds
 the similarity from above, so the sketches never rule out a similar pair.
 """
@@ -24,7 +24,7 @@ from netweave.operators.components import connected_components, dealt_anew
 from netweave.session import cut, stored
 
 #: Longs of a bitmap, and items of a band up to which all are compared within it.
-WORDS, BAND = 16, 1024
+WORDS, BAND = 32, 1024
 #: Slack of comparisons with a similarity, which no two ratios of set sizes come near.
 SLACK = 1e-9
 
@@ -58,7 +58,7 @@ def extended(reached: DataFrame, links: DataFrame) -> DataFrame:
 
 def sketch() -> list[Column]:
     """Aggregates of ``element`` that make a bitmap."""
-    word, bit = F.col("element").bitwiseAND(F.lit(WORDS - 1)), F.shiftrightunsigned("element", 4).bitwiseAND(F.lit(63)).cast("int")
+    word, bit = F.col("element").bitwiseAND(F.lit(WORDS - 1)), F.shiftrightunsigned("element", 5).bitwiseAND(F.lit(63)).cast("int")
     return [F.bit_or(F.when(word == k, F.call_function("shiftleft", F.lit(1).cast("long"), bit)).otherwise(F.lit(0).cast("long"))).alias(f"w{k}") for k in range(WORDS)]
 
 
