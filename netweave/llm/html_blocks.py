@@ -7,6 +7,7 @@ ends, cut-off pages and bare text all give blocks; nothing raises.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from html import unescape
 
 _TAG = re.compile(
@@ -19,12 +20,15 @@ _TAG = re.compile(
 )
 _NAME = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _TOKEN = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
-#: Elements whose content is not text of the page, that have no content, that stay inside a line of text.
+#: Elements whose content is not text of the page, that have no content, that are boxes of their own. Any other
+#: element, of whatever name, stays inside a line of text.
 RAW = {"script", "style", "noscript", "template", "title", "iframe", "svg", "math", "object", "canvas"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
-INLINE = {
-    "a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "mark",
-    "q", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "br", "wbr", "img",
+BOXES = {
+    "address", "article", "aside", "blockquote", "body", "button", "caption", "center", "col", "colgroup", "dd", "details", "dialog", "dir",
+    "div", "dl", "dt", "fieldset", "figcaption", "figure", "footer", "form", "frameset", "h1", "h2", "h3", "h4", "h5", "h6", "head", "header",
+    "hgroup", "hr", "html", "input", "label", "legend", "li", "listing", "main", "menu", "nav", "ol", "optgroup", "option", "p", "plaintext",
+    "pre", "search", "section", "select", "summary", "table", "tbody", "td", "textarea", "tfoot", "th", "thead", "title", "tr", "ul", "video", "xmp",
 }
 #: An element that starts closes these where they are open and nearest.
 _CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
@@ -52,8 +56,10 @@ def blocks(html: str) -> list[Block]:
     """The leaf blocks of a page in order."""
     out: list[Block] = []
     stack: list[tuple[str, tuple[str, ...]]] = []
+    #: How many open elements have a name, and a path token, in the order of the stack; the open boxes.
+    opened, tokens, boxes = Counter(), {}, []
     held: list[str] = []
-    linked = links = 0
+    linked = 0
     at, head = 0, False
 
     def flush() -> None:
@@ -61,16 +67,29 @@ def blocks(html: str) -> list[Block]:
         if held:
             text = " ".join(unescape("".join(held)).split())
             if text and not head:
-                seen = dict.fromkeys(t for tag, names in stack for t in (f"<{tag}>", *names))
-                tag = next((t for t, _ in reversed(stack) if t not in INLINE), "body")
-                out.append(Block(text, tuple(seen), min(linked, len(text)), tag))
+                out.append(Block(text, tuple(tokens), min(linked, len(text)), boxes[-1] if boxes else "body"))
             held.clear()
         linked = 0
 
+    def start(name: str, attributes: str) -> None:
+        own = (f"<{name}>", *(_names(attributes) if attributes else ()))
+        stack.append((name, own))
+        opened[name] += 1
+        for token in own:
+            tokens[token] = tokens.get(token, 0) + 1
+        if name in BOXES:
+            boxes.append(name)
+
     def close(upto: int) -> None:
-        nonlocal links
-        links -= sum(t == "a" for t, _ in stack[upto:])
-        del stack[upto:]
+        while len(stack) > upto:
+            name, own = stack.pop()
+            opened[name] -= 1
+            for token in own:
+                tokens[token] -= 1
+                if not tokens[token]:
+                    del tokens[token]
+            if name in BOXES:
+                boxes.pop()
 
     size = len(html)
     while at < size:
@@ -79,7 +98,7 @@ def blocks(html: str) -> list[Block]:
         if end > at:
             piece = html[at:end]
             held.append(piece)
-            linked += len(piece) if links else 0
+            linked += len(piece) if opened["a"] else 0
         if not found:
             break
         at = found.end()
@@ -87,7 +106,7 @@ def blocks(html: str) -> list[Block]:
         if not name:
             continue
         closing, attributes = bool(found[1] or found[4]), found[3] or found[6] or ""
-        if name not in INLINE:
+        if name in BOXES:
             flush()
         if name in ("br", "img", "wbr"):
             held.append(" " if name != "wbr" else "")
@@ -95,10 +114,8 @@ def blocks(html: str) -> list[Block]:
         if closing:
             if name == "head":
                 head = False
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == name:
-                    close(i)
-                    break
+            if opened[name]:
+                close(next(i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name))
             continue
         if name == "head":
             head = True
@@ -109,10 +126,11 @@ def blocks(html: str) -> list[Block]:
                 at = stop.end() if stop else size
             continue
         if head and name not in _IN_HEAD and name != "html":
+            flush()
             head = False
         if name in ("html", "body") or name in VOID:
             continue
-        if name not in INLINE:
+        if name in BOXES and (opened["p"] or any(opened[t] for t in _CLOSES.get(name, ()))):
             for i in range(len(stack) - 1, -1, -1):
                 if stack[i][0] == "p" or stack[i][0] in _CLOSES.get(name, ()):
                     close(i)
@@ -121,7 +139,6 @@ def blocks(html: str) -> list[Block]:
                 elif stack[i][0] in _SCOPE:
                     break
         if not attributes.endswith("/"):
-            stack.append((name, tuple(_names(attributes)) if attributes else ()))
-            links += name == "a"
+            start(name, attributes)
     flush()
     return out

@@ -54,6 +54,9 @@ class _Maker:
             text = f'{text} <a href="/{r.randrange(99)}">{self.words(1, 3)}</a> {self.words(1, 8)}'
         elif kind < 0.26:
             text = f"<em>{text}</em> {self.words(1, 5)}"
+        elif kind < 0.3:
+            inside = self.pick('<svg><path d="M0 0"/></svg>', "<script>var x = 1;</script>", "<noscript>off</noscript>", f"<x-term>{self.words(1, 2)}</x-term>", f"<abbr>{self.words(1, 1)}</abbr>")
+            text = f"{text} {inside} {self.words(1, 5)}"
         return mark + text
 
     def links(self, mark: str, tag: str = "li", low: int = 2, high: int = 9) -> str:
@@ -146,6 +149,8 @@ class _Maker:
 
     def page(self) -> str:
         r = self.r
+        if r.random() < 0.02:  # text without any element, or hardly any
+            return "<br>".join(KEEP + self.words(2, 60) for _ in range(r.randint(1, 4)))
         style = r.choices(_STYLES, [s["weight"] for s in _STYLES])[0]["container"]
         body = style[0] + self.content() + (self.comments() if r.random() < 0.08 else "") + style[1]
         above = [self.header() if r.random() < 0.4 else "", self.nav() if r.random() < 0.85 else "", self.junk() if r.random() < 0.45 else "", self.junk() if r.random() < 0.25 else "", self.sidebar() if r.random() < 0.12 else ""]

@@ -1,3 +1,5 @@
+import time
+
 import numpy as np
 import pytest
 
@@ -64,3 +66,32 @@ def test_extract(spark, model):
     assert [got[i][0].text for i in (2, 3, 4)] == [""] * 3 and got[2][0].url is None
     assert got[5][0].text == "\n".join(["word word word."] * 3000)
     assert h.extract(df.limit(0), "page_id", "url", "html", model).count() == 0
+
+
+def test_inline_elements_do_not_split(model):
+    """Pages written by hand, with the text a reader would take."""
+    filler = "The river had been rising for three days when the council met, and nobody in the room expected the bridge to hold."
+    nav = '<nav><ul><li><a href="/">Home</a></li><li><a href="/b">News</a></li></ul></nav>'
+    foot = "<footer><p>All rights reserved.</p></footer>"
+    cases = {
+        "<p>one <svg><text>x</text></svg>two</p>": ["one two"],
+        "<p>a<script>1</script>b</p>": ["ab"],
+        "<p>one<noscript>x</noscript> two</p>": ["one two"],
+        "x <custom-tag>y</custom-tag> z": ["x y z"],
+        "<p>say <ruby>kan<rt>ji</rt></ruby>, <output>4</output></p>": ["say kanji, 4"],
+        "<div>a<p>b</div>c": ["a", "b", "c"],
+    }
+    for html, want in cases.items():
+        assert [b.text for b in blocks(html)] == want
+    inline = {"an <svg><g/></svg>icon": "an icon", "a<script>f('</p>')</script> script": "a script", "<x-y>own</x-y> tags": "own tags", "a <template><p>no</p></template>template": "a template"}
+    pages = [f"<html><head><title>t</title></head><body>{nav}<article><h1>A title of it</h1><p>{filler}</p><p>{k}, {filler}</p></article>{foot}</body></html>" for k in inline]
+    assert h.main_texts(model, pages) == [f"A title of it\n{filler}\n{v}, {filler}" for v in inline.values()]
+    assert h.main_texts(model, [filler, f"{filler}<br>{filler}", "", " \n"]) == [filler, f"{filler} {filler}", "", ""]
+
+
+def test_deep_nesting():
+    n = 20_000
+    for page, want in (("<div>x" * n, n), ("<div class=a><span>x" * n, n), ("<b>x" * n + "</i>" * n, 1)):
+        began = time.thread_time()
+        assert len(blocks(page)) == want
+        assert time.thread_time() - began < 5
