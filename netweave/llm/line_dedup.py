@@ -35,6 +35,8 @@ from netweave.session import release, stored
 SHINGLE, BANDS, BAND_ROWS, SIMILARITY = 8, 8, 3, 0.8
 #: Shingles hashed at once, in one row.
 STEP = 4
+#: Bands that are searched at once, which bounds what lies on disk.
+HALF = 4
 _WHITE = " \t\x0b\f\r"
 
 
@@ -98,7 +100,8 @@ def similar_lines(lines: DataFrame, shingle: int = SHINGLE, bands: int = BANDS,
     signed = stored(_signed(known.select("h1", "h2", chars), shingle, bands, band_rows), "signed")
     renamed = known.join(signed.filter("low != high").select("h1"), "h1", "left_semi").withColumn("h1", F.xxhash64("h2", "h1"))
     signed = signed.filter("low = high").union(_signed(renamed.select("h1", "h2", chars), shingle, bands, band_rows))
-    members = stored(near.led(signed.select("h1", F.explode("bands").alias("band"))), "members")
+    parts = [F.slice("bands", at + 1, HALF) for at in range(0, bands, HALF)]
+    members = reduce(DataFrame.union, [stored(near.led(signed.select("h1", F.explode(part).alias("band"))), "members") for part in parts])
     wanted = members.select("src").union(members.select("dst")).distinct().toDF("h1")
     texts = stored(known.unionByName(renamed).join(wanted, "h1", "left_semi"), "texts").select("h1", "h2", "own", chars)
     release(known)
