@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from netweave.functions import labels
-from netweave.operators import georeference, hydraulics, noding, topology, zones
+from netweave.operators import cleaning, georeference, hydraulics, noding, topology, zones
 from netweave.operators.components import connected_components
 from netweave.plans.fixtures import BASE, LADDER, PIPES, memo, net_links, net_nodes, net_pipes
 from netweave.plans.registry import query
@@ -72,14 +72,14 @@ def unreachable_nodes(spark, sf_dir):
     return net_nodes(spark, sf_dir).select("node_id").join(reachability(spark, sf_dir), "node_id", "left_anti")
 
 
-@query("spatial_clusters", f"""WITH RECURSIVE {BASE}, few AS (SELECT * FROM nodes WHERE node_id % 5 = 0), near AS (SELECT a.node_id AS a, b.node_id AS b FROM few a JOIN few b ON sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) <= 40),
-  walk AS (SELECT node_id, node_id AS c FROM few UNION SELECT b, c FROM walk JOIN near ON a = node_id) SELECT node_id, min(c) AS spatial_cluster FROM walk GROUP BY node_id""")
+@query("spatial_clusters")
 def spatial_clusters(spark, sf_dir):
+    """All nodes, joined where 40 m apart at most; the tests compare all pairs."""
     from netweave.operators.spatial import radius_pairs
 
-    few = net_nodes(spark, sf_dir).filter("node_id % 5 = 0").select("node_id", "x", "y")
-    found = connected_components(radius_pairs(few, "node_id", 40.0), "a", "b")
-    return few.join(found, few["node_id"] == found["node"], "left").select("node_id", F.coalesce("component", "node_id").alias("spatial_cluster"))
+    nodes = net_nodes(spark, sf_dir).select("node_id", "x", "y")
+    found = connected_components(radius_pairs(nodes, "node_id", 40.0), "a", "b")
+    return nodes.join(found, nodes["node_id"] == found["node"], "left").select("node_id", F.coalesce("component", "node_id").alias("spatial_cluster"))
 
 
 def roots(spark, sf_dir):
@@ -161,7 +161,7 @@ def network_problems(spark, sf_dir):
 
 @query("prune_dangles")
 def prune_dangles(spark, sf_dir):
-    """Free short links go, again and again; the tests compare a plain loop."""
+    """Free short links go, again and again."""
     return topology.prune_dangles(net_pipes(spark, sf_dir), 400.0).select("link_id", "node1", "node2")
 
 
@@ -172,7 +172,7 @@ def chords(spark, sf_dir):
 
 @query("weld_endpoints")
 def weld_endpoints(spark, sf_dir):
-    """Ends within 15 m of each other meet; the tests compare all pairs."""
+    """Ends within 15 m of each other meet."""
     return topology.weld(chords(spark, sf_dir), 15.0)
 
 
@@ -183,6 +183,15 @@ def split_rings(spark, sf_dir):
     return topology.split_rings(rings)
 
 
+@query("network_build")
+def network_build(spark, sf_dir):
+    """A square drawn around each node, cleaned into one connected network."""
+    corner = lambda dx, dy: F.struct((F.col("x") + dx).alias("x"), (F.col("y") + dy).alias("y"))
+    drawn = net_nodes(spark, sf_dir).select(F.col("node_id").alias("line_id"), F.array(corner(0, 0), corner(9, 0), corner(9, 9), corner(0, 9), corner(0, 0)).alias("points"))
+    links, _, _ = cleaning.build(drawn, size=10.0)
+    return links.select("link_id", "node1", "node2", "length_m")
+
+
 @query("contract_short")
 def contract_short(spark, sf_dir):
     links, _ = topology.merge_short(net_pipes(spark, sf_dir), net_nodes(spark, sf_dir), 60.0)

@@ -76,31 +76,27 @@ def bbox_filter(spark, sf_dir):
     return net_nodes(spark, sf_dir).filter(spatial.in_box("x", "y", (200.0, 100.0, 600.0, 500.5))).select("node_id")
 
 
-GRID = f"""WITH {BASE}, few AS (SELECT * FROM nodes WHERE node_id % 10 = 0), cells AS (SELECT range AS cell, 0 + (range % 20 + 0.5::DOUBLE) * 50 AS x, 0 + (floor(range / 20) + 0.5::DOUBLE) * 50 AS y FROM range(400)),
+GRID = f"""WITH {BASE}, few AS (SELECT * FROM nodes), cells AS (SELECT range AS cell, 0 + (range % 20 + 0.5::DOUBLE) * 50 AS x, 0 + (floor(range / 20) + 0.5::DOUBLE) * 50 AS y FROM range(400)),
   owner AS (SELECT a.cell, arg_min(b.node_id, struct_pack(d := {_D}, id := b.node_id)) AS node_id FROM cells a, few b GROUP BY a.cell) """
 
 
-def sparse(spark, sf_dir):
-    return net_nodes(spark, sf_dir).filter("node_id % 10 = 0")
-
-
 def cells(spark):
     return demand.grid_points(spark, (0.0, 0.0, 1000.0, 1000.0), 50.0)
 
 
 @query("voronoi_grid_share", GRID + "SELECT few.node_id, count(owner.cell) AS n_cells, CAST(count(owner.cell) * 2500.0 AS DOUBLE) AS area FROM few LEFT JOIN owner USING (node_id) GROUP BY few.node_id")
 def voronoi_grid_share(spark, sf_dir):
-    return demand.voronoi_share(cells(spark), sparse(spark, sf_dir), 50.0)
+    return demand.voronoi_share(cells(spark), net_nodes(spark, sf_dir), 50.0)
 
 
 @query("service_area", GRID + f"SELECT DISTINCT a.cell, a.x, a.y FROM cells a JOIN few b ON {_D} <= 40 WHERE {_winding('a.x', 'a.y')}")
 def service_area(spark, sf_dir):
-    return demand.service_area(cells(spark), sparse(spark, sf_dir), RING, 40.0)
+    return demand.service_area(cells(spark), net_nodes(spark, sf_dir), RING, 40.0)
 
 
 @query("alloc_voronoi", GRID + "SELECT few.node_id, CAST(count(owner.cell) * 2500.0 AS DOUBLE) / CAST(1000000 AS DOUBLE) * 20.98::DOUBLE AS demand FROM few LEFT JOIN owner USING (node_id) GROUP BY few.node_id")
 def alloc_voronoi(spark, sf_dir):
-    return demand.allocate(sparse(spark, sf_dir), 20.98, "voronoi", areas=voronoi_grid_share(spark, sf_dir))
+    return demand.allocate(net_nodes(spark, sf_dir), 20.98, "voronoi", areas=voronoi_grid_share(spark, sf_dir))
 
 
 @query("alloc_uniform", f"WITH {BASE} SELECT node_id, 20.98::DOUBLE / (SELECT count(*) FROM nodes) AS demand FROM nodes")
