@@ -11,7 +11,8 @@ about ``train_rows`` documents, by hash, whatever the corpus.
 
 Defined results: null and blank texts have no votes and score 0, so they are
 rejected; repeated rows are scored alike; texts are read to their end, a piece
-of PIECE bytes at a time; an empty table gives an empty result.
+of about PIECE bytes at a time, which decides nothing; text without spaces, as of
+Japanese, is one word to the labellers, of which few then vote; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -66,20 +67,58 @@ def _hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndar
 
 
 def _pieces(raw: np.ndarray) -> Iterator[np.ndarray]:
+    """Parts of about PIECE bytes that end after white space, so no word is cut."""
     at = 0
     while at < len(raw):
-        end = min(at + PIECE, len(raw))
+        end, blank = at, np.zeros(0, np.int64)
+        while end < len(raw) and not len(blank):
+            begin, end = end, min(end + PIECE, len(raw))
+            blank = np.flatnonzero(_KIND[raw[begin:end]] == _SPACE)
         if end < len(raw):
-            blank = np.flatnonzero(_KIND[raw[at:end]] == _SPACE)
-            end = at + int(blank[-1]) + 1 if len(blank) else end
+            end = begin + int(blank[-1]) + 1
         yield raw[at:end]
         at = end
 
 
+class _Lines:
+    """Hashes of the lines that have a word; a line may go on in the next piece."""
+
+    def __init__(self) -> None:
+        self.known, self.n, self.sum, self.words = np.zeros(0, np.uint64), 0, np.uint64(0), 0
+
+    def close(self) -> None:
+        if self.words:
+            self._add(np.array([self.sum]), np.array([self.words]))
+            self.sum, self.words = np.uint64(0), 0
+
+    def _add(self, sums: np.ndarray, words: np.ndarray) -> None:
+        self.known = np.union1d(self.known, sums * _MULTIPLIER ^ words.astype(np.uint64))
+        self.n += len(sums)
+
+    def read(self, hashes: np.ndarray, line_of: np.ndarray, breaks: int) -> None:
+        """Words with the number of line feeds before each, of so many in the piece."""
+        if breaks if not len(hashes) else line_of[0]:
+            self.close()
+        if not len(hashes):
+            return
+        first = np.flatnonzero(np.concatenate(([True], line_of[1:] != line_of[:-1])))
+        words = np.diff(np.concatenate((first, [len(hashes)])))
+        place = np.arange(len(hashes)) - np.repeat(first, words)
+        place[: words[0]] += self.words
+        sums = np.add.reduceat(((hashes >> np.uint64(8)) + np.uint64(1)) * _POWERS[place % 64], first)
+        sums[:1] += self.sum
+        words[0] += self.words
+        self._add(sums[:-1], words[:-1])
+        self.sum, self.words = sums[-1], int(words[-1])
+        if line_of[-1] < breaks:
+            self.close()
+
+
 def read(text: bytes, buckets: int = BUCKETS) -> tuple[Summary, np.ndarray]:
-    """A text's summary, and its counts of hashed byte-class n-grams."""
+    """A text's summary, and its counts of hashed byte-class n-grams; read in
+    pieces, with the same result wherever these end."""
     raw, out, grams = np.frombuffer(text, np.uint8), Summary(), np.zeros(buckets, np.int64)
-    known, known_lines, last = np.zeros(0, np.uint64), np.zeros(0, np.uint64), None
+    known, last, lines, before = np.zeros(0, np.uint64), None, _Lines(), np.zeros(0, np.uint8)
     for piece in _pieces(raw):
         kind = _KIND[piece]
         space = kind == _SPACE
@@ -90,24 +129,24 @@ def read(text: bytes, buckets: int = BUCKETS) -> tuple[Summary, np.ndarray]:
         out.upper += int((kind == _UPPER).sum())
         out.symbols += int(_SYMBOL[piece].sum())
         out.words += len(starts)
+        hashes, feeds = _hashes(piece, starts, ends), np.cumsum(piece == 10)
+        lines.read(hashes, feeds[starts], int(feeds[-1]))
         if len(starts):
-            hashes = _hashes(piece, starts, ends)
             out.again += int((hashes[1:] == hashes[:-1]).sum()) + int(last is not None and last == hashes[0])
             last = hashes[-1]
             known = np.union1d(known, hashes)
             final = kind[ends - 1]
             out.stops += int((final == _STOP).sum())
             out.odd_ends += int(_SYMBOL[piece[ends - 1]].sum())
-            line_of = np.cumsum(piece == 10)[starts]
-            first = np.flatnonzero(np.concatenate(([True], line_of[1:] != line_of[:-1])))
-            known_lines = np.union1d(known_lines, _hashes(hashes >> np.uint64(8), first, np.concatenate((first[1:], [len(hashes)]))))
-            out.lines += len(first)
+        kind = np.concatenate((before, kind))
+        before = kind[-(GRAM - 1) :]
         if len(kind) >= GRAM:
             code = np.zeros(len(kind) - GRAM + 1, np.uint64)
             for i in range(GRAM):
                 code = code * np.uint64(16) + kind[i : len(kind) - GRAM + 1 + i]
             grams += np.bincount(((code * _MULTIPLIER) >> np.uint64(40)).astype(np.int64) % buckets, minlength=buckets)
-    out.distinct, out.distinct_lines = len(known), len(known_lines)
+    lines.close()
+    out.lines, out.distinct, out.distinct_lines = lines.n, len(known), len(lines.known)
     return out, grams
 
 
@@ -240,7 +279,8 @@ def fit(df: DataFrame, text_col: str, train_rows: int = TRAIN_ROWS, buckets: int
     patterns, counts = np.array([[int(c) for c in v] for v, _ in counted]), np.array([c for _, c in counted], float)
     votes = fit_votes(patterns, counts)
     part = min(1.0, train_rows / counts.sum())
-    picked = texts.filter(F.pmod(F.xxhash64("__text"), F.lit(1 << 20)) < F.lit(int(part * (1 << 20)) or 1))
+    turn = F.pmod(F.xxhash64("__text"), F.lit(1 << 20)) + F.pmod(F.xxhash64(F.lit(1), "__text"), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    picked = texts.filter(turn < F.lit(part * (1 << 20)))
 
     def prepare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

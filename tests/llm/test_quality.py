@@ -60,3 +60,28 @@ def test_held_out(spark):
     kept = q.keep_accepted(df, "text")
     assert kept.columns == df.columns and kept.count() == sum(r.accepted for r in got.values())
     assert q.classify(df.limit(0), "doc_id", "text").count() == 0
+
+
+def test_pieces_decide_nothing(monkeypatch):
+    """Words and lines longer than a piece, and n-grams across pieces."""
+    r = np.random.default_rng(4)
+    texts = [t.encode() for _, t, _ in made(1, 30)] + [b"", b"x" * 500, b"a b\n" * 90, b"one two " * 60 + b"\n" + b"one two " * 60, "\u65e5\u672c".encode() * 100 + b" x\n\n\ny"]
+    texts += [bytes(r.choice(np.frombuffer(b"ab \n.#", np.uint8), 700)) for _ in range(40)]
+    whole = [q.read(t) for t in texts]
+    for piece in (1, 7, 64):
+        monkeypatch.setattr(q, "PIECE", piece)
+        for t, (s, grams) in zip(texts, whole, strict=True):
+            now = q.read(t)
+            assert now[0] == s and (now[1] == grams).all()
+    lines = [x.split() for x in texts[-1].split(b"\n") if x.split()]
+    assert (whole[-1][0].lines, whole[-1][0].distinct_lines) == (len(lines), len(set(map(tuple, lines))))
+
+
+def test_labelled_rows(spark):
+    """What the labels of the test tables call good and bad."""
+    folder = "/root/testdata/sf0.01"
+    docs, truth = spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/labels.parquet")
+    found = q.classify(docs, "doc_id", "text").join(truth, "doc_id").groupBy("quality", "accepted").count().collect()
+    n = {(x.quality, x.accepted): x["count"] for x in found}
+    assert n.get((1, False), 0) <= 0.01 * (n.get((1, False), 0) + n[1, True])
+    assert n[0, False] >= 0.95 * (n[0, False] + n.get((0, True), 0))
