@@ -4,13 +4,15 @@ An ARC file starts with a ``filedesc:`` record whose body names the version and
 the fields of every header line that follows: five in version 1, ten in
 version 2. Each header line ends with the declared length of the bytes that
 follow. A WARC record takes its identifier from a name-based UUID of address,
-date and payload digest, its date from the 14 digits, its type from address and
+date, payload digest and capture id (without one, of the archive's digest and its
+place there), its date from the 14 digits, its type from address and
 block, and its digests from the bytes themselves.
 
 Defined results: a declared length beyond the end of the archive gives a
 record marked ``WARC-Truncated: length``; a line that is no header is passed
-over; an empty archive gives no record. Equal records (repeated rows) keep the
-same identifier apart from their ordinal in the archive. Null payloads are
+over; an empty archive gives no record. A record converted twice keeps its
+identifier. A page without id has no capture id: it is a response, and nothing
+refers to it. Null payloads are
 empty ones, null addresses become ``urn:none``.
 """
 
@@ -18,8 +20,10 @@ from __future__ import annotations
 
 import gzip
 import hashlib
+import io
 import re
 import uuid
+from calendar import monthrange
 from collections.abc import Iterator
 from urllib.parse import quote
 
@@ -91,10 +95,12 @@ def parse_arc(content: bytes) -> Iterator[dict]:
 
 
 def iso_date(digits: str) -> str:
-    """14 digits (or the 12 of the first archives) as a WARC date."""
+    """14 digits (or the 12 of the first archives) as a WARC date; a part beyond
+    its range becomes the nearest that exists."""
     d = (re.sub(r"\D", "", digits) + "00000000000000")[:14]
-    month, day = max(1, min(12, int(d[4:6]))), max(1, min(31, int(d[6:8])))
-    return f"{d[:4]}-{month:02d}-{day:02d}T{d[8:10]}:{d[10:12]}:{d[12:]}Z"
+    year, month = max(1, int(d[:4])), max(1, min(12, int(d[4:6])))
+    day = max(1, min(monthrange(year, month)[1], int(d[6:8])))
+    return f"{year:04d}-{month:02d}-{day:02d}T{min(23, int(d[8:10])):02d}:{min(59, int(d[10:12])):02d}:{min(59, int(d[12:])):02d}Z"
 
 
 def split_block(block: bytes) -> tuple[bytes, bytes]:
@@ -105,12 +111,15 @@ def split_block(block: bytes) -> tuple[bytes, bytes]:
     return (block, b"") if end < 0 else (block[: end + 4], block[end + 4 :])
 
 
-def convert(record: dict, ordinal: int) -> tuple:
-    """An ARC record as a row of SCHEMA."""
+def convert(record: dict, ordinal: int, archive: str = "") -> tuple:
+    """An ARC record as a row of SCHEMA. archive: a digest of the archive, which
+    with the ordinal names records that have no capture id."""
     url, block = record["URL"], record["body"]
     head, payload = split_block(block)
     if url.startswith("filedesc:"):
         kind, content_type = "warcinfo", "application/warc-fields"
+        block = b"software: netweave\r\nformat: WARC File Format 1.1\r\ndescription: " + b" / ".join(block.split(b"\n")).strip(b" /\r") + b"\r\n"
+        payload = block
     elif head:
         kind, content_type = "response", "application/http; msgtype=response"
     else:
@@ -118,7 +127,7 @@ def convert(record: dict, ordinal: int) -> tuple:
     date, digest = iso_date(record["Archive-date"]), hashlib.sha256(payload).hexdigest()
     found = re.search(re.escape(CAPTURE) + rb"(-?\d+)\r\n", head)
     capture = int(found[1]) if found else None
-    name = f"{url}\n{date}\n{digest}\n{capture if capture is not None else f'#{ordinal}'}"
+    name = f"{url}\n{date}\n{digest}\n{capture if capture is not None else f'{archive}#{ordinal}'}"
     record_id = f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, name)}>"
     return record_id, kind, date, url, record["IP-address"], content_type, block, hashlib.sha256(block).hexdigest(), len(payload), digest, capture, record["truncated"]
 
@@ -173,7 +182,8 @@ def arc_to_warc(df: DataFrame, content_col: str = "content") -> DataFrame:
     that of Spark's ``binaryFile`` reader."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = (convert(r, i) for b in batches for c in b.column(0) if c.is_valid for i, r in enumerate(parse_arc(c.as_py())))
+        contents = (c.as_py() for b in batches for c in b.column(0) if c.is_valid)
+        rows = (convert(r, i, name) for content in contents for name in [hashlib.blake2b(content).hexdigest()] for i, r in enumerate(parse_arc(content)))
         yield from _flushed(rows, 6, _NAMES, _TYPES)
 
     return df.select(content_col).mapInArrow(run, SCHEMA)
@@ -236,7 +246,7 @@ def warc_text(records: DataFrame) -> DataFrame:
     return records.withColumn("__block", block).select(F.concat(header, F.col("__block")).alias("value"))
 
 
-def write_warc(records: DataFrame, path: str, per_file: int = 20_000) -> None:
+def write_warc(records: DataFrame, path: str, per_file: int = 2_000) -> None:
     """Gzipped WARC files of at most per_file records, by Spark's own writer."""
     warc_text(records).write.option("lineSep", RECORD_END).option("compression", "gzip").option("maxRecordsPerFile", per_file).text(path)
 
@@ -248,16 +258,17 @@ _READ_TYPES = [{"string": pa.string(), "binary": pa.binary(), "long": pa.int64()
 
 def parse_warc(content: bytes) -> Iterator[tuple]:
     """Rows of READ_SCHEMA by declared lengths; digests are of the bytes read,
-    and only a revisit's are the recorded ones."""
-    if content[:2] == b"\x1f\x8b":
-        content = gzip.decompress(content)
-    at = 0
-    while (at := content.find(b"WARC/", at)) >= 0:
-        end = content.index(b"\r\n\r\n", at)
-        fields = dict(line.split(": ", 1) for line in content[at:end].decode("utf-8", "replace").split("\r\n")[1:] if ": " in line)
-        length = int(fields["Content-Length"])
-        block, at = content[end + 4 : end + 4 + length], end + 4 + length + len(RECORD_END)
-        head, payload = split_block(block)
+    and only a revisit's are the recorded ones. Compressed files are inflated as
+    they are read, a record at a time."""
+    file = gzip.open(io.BytesIO(content)) if content[:2] == b"\x1f\x8b" else io.BytesIO(content)
+    while line := file.readline():
+        if not line.startswith(b"WARC/"):
+            continue
+        fields = {}
+        while line := file.readline().rstrip(b"\r\n"):
+            name, _, value = line.decode("utf-8", "replace").partition(": ")
+            fields[name] = value
+        head, payload = split_block(file.read(int(fields["Content-Length"])))
         found = re.search(re.escape(CAPTURE) + rb"(-?\d+)\r\n", head)
         recorded = fields["WARC-Payload-Digest"].removeprefix("sha256:")
         kind = fields["WARC-Type"]

@@ -40,3 +40,15 @@ def test_round_trip(spark, tmp_path):
             assert (r.record_type, r.refers_to) == want
             assert bytes(r.payload) == (html.encode() if want[0] == "response" else b"")
     assert a.arc_to_warc(a.pages_to_arc(df.limit(0), "page_id", "url", "html")).count() == 0
+
+
+def test_dates_lengths_and_identifiers():
+    assert a.iso_date("20240231250000") == "2024-02-29T23:00:00Z" and a.iso_date("20230231006199") == "2023-02-28T00:59:59Z"
+    assert a.iso_date("0000") == "0001-01-01T00:00:00Z"
+    short = b"http://o.org/ 1.1.1.1 20240101000000 text/html 2\nabcdef\nhttp://p.org/ 1.1.1.1 20240101000000 text/html 1\nz\n"
+    assert [(r["URL"], r["body"]) for r in a.parse_arc(short)] == [("http://o.org/", b"ab"), ("http://p.org/", b"z")]  # what is beyond the length is no header
+    same = [("http://x/", b"HTTP/1.1 200 OK\r\n\r\nx")]
+    ids = [a.convert(r, i, name)[0] for name in ("first", "second") for i, r in enumerate(a.parse_arc(a.write_arc(same)))]
+    assert len(set(ids)) == 4
+    info = a.convert(next(a.parse_arc(a.write_arc(same))), 0)
+    assert info[1] == "warcinfo" and all(b": " in line for line in info[6].rstrip().split(b"\r\n"))
