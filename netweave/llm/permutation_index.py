@@ -13,9 +13,10 @@ is that of indexing all.
 Queries are fetched and sent in blocks of at most ``block`` vectors, one pass
 over the index a block: what is broadcast is bounded whatever the input.
 
-Defined results: vectors that are null, empty, zero, of another than the most
-frequent dimension or with null or non-finite components take no part, nor do
-rows without an id; rows that repeat id and vector count once; fewer than k
+Defined results: vectors that are null, empty, zero or with null or non-finite
+components take no part, nor do rows without an id; vectors of different
+dimensions have no distance, so each dimension is searched by itself, with
+pivots of its own; rows that repeat id and vector count once; fewer than k
 candidates give all of them; ties go to the smaller id.
 """
 
@@ -42,8 +43,7 @@ def usable(df: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     vector = F.col(vector_col).cast("array<double>")
     rows = df.select(F.col(id_col).cast("long").alias("vec_id"), vector.alias("vector")).filter("vec_id IS NOT NULL AND size(vector) > 0")
     rows = rows.filter(F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("vector", lambda x: x != 0))
-    frequent = rows.groupBy(F.size("vector").alias("n")).count().orderBy(F.desc("count"), F.desc("n")).limit(1).collect()
-    return rows.filter(F.size("vector") == (frequent[0]["n"] if frequent else 0))
+    return rows
 
 
 def few_of_each(rows: DataFrame, most: int) -> DataFrame:
@@ -93,8 +93,12 @@ class Shard:
         return self.ids[chosen][first], distance[first]
 
 
-def _matrix(column: pa.Array) -> np.ndarray:
-    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
+def _by_dimension(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Of a column of vectors, for each dimension where they are and their matrix."""
+    sizes = column.value_lengths().to_numpy()
+    for size in np.unique(sizes):
+        at = np.flatnonzero(sizes == size)
+        yield at, column.take(pa.array(at)).flatten().to_numpy(zero_copy_only=False).reshape(len(at), size)
 
 
 def search(df: DataFrame, id_col: str, vector_col: str, every: int = 100, k: int = 10, pivots: int = PIVOTS, prefix: int = PREFIX, rerank: float = RERANK, block: int = BLOCK, shard: int = SHARD) -> DataFrame:
@@ -108,32 +112,41 @@ def search(df: DataFrame, id_col: str, vector_col: str, every: int = 100, k: int
     spark = df.sparkSession
     rows = usable(df, id_col, vector_col)
     indexed = cut(few_of_each(rows, k + 1))
-    chosen = indexed.groupBy("k1").agg(F.first("vector").alias("vector")).orderBy("k1").limit(pivots).collect()
+    first = W.partitionBy(F.size("vector")).orderBy("k1")
+    chosen = indexed.groupBy("k1").agg(F.first("vector").alias("vector")).withColumn("nr", F.row_number().over(first)).filter(F.col("nr") <= pivots).orderBy("k1").collect()
     out, results = "query_id long, vec_id long, score double", "query_id long, rank int, vec_id long, score double"
     if not chosen:
         return spark.createDataFrame([], results)
-    points = spark.sparkContext.broadcast(np.array([row["vector"] for row in sorted(chosen)]))
+    sizes = {len(row["vector"]) for row in chosen}
+    points = spark.sparkContext.broadcast({n: np.array([row["vector"] for row in chosen if len(row["vector"]) == n]) for n in sizes})
     parts = max(1, -(-indexed.count() // shard))
-    index = indexed.select("vec_id", "vector", "k1").repartition(parts, "k1").select("vec_id", "vector")
+    index = indexed.select("vec_id", "vector", "k1").repartition(parts, "k1").sortWithinPartitions(F.size("vector"), "k1").select("vec_id", "vector")
     index_path, found_path = shared_path(spark, "index"), shared_path(spark, "found")
     index.write.parquet(index_path)
     index = spark.read.schema("vec_id long, vector array<double>").parquet(index_path)
     queries = cut(rows.filter(F.pmod("vec_id", F.lit(every)) == 0).distinct()).toLocalIterator()
     blocks = 0
     while part := list(islice(queries, block)):
-        sent = spark.sparkContext.broadcast((np.array([q["vec_id"] for q in part]), np.array([q["vector"] for q in part])))
+        by_size: dict[int, tuple[list, list]] = {}
+        for q in part:
+            held = by_size.setdefault(len(q["vector"]), ([], []))
+            held[0].append(q["vec_id"])
+            held[1].append(q["vector"])
+        sent = spark.sparkContext.broadcast({n: (np.array(ids), np.array(vectors)) for n, (ids, vectors) in by_size.items()})
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            ids, vectors = sent.value
-            nearest = permutations(vectors, points.value, prefix)
+            nearest = {n: permutations(vectors, points.value[n], prefix) for n, (_, vectors) in sent.value.items()}
             for batch in batches:
-                if not batch.num_rows:
-                    continue
-                files = Shard(batch.column(0).to_numpy(), _matrix(batch.column(1)), points.value, prefix)
-                hits = [files.search(i, v, p, k, rerank) for i, v, p in zip(ids, vectors, nearest, strict=True)]
-                sizes = [len(h[0]) for h in hits]
-                columns = (np.repeat(ids, sizes), np.concatenate([h[0] for h in hits]), np.concatenate([h[1] for h in hits]))
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["query_id", "vec_id", "score"])
+                for at, matrix in _by_dimension(batch.column(1)):
+                    n = matrix.shape[1]
+                    if n not in nearest:
+                        continue
+                    ids, vectors = sent.value[n]
+                    files = Shard(batch.column(0).to_numpy()[at], matrix, points.value[n], prefix)
+                    hits = [files.search(i, v, p, k, rerank) for i, v, p in zip(ids, vectors, nearest[n], strict=True)]
+                    found = [len(h[0]) for h in hits]
+                    columns = (np.repeat(ids, found), np.concatenate([h[0] for h in hits]), np.concatenate([h[1] for h in hits]))
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["query_id", "vec_id", "score"])
 
         best = W.partitionBy("query_id").orderBy("score", "vec_id")
         found = index.mapInArrow(run, out).groupBy("query_id", "vec_id").agg(F.min("score").alias("score")).withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)

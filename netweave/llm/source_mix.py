@@ -144,14 +144,17 @@ def mix(df: DataFrame, id_col: str, text_col: str, source_col: str, weights: Seq
 
 def serve(df: DataFrame, id_col: str, text_col: str, source_col: str, weights: Sequence[int] = (5, 2, 1), repeat: int = 3, seed: int = 0) -> DataFrame:
     """The rows of df that the mix takes, as often as it takes them, range-sorted by
-    virtual finish time; with the columns ``mix_pass`` and ``mix_finish``."""
+    virtual finish time; with the columns ``mix_pass`` and ``mix_finish``, which
+    replace any of these names."""
     planned = mix(df, id_col, text_col, source_col, weights, repeat, seed).filter("times > 0")
     planned = planned.select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key"), F.col("finish").alias("__finish"), F.col("times").alias("__times"), F.col("source").alias("__source"), (F.col("source_size") / F.col("target")).alias("__pass"))
     planned = planned.withColumn("__nr", F.row_number().over(W.partitionBy("__id", "__key", "__source").orderBy("__finish")))
-    rows = df.withColumn("__text_key", F.xxhash64(F.col(text_col)))
-    rows = rows.withColumn("__row", F.row_number().over(W.partitionBy(id_col, "__text_key", source_col).orderBy(F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]))))
-    same = F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__text_key") == F.col("__key")) & F.col(source_col).eqNullSafe(F.col("__source"))
-    joined = rows.join(planned, same & (F.col("__row") == F.col("__nr")))
-    copies = joined.withColumn("mix_pass", F.explode(F.sequence(F.lit(0), F.col("__times") - 1))).withColumn("mix_finish", F.col("__finish") + F.col("mix_pass") * F.col("__pass"))
-    served = copies.select(*[F.col(f"`{c}`") for c in df.columns], "mix_pass", "mix_finish")
-    return served.repartitionByRange("mix_finish", id_col).sortWithinPartitions("mix_finish", id_col)
+    rows = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("__row"))  # one column, so that its own names cannot clash
+    key, text, source = F.col("__row")[id_col], F.col("__row")[text_col], F.col("__row")[source_col]
+    rows = rows.withColumns({"__own_id": key, "__own_key": F.xxhash64(text), "__own_source": source})
+    rows = rows.withColumn("__own_nr", F.row_number().over(W.partitionBy("__own_id", "__own_key", "__own_source").orderBy(F.xxhash64("__row"))))
+    same = F.col("__own_id").eqNullSafe(F.col("__id")) & (F.col("__own_key") == F.col("__key")) & F.col("__own_source").eqNullSafe(F.col("__source"))
+    joined = rows.join(planned, same & (F.col("__own_nr") == F.col("__nr")))
+    copies = joined.withColumn("__copy", F.explode(F.sequence(F.lit(0), F.col("__times") - 1))).withColumn("__at", F.col("__finish") + F.col("__copy") * F.col("__pass"))
+    served = copies.repartitionByRange("__at", "__own_id").sortWithinPartitions("__at", "__own_id")
+    return served.select(*[F.col("__row")[c].alias(c) for c in df.columns if c not in ("mix_pass", "mix_finish")], F.col("__copy").alias("mix_pass"), F.col("__at").alias("mix_finish"))
