@@ -56,6 +56,17 @@ def angle_apart(a: Column, b: Column) -> Column:
     return F.least(apart, F.lit(360.0) - apart)
 
 
+#: Lengths of a scale bar, in metres.
+NICE_STEPS = (25, 50, 100, 200, 250, 500, 1000, 2000, 5000)
+
+
+def scale_step(span: Column, share: float = 0.24) -> Column:
+    """The length of a scale bar nearest to that share of a map's width, of
+    equals the shorter."""
+    steps = F.array(*[F.struct(F.abs(F.lit(s) - span * share).alias("off"), F.lit(s).alias("step")) for s in NICE_STEPS])
+    return F.array_min(steps)["step"]
+
+
 def polygon_area(ring: Column) -> Column:
     """Area of a ring of points (shoelace), whichever way round."""
     shifted = F.concat(F.slice(ring, F.lit(2), F.size(ring) - 1), F.slice(ring, F.lit(1), F.lit(1)))

@@ -25,6 +25,46 @@ def service_area(cells: DataFrame, nodes: DataFrame, ring: list[tuple[float, flo
     return inside.join(served, "cell", "left_semi")
 
 
+def segment_distance(x: Column, y: Column, ax: Column, ay: Column, bx: Column, by: Column) -> Column:
+    """Distance of a point from a straight segment."""
+    dx, dy = bx - ax, by - ay
+    length = dx * dx + dy * dy
+    t = F.when(length > 0, F.greatest(F.lit(0.0), F.least(F.lit(1.0), ((x - ax) * dx + (y - ay) * dy) / length))).otherwise(F.lit(0.0))
+    px, py = x - (ax + t * dx), y - (ay + t * dy)
+    return F.sqrt(px * px + py * py)
+
+
+def network_service_area(cells: DataFrame, pipes: DataFrame, ring: list[tuple[float, float]] | None, reach: float) -> DataFrame:
+    """The cells inside the boundary and within reach of a pipe (x1, y1, x2,
+    y2), anywhere along it. If there are none, all cells inside the boundary.
+
+    Points along each pipe, at most reach apart, are posted to the squares
+    around them; a cell is compared with the pipes posted to its own square."""
+    inside = cells.filter(in_polygon(F.col("x"), F.col("y"), ring)) if ring else cells
+    side = 1.25 * reach  # what is within reach of a pipe is in a square next to one of its points
+    dx, dy = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")
+    steps = F.greatest(F.ceil(F.sqrt(dx * dx + dy * dy) / reach), F.lit(1))
+    along = pipes.select("x1", "y1", "x2", "y2").distinct().withColumn("n", steps).withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n"))))
+    share = F.col("i") / F.col("n")
+    around = F.array(*[F.struct((F.floor((F.col("x1") + share * dx) / side) + i).alias("cx"), (F.floor((F.col("y1") + share * dy) / side) + j).alias("cy")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
+    posted = along.select("x1", "y1", "x2", "y2", F.explode(around).alias("at")).select("x1", "y1", "x2", "y2", "at.cx", "at.cy").distinct()
+    placed = inside.withColumn("cx", F.floor(F.col("x") / side)).withColumn("cy", F.floor(F.col("y") / side))
+    near = segment_distance(*[F.col(c) for c in ("x", "y", "x1", "y1", "x2", "y2")]) <= reach
+    served = placed.join(posted, ["cx", "cy"]).filter(near).select("cell").distinct()
+    found = inside.join(served, "cell", "left_semi")
+    return found if found.take(1) else inside
+
+
+def too_concentrated(shares: DataFrame, limit: float = 0.05) -> bool:
+    """Whether one node takes more than that part of all demand, of what
+    ``concentration`` gives; warns if so."""
+    share = shares.first()["top1_share"]
+    if share is not None and share > limit:
+        warnings.warn(f"one node takes {share:.1%} of the demand", stacklevel=2)
+        return True
+    return False
+
+
 def voronoi_share(cells: DataFrame, nodes: DataFrame, step: float) -> DataFrame:
     """(node_id, n_cells, area): the cells nearest to each node, ties to the
     smaller id; a Voronoi cell to the grid's accuracy. Nodes without a cell

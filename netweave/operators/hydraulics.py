@@ -71,6 +71,13 @@ def pick_source(pipes: DataFrame) -> DataFrame:
     return tips.select("tip.*").orderBy(F.desc("y"), "node_id").limit(1)
 
 
+def source_at(nodes: DataFrame, x: float, y: float) -> DataFrame:
+    """(node_id, x, y): the node nearest to a place, such as a given point or
+    the first of a layer; of equals the smallest id; one row."""
+    dx, dy = F.col("x") - x, F.col("y") - y
+    return nodes.agg(F.min(F.struct((dx * dx + dy * dy).alias("d"), "node_id", "x", "y")).alias("best")).select("best.node_id", "best.x", "best.y").filter("node_id IS NOT NULL")
+
+
 def spanning_tree(links: DataFrame, roots: DataFrame, src: str = "node1", dst: str = "node2", key: str = "link_id") -> DataFrame:
     """(node_id, depth, parent, link_id): breadth-first trees from the roots
     (node_id), one round a level. A node reached over several links keeps that

@@ -122,6 +122,17 @@ def components_by_size(links: DataFrame, src: str = "node1", dst: str = "node2")
     return connected_components(links, src, dst).groupBy("component").agg(F.count("*").alias("n_nodes")).orderBy(F.desc("n_nodes"), "component")
 
 
+def select_cluster(lines: DataFrame, cluster: str, inside: Column | None = None, length: str = "length_m", least: float = 0.05) -> DataFrame:
+    """The lines of the cluster with the largest share inside, of equals the
+    longest; without a test, or where no cluster has more than least inside, of
+    the longest; then of equals the smallest."""
+    share = F.avg(F.when(inside, 1.0).otherwise(0.0)) if inside is not None else F.lit(0.0)
+    stats = lines.groupBy(cluster).agg(share.alias("share"), F.sum(F.col(length).cast("decimal(28,9)")).alias("total"))
+    some = stats.agg((F.max("share") > least).alias("some"))  # one row
+    ranked = stats.crossJoin(F.broadcast(some)).orderBy(F.when(F.col("some"), F.col("share")).otherwise(0.0).desc(), F.desc("total"), cluster)
+    return lines.join(F.broadcast(ranked.limit(1).select(F.col(cluster).alias("__best"))), F.col(cluster) == F.col("__best"), "left_semi")
+
+
 def largest_component(links: DataFrame, src: str = "node1", dst: str = "node2") -> DataFrame:
     """The links of the component with most nodes, of equals that with the
     smallest node."""

@@ -13,7 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from netweave.operators import topology
-from netweave.session import cut, table
+from netweave.session import cut, release, table
 
 LADDER = (40.0, 50.0, 75.0, 100.0, 150.0, 200.0, 250.0, 300.0, 350.0, 400.0)
 
@@ -43,19 +43,29 @@ pipes AS (
 """
 
 
-def memo(build):
-    """Build a fixture once for a session and folder, kept in the shared folder."""
-    held: dict = {}
+_HELD: dict = {}
+
+
+def memo(build, keep=cut):
+    """Build a fixture once for a session and folder, kept in the shared folder
+    until ``forget`` is called or the application ends."""
 
     def get(spark: SparkSession, sf_dir: str) -> DataFrame:
-        key = (spark.sparkContext.applicationId, sf_dir)
-        if key not in held:
-            held[key] = cut(build(spark, sf_dir))
-        return held[key]
+        key = (build.__module__, build.__name__, spark.sparkContext.applicationId, sf_dir)
+        if key not in _HELD:
+            _HELD[key] = keep(build(spark, sf_dir))
+        return _HELD[key]
 
     return get
 
 
+def forget() -> None:
+    """Delete what memo has kept: after the tables change, or to time a query whole."""
+    for held in _HELD.values():
+        release(held)
+    _HELD.clear()
+
+
 @memo
 def net_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     customer = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")

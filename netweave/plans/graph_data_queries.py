@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import functions as F
 
 from netweave.operators import placement
 from netweave.plans.fixtures import BASE, PIPES, memo, net_pipes
 from netweave.plans.placement_queries import FIGURES, RISKS, chosen
 from netweave.plans.registry import query
-from netweave.rdf import emit, profile, turtle
+from netweave.rdf import emit, profile, store, turtle
 from netweave.rdf import vocabulary as V
 from netweave.rdf.sparql import sparql
 from netweave.session import shared_path, table
@@ -17,7 +19,7 @@ PREFIX = {"n": V.NS}
 TYPE = "<http://www.w3.org/1999/02/22-rdf-syntax-ns#type>"
 
 
-@memo
+@partial(memo, keep=store.stored_graph)
 def triples(spark, sf_dir):
     nodes = chosen(spark, sf_dir)
     zone = F.concat(F.lit("N"), F.col("cluster") - 1)
@@ -77,7 +79,8 @@ IRI = lambda e: f"'{V.NS}' || {e}"
 
 
 def ask(spark, sf_dir, text):
-    return sparql(triples(spark, sf_dir), text, PREFIX, counts={})
+    graph = triples(spark, sf_dir)
+    return sparql(graph, text, PREFIX, counts=store.counts(graph))
 
 
 @query("triples_build", TRIPLES + "SELECT s, p, o FROM triples")

@@ -231,6 +231,24 @@ def registration_grid(spark, sf_dir):
     return spark.createDataFrame([(found["dx"], found["dy"], found["iou"], found["contrast"])], "dx double, dy double, iou double, contrast double")
 
 
+@query("select_cluster", f"WITH {BASE}, {PIPES}, stats AS (SELECT cluster, avg(CASE WHEN x1 < 600 AND y1 < 600 THEN 1.0 ELSE 0.0 END) AS share, sum(CAST(length_m AS DECIMAL(28,9))) AS total FROM pipes GROUP BY cluster), best AS (SELECT cluster FROM stats ORDER BY CASE WHEN (SELECT max(share) FROM stats) > 0.05 THEN share ELSE 0 END DESC, total DESC, cluster LIMIT 1) SELECT link_id, cluster FROM pipes WHERE cluster IN (SELECT cluster FROM best)")
+def select_cluster(spark, sf_dir):
+    """The pipes of the network that lies most inside a box, else of the longest."""
+    return topology.select_cluster(net_pipes(spark, sf_dir), "cluster", (F.col("x1") < 600) & (F.col("y1") < 600)).select("link_id", "cluster")
+
+
+@query("source_at", f"WITH {BASE} SELECT node_id, x, y FROM nodes ORDER BY (x - 500) * (x - 500) + (y - 250) * (y - 250), node_id LIMIT 1")
+def source_at(spark, sf_dir):
+    return hydraulics.source_at(net_nodes(spark, sf_dir), 500.0, 250.0)
+
+
+@query("line_middle", f"WITH {BASE}, {PIPES} SELECT link_id, round((x1 + x2) / 2, 6) AS x, round((y1 + y2) / 2, 6) AS y FROM pipes WHERE length_m > 0")
+def line_middle(spark, sf_dir):
+    """The point at half of each pipe's length."""
+    middle = cleaning.point_along(F.col("points"), F.lit(0.5))
+    return chords(spark, sf_dir).select(F.col("line_id").alias("link_id"), middle.alias("p")).filter("p IS NOT NULL").select("link_id", F.round("p.x", 6).alias("x"), F.round("p.y", 6).alias("y"))
+
+
 @query("cluster_choice", "SELECT c_mktsegment AS best FROM customer GROUP BY 1 ORDER BY CAST(count(*) FILTER (c_acctbal > 0) AS DOUBLE) / count(*) DESC, count(*) DESC LIMIT 1")
 def cluster_choice(spark, sf_dir):
     """The cluster with the largest share inside, of equals the longest."""

@@ -94,6 +94,16 @@ def service_area(spark, sf_dir):
     return demand.service_area(cells(spark), net_nodes(spark, sf_dir), RING, 40.0)
 
 
+_SEGMENT = """(SELECT cell, CASE WHEN px * px + py * py > 0 THEN greatest(0, least(1, (qx * px + qy * py) / (px * px + py * py))) ELSE 0 END AS t, px, py, qx, qy FROM (
+  SELECT cell, x2 - x1 AS px, y2 - y1 AS py, cells.x - x1 AS qx, cells.y - y1 AS qy FROM cells, pipes))"""
+
+
+@query("network_service_area", f"WITH {BASE}, {PIPES}, cells AS (SELECT range AS cell, (range % 20 + 0.5::DOUBLE) * 50 AS x, (floor(range / 20) + 0.5::DOUBLE) * 50 AS y FROM range(400)), near AS (SELECT DISTINCT cell FROM {_SEGMENT} WHERE sqrt((qx - t * px) * (qx - t * px) + (qy - t * py) * (qy - t * py)) <= 5) SELECT cell, x, y FROM cells JOIN near USING (cell) WHERE {_winding('x', 'y')}")
+def network_service_area(spark, sf_dir):
+    """Cells within 5 m of a pipe, anywhere along it."""
+    return demand.network_service_area(cells(spark), net_pipes(spark, sf_dir), RING, 5.0)
+
+
 @query("alloc_voronoi", GRID + "SELECT few.node_id, CAST(count(owner.cell) * 2500.0 AS DOUBLE) / CAST(1000000 AS DOUBLE) * 20.98::DOUBLE AS demand FROM few LEFT JOIN owner USING (node_id) GROUP BY few.node_id")
 def alloc_voronoi(spark, sf_dir):
     return demand.allocate(net_nodes(spark, sf_dir), 20.98, "voronoi", areas=voronoi_grid_share(spark, sf_dir))

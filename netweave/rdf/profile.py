@@ -3,7 +3,7 @@ follows from the vocabulary."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from netweave.rdf import vocabulary as V
@@ -36,6 +36,28 @@ def schema_patterns(triples: DataFrame) -> DataFrame:
     return edges.join(from_, "s").join(to, "o").groupBy("class1", "p", "class2").agg(F.count("*").alias("n"))
 
 
+def schema_json(triples: DataFrame) -> DataFrame:
+    """(json): the derived schema as one document: a node for each class with its
+    things, an edge for each pattern, and the largest class. Classes and
+    patterns are few, being part of the vocabulary."""
+    local = lambda c: F.regexp_extract(c, r"([^#/]+)>$", 1)
+    things = specific_type(triples).groupBy(local(F.col("type")).alias("id")).agg(F.count("*").alias("n"))
+    edges = schema_patterns(triples).select(local(F.col("class1")).alias("source"), local(F.col("p")).alias("label"), local(F.col("class2")).alias("target"), "n")
+    ends = edges.select(F.explode(F.array("source", "target")).alias("id")).distinct()
+    nodes = ends.join(things, "id", "left").select(F.struct("id", F.col("id").alias("label"), F.coalesce("n", F.lit(0)).alias("n")).alias("data"))
+    sources = edges.agg(F.sort_array(F.collect_list(F.struct("source", "target", "label", "n"))).alias("edges"))
+    targets = nodes.agg(F.sort_array(F.collect_list("data")).alias("nodes"))
+    counts = things.agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("id", "n")))).alias("counts"), F.max("n").alias("maxN"))
+    return targets.crossJoin(sources).crossJoin(counts).select(F.to_json(F.struct("nodes", "edges", "counts", "maxN")).alias("json"))  # one row each
+
+
+def ids_of(term: Column, kind: str = "J") -> Column:
+    """The number of a node (J) or pipe (P) that a prefixed name or IRI ends
+    in, such as ``J12``; null for any other term."""
+    found = F.regexp_extract(term, rf"(?:^|[:#/])({kind}\d+)>?$", 1)
+    return F.when(found != "", found)
+
+
 def predicate_counts(triples: DataFrame) -> DataFrame:
     return triples.groupBy("p").agg(F.count("*").alias("n"))
 

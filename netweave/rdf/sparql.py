@@ -67,6 +67,22 @@ def as_bool(v: Value) -> Column:
     return F.when(boolean, T.text(v.col) == "true").when(n.isNotNull(), n != 0).when(T.is_literal(v.col), T.text(v.col) != "")
 
 
+def turned(path: tuple) -> tuple:
+    """The path walked from its object to its subject."""
+    kind = path[0]
+    if kind == "term":
+        return ("inv", path)
+    if kind == "inv":
+        return path[1]
+    if kind == "alt":
+        return (kind, [turned(x) for x in path[1]])
+    if kind == "seq":
+        return (kind, [turned(x) for x in reversed(path[1])])
+    if kind == "not":
+        return (kind, [(not inverse, n) for inverse, n in path[1]])
+    return (kind, turned(path[1]))
+
+
 class Compiler:
     def __init__(self, triples: DataFrame, counts: dict[str, int] | None = None):
         self.triples = triples.select("s", "p", "o")
@@ -136,8 +152,10 @@ class Compiler:
     def pattern(self, s: tuple, p: tuple, o: tuple) -> Solutions:
         if p[0] in ("term", "var"):
             return self.scan(s, p, o)
-        start = s[1] if s[0] == "term" else None
-        df = self.pairs(p, start)
+        if s[0] != "term" and o[0] == "term":  # walked from the end that is known
+            df = self.pairs(turned(p), o[1]).select(F.col("o").alias("s"), F.col("s").alias("o"))
+        else:
+            df = self.pairs(p, s[1] if s[0] == "term" else None)
         wanted, kinds = [], {}
         for column, part in (("s", s), ("o", o)):
             if part[0] == "term":
@@ -190,6 +208,12 @@ class Compiler:
         return right, on, shared
 
     def join(self, a: Solutions, b: Solutions, how: str = "inner", extra: Column | None = None) -> Solutions:
+        shared = [v for v in a.kinds if v in b.kinds]
+        open_to = next((v for v in shared if v in a.unsure and a.kinds[v] == b.kinds[v]), None)
+        if open_to and extra is None:
+            return self._split(a, b, open_to, how)
+        if how == "inner" and any(v in b.unsure and v not in a.unsure and a.kinds[v] == b.kinds[v] for v in shared):
+            return self.join(b, a)
         right, on, shared = self._on(a, b)
         on = on if extra is None else on & extra
         joined = a.df.join(right, on, how)
@@ -208,6 +232,15 @@ class Compiler:
                     unsure.add(v)
         return Solutions(joined.select(*cols) if cols else joined.select(F.lit(1).alias("__one")), kinds, unsure)
 
+    def _split(self, a: Solutions, b: Solutions, v: str, how: str) -> Solutions:
+        """A join on a variable that a may leave unbound, as two: a's solutions
+        that bind it, on equality, and the others, to which it is no variable of
+        a's. A condition that allows null would leave no key to join on."""
+        bound = self.join(Solutions(a.df.filter(F.col(v).isNotNull()), a.kinds, a.unsure - {v}), b, how)
+        rest = a.df.filter(F.col(v).isNull()).drop(v)
+        free = self.join(Solutions(rest if rest.columns else rest.select(F.lit(1).alias("__one")), {k: x for k, x in a.kinds.items() if k != v}, a.unsure - {v}), b, how)
+        return Solutions(bound.df.unionByName(free.df.select(*bound.df.columns)), bound.kinds, bound.unsure | free.unsure)
+
     def exists(self, a: Solutions, inner: list, wanted: bool) -> Solutions:
         b = self.group(inner, outer=set(a.kinds))
         right, on, _ = self._on(a, b)

@@ -85,11 +85,11 @@ def rdf_xml_lines(triples: DataFrame) -> DataFrame:
     from netweave.rdf import terms as T
 
     o = F.col("o")
-    about = F.when(T.is_blank(F.col("s")), F.concat(F.lit('rdf:nodeID="'), F.substring("s", 3, 1000), F.lit('"'))).otherwise(F.concat(F.lit('rdf:about="'), xml(T.text(F.col("s"))), F.lit('"')))
+    about = F.when(T.is_blank(F.col("s")), F.concat(F.lit('rdf:nodeID="'), F.regexp_replace("s", "^_:", ""), F.lit('"'))).otherwise(F.concat(F.lit('rdf:about="'), xml(T.text(F.col("s"))), F.lit('"')))
     typed, lang = F.regexp_extract(o, r'\^\^<([^>]*)>$', 1), T.language(o)
     value = (
         F.when(T.is_iri(o), F.concat(F.lit(' rdf:resource="'), xml(T.text(o)), F.lit('"/>')))
-        .when(T.is_blank(o), F.concat(F.lit(' rdf:nodeID="'), F.substring(o, 3, 1000), F.lit('"/>')))
+        .when(T.is_blank(o), F.concat(F.lit(' rdf:nodeID="'), F.regexp_replace(o, "^_:", ""), F.lit('"/>')))
         .otherwise(F.concat(F.when(lang != "", F.concat(F.lit(' xml:lang="'), lang, F.lit('"'))).when(typed != "", F.concat(F.lit(' rdf:datatype="'), typed, F.lit('"'))).otherwise(""), F.lit(">"), xml(T.text(o)), F.lit("</p:"), name, F.lit(">")))
     )
     return triples.select(F.concat(F.lit("<rdf:Description "), about, F.lit('><p:'), name, F.lit(' xmlns:p="'), space, F.lit('"'), value, F.lit("</rdf:Description>")).alias("line"))

@@ -27,6 +27,23 @@ def geojson_points(df: DataFrame, keep: Sequence[str], lon: Column, lat: Column)
     return df.select(F.to_json(F.struct(F.lit("Feature").alias("type"), F.struct(*tidy(df, keep)).alias("properties"), place.alias("geometry"))).alias("feature"))
 
 
+def geojson_shapes(df: DataFrame, keep: Sequence[str], parts: Column, kind: str) -> DataFrame:
+    """(feature): a GeoJSON line (``LineString``: the first of parts) or polygon
+    (``Polygon``: rings, closed where they are not) a row, of arrays of points
+    x, y in degrees; places to 6 digits."""
+    pairs = lambda line: F.transform(line, lambda p: F.array(F.round(p.x, 6), F.round(p.y, 6)))
+    closed = lambda ring: F.when(F.element_at(ring, 1) == F.element_at(ring, -1), ring).otherwise(F.concat(ring, F.slice(ring, 1, 1)))
+    shape = pairs(F.element_at(parts, 1)) if kind == "LineString" else F.transform(parts, lambda ring: pairs(closed(ring)))
+    geometry_ = F.struct(F.lit(kind).alias("type"), shape.alias("coordinates"))
+    return df.select(F.to_json(F.struct(F.lit("Feature").alias("type"), F.struct(*tidy(df, keep)).alias("properties"), geometry_.alias("geometry"))).alias("feature"))
+
+
+def control_points_yaml(points: Sequence[tuple[float, float, float, float]]) -> str:
+    """The settings of a registration by control points (drawing x, y, world x, y)."""
+    head = ["georeference:", "  mode: control_points", "  allow_rotation: false", "  allow_scale: false", "  control_points:"]
+    return "\n".join(head + [line for x, y, e, n in points for line in (f"    - cad:   [{x:.1f}, {y:.1f}]", f"      world: [{e:.2f}, {n:.2f}]")]) + "\n"
+
+
 def geojson_utm(df: DataFrame, keep: Sequence[str], zone: int, south: bool = False) -> DataFrame:
     """As geojson_points, from x and y in a UTM zone."""
     return geojson_points(df, keep, *geometry.from_utm(F.col("x"), F.col("y"), zone, south))
