@@ -45,12 +45,12 @@ def cascade(nodes: DataFrame, group: str = "cluster", classes: Sequence[str] = (
 def top_up(flagged: DataFrame, group: str = "cluster", floor: int = 5) -> DataFrame:
     """Adds ``selected``: the passed nodes and, where a group has fewer than
     floor, the best of its f1 and f2 nodes by demand, then id."""
-    by_demand = W.partitionBy(group, "pool").orderBy(F.desc("demand_lps"), "node_id")
-    pool = F.expr("f1_topology AND f2_elevation AND NOT passed")
-    ranked = flagged.withColumn("pool", pool).withColumn("nr", F.row_number().over(by_demand))
-    ranked = ranked.withColumn("n_passed", F.sum(F.col("passed").cast("int")).over(W.partitionBy(group)))
-    added = F.col("pool") & (F.col("nr") <= F.lit(floor) - F.col("n_passed"))
-    return ranked.withColumn("selected", F.col("passed") | added).drop("pool", "nr", "n_passed")
+    by_demand = W.partitionBy(group).orderBy(F.desc("demand_lps"), "node_id")
+    pool = flagged.filter("f1_topology AND f2_elevation AND NOT passed").select(group, "node_id", "demand_lps")
+    best = pool.withColumn("nr", F.row_number().over(by_demand)).filter(F.col("nr") <= floor)  # so many of a group at most leave a task
+    passed = flagged.groupBy(group).agg(F.sum(F.col("passed").cast("int")).alias("n_passed"))
+    added = best.join(passed, group).filter(F.col("nr") <= F.lit(floor) - F.col("n_passed")).select("node_id", F.lit(True).alias("added"))
+    return flagged.join(added, "node_id", "left").withColumn("selected", F.col("passed") | F.coalesce("added", F.lit(False))).select(*flagged.columns, "selected")
 
 
 def attrition(selected: DataFrame) -> DataFrame:

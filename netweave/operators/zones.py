@@ -16,7 +16,9 @@ def kmeans_zones(points: DataFrame, columns: Sequence[str], k: int = 5, seed: in
     if points.select(*columns).distinct().limit(k).count() < k:
         raise ValueError(f"fewer than {k} distinct points")
     kept = points.columns
-    vectors = VectorAssembler(inputCols=list(columns), outputCol="__v").transform(points).cache()
+    assembled = VectorAssembler(inputCols=list(columns), outputCol="__v").transform(points)
+    vectors = assembled.select("__v").cache()
     models = [KMeans(k=k, seed=seed + i, featuresCol="__v", predictionCol="__z", maxIter=60, tol=1e-6).fit(vectors) for i in range(starts)]
     best = min(models, key=lambda m: m.summary.trainingCost)
-    return best.transform(vectors).select(*kept, (F.col("__z") + 1).alias(name)), [c.tolist() for c in best.clusterCenters()]
+    vectors.unpersist()
+    return best.transform(assembled).select(*kept, (F.col("__z") + 1).alias(name)), [c.tolist() for c in best.clusterCenters()]

@@ -159,6 +159,20 @@ def network_problems(spark, sf_dir):
     return hydraulics.check_network(net_nodes(spark, sf_dir), net_pipes(spark, sf_dir))
 
 
+@query("network_faults", f"""WITH {BASE}, {PIPES}, broken AS (SELECT link_id, node1, CASE WHEN length_m > 1000 THEN -link_id ELSE node2 END AS node2, length_m, CASE WHEN length_m < 100 THEN 0 ELSE diameter_mm END AS diameter_mm FROM pipes),
+  every AS (SELECT node_id FROM nodes UNION ALL SELECT -1000000 - s_suppkey FROM supplier)
+  SELECT 'diameter' AS problem, CAST(link_id AS VARCHAR) AS id FROM broken WHERE diameter_mm <= 0 UNION ALL SELECT 'length', CAST(link_id AS VARCHAR) FROM broken WHERE length_m <= 0
+  UNION ALL SELECT 'loop', CAST(link_id AS VARCHAR) FROM broken WHERE node1 = node2 UNION ALL SELECT 'unknown end', CAST(link_id AS VARCHAR) FROM broken WHERE node2 NOT IN (SELECT node_id FROM every)
+  UNION ALL SELECT 'no pipe', CAST(node_id AS VARCHAR) FROM every WHERE node_id NOT IN (SELECT node1 FROM broken UNION SELECT node2 FROM broken)""")
+def network_faults(spark, sf_dir):
+    """A network with faults of most kinds: short pipes without a diameter, long
+    ones to nowhere, nodes without a pipe."""
+    pipes = net_pipes(spark, sf_dir)
+    pipes = pipes.withColumns({"node2": F.when(F.col("length_m") > 1000, -F.col("link_id")).otherwise(F.col("node2")), "diameter_mm": F.when(F.col("length_m") < 100, 0.0).otherwise(F.col("diameter_mm"))})
+    lone = table(spark, sf_dir, "supplier").select((F.lit(-1000000) - F.col("s_suppkey")).alias("node_id"))
+    return hydraulics.check_network(net_nodes(spark, sf_dir).select("node_id").union(lone), pipes)
+
+
 @query("prune_dangles")
 def prune_dangles(spark, sf_dir):
     """Free short links go, again and again."""
@@ -192,7 +206,10 @@ def network_build(spark, sf_dir):
     return links.select("link_id", "node1", "node2", "length_m")
 
 
-@query("contract_short")
+@query("contract_short", f"""WITH RECURSIVE {BASE}, {PIPES}, short AS (SELECT node1 AS a, node2 AS b FROM pipes WHERE length_m < 60 AND node1 <> node2 UNION ALL SELECT node2, node1 FROM pipes WHERE length_m < 60 AND node1 <> node2),
+  walk AS (SELECT a AS node_id, a AS c FROM short UNION SELECT b, c FROM walk JOIN short ON a = node_id), moved AS (SELECT node_id, min(c) AS c FROM walk GROUP BY node_id),
+  ends AS (SELECT link_id, coalesce(m.c, node1) AS node1, coalesce(n.c, node2) AS node2 FROM pipes LEFT JOIN moved m ON m.node_id = node1 LEFT JOIN moved n ON n.node_id = node2)
+  SELECT link_id, node1, node2 FROM ends WHERE node1 <> node2""")
 def contract_short(spark, sf_dir):
     links, _ = topology.merge_short(net_pipes(spark, sf_dir), net_nodes(spark, sf_dir), 60.0)
     return links.select("link_id", "node1", "node2")

@@ -158,6 +158,12 @@ def anti_join_unselected(spark, sf_dir):
     return table(spark, sf_dir, "customer").select("c_custkey").join(table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_anti")
 
 
+@query("anti_join_small", "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 300000)")
+def anti_join_small(spark, sf_dir):
+    big = table(spark, sf_dir, "orders").filter("o_totalprice > 300000").select(F.col("o_custkey").alias("c_custkey"))
+    return table(spark, sf_dir, "customer").select("c_custkey").join(big, "c_custkey", "left_anti")
+
+
 @query("link_join_two_sided", f"WITH {BASE} SELECT link_id, a.elevation_m - b.elevation_m AS drop_m, a.node_type AS from_type, b.node_type AS to_type FROM links JOIN nodes a ON a.node_id = node1 JOIN nodes b ON b.node_id = node2")
 def link_join_two_sided(spark, sf_dir):
     nodes = net_nodes(spark, sf_dir)
