@@ -75,8 +75,10 @@ def _spread(lines: DataFrame, shingle: int, step: int, *keys: str) -> DataFrame:
     return rows.select(*keys, *[_hash(chars, F.least(F.col("at") + 2 * i, last), shingle).alias(f"e{i}") for i in range(step)])
 
 
-def _shingles(chars: Column, shingle: int) -> Column:
-    return F.transform(F.sequence(F.lit(1), _last(chars, shingle), F.lit(2)), lambda at: _hash(chars, at, shingle))
+def _shingles(line: Column, shingle: int) -> Column:
+    whole = F.array(F.encode(line, "UTF-16BE"))  # made once, not for each shingle
+    of = lambda chars: F.transform(F.sequence(F.lit(1), _last(chars, shingle), F.lit(2)), lambda at: _hash(chars, at, shingle))
+    return F.flatten(F.transform(whole, of))
 
 
 def _signed(lines: DataFrame, shingle: int, bands: int, band_rows: int) -> DataFrame:
@@ -102,16 +104,16 @@ def similar_lines(lines: DataFrame, shingle: int = SHINGLE, bands: int = BANDS,
     signed = signed.filter("low = high").union(_signed(renamed.select("h1", "h2", chars), shingle, bands, band_rows))
     parts = [F.slice("bands", at + 1, HALF) for at in range(0, bands, HALF)]
     members = reduce(DataFrame.union, [stored(near.led(signed.select("h1", F.explode(part).alias("band"))), "members") for part in parts])
-    wanted = members.select("src").union(members.select("dst")).distinct().toDF("h1")
-    texts = stored(known.unionByName(renamed).join(wanted, "h1", "left_semi"), "texts").select("h1", "h2", "own", chars)
+    wanted = members.select("h1").distinct()
+    texts = stored(known.unionByName(renamed).join(wanted, "h1", "left_semi"), "texts")
     release(known)
-    sketches = _spread(texts, shingle, 1, "h1").withColumnRenamed("e0", "element").groupBy("h1").agg(F.count("*").alias("size"), *near.sketch())
+    sketches = _spread(texts.select("h1", chars), shingle, 1, "h1").withColumnRenamed("e0", "element").groupBy("h1").agg(F.count("*").alias("size"), *near.sketch())
     sketches = stored(sketches, "sketches")
 
     def elements(items: DataFrame) -> DataFrame:
-        return _spread(texts.join(items, "h1"), shingle, 1, "h1", "root").withColumnRenamed("e0", "element").distinct()
+        return _spread(texts.join(items, "h1").select("h1", "root", chars), shingle, 1, "h1", "root").withColumnRenamed("e0", "element").distinct()
 
-    found = near.components(members, sketches, texts, "chars", lambda chars: _shingles(chars, shingle), elements, similarity)
+    found = near.components(members, sketches, texts, "line", lambda line: _shingles(line, shingle), elements, similarity)
     return texts.join(found, texts["h1"] == found["node"]).select(F.col("own").alias("h1"), "h2", "component")
 
 

@@ -113,7 +113,7 @@ def keep_first(df: DataFrame, id_col: str, text_col: str, shingle: int = SHINGLE
     tiles = connected_components(simhash.links(full.select("bits").distinct(), radius))
     tiled = full.join(tiles, full["bits"] == tiles["node"], "left").select("h1", F.xxhash64(F.lit("tile"), F.coalesce("component", "bits")).alias("band"))
     members = stored(near.led(full.select("h1", F.explode("bands").alias("band")).unionByName(tiled)), "members")
-    wanted = first.join(members.select(F.explode(F.array("src", "dst")).alias("h1")).distinct(), "h1", "left_semi").select("h1", "first.__k1", "first.__k2")
+    wanted = first.join(members.select("h1").distinct(), "h1", "left_semi").select("h1", "first.__k1", "first.__k2")
     texts = df.select(*row_keys(id_col, text_col), F.col(f"`{text_col}`").alias("text")).join(wanted, ["__k1", "__k2"]).dropDuplicates(["h1"])
     sketches = first.select("h1", "size", *[F.get("words", k).alias(f"w{k}") for k in range(near.WORDS)])
     texts = stored(_sets(texts, shingle), "texts")

@@ -1,8 +1,7 @@
 """What the search for similar lines and for similar documents share.
 
 Items are known by a 64-bit number ``h1``, equal items being one before the
-search. Items that agree in a band are compared with the band's lead, the
-smallest number in it; where that leaves items of a band in different components
+search. Items that agree in a band are compared with the band's lead; where that leaves items of a band in different components
 that were not compared with each other, they are compared too: within a band of
 moderate size by their sketches, those of large bands by ``prefix_pairs``. So no
 link between items that share a band is lost.
@@ -30,12 +29,23 @@ SLACK = 1e-9
 
 
 def led(banded: DataFrame) -> DataFrame:
+    """(band, h1) of the bands with two items or more. A band that very many
+    items share is split by adaptive execution: bands are found by partial
+    minima and maxima and joined to the items."""
+    shared = banded.groupBy("band").agg(F.min("h1").alias("low"), F.max("h1").alias("high")).filter("low != high")
+    return banded.join(dealt_anew(shared.select("band"), "band"), "band", "left_semi")
+
+
+def starred(members: DataFrame) -> DataFrame:
     """(band, src, dst) of (band, h1): every item of a band with the band's
-    lead. A band that very many items share is split by adaptive execution: its
-    lead is found by partial minima and joined to the items."""
-    leads = banded.groupBy("band").agg(F.min("h1").alias("lead"), F.max("h1").alias("last")).filter("lead != last")
-    members = banded.join(dealt_anew(leads.select("band", "lead"), "band"), "band")
-    return members.filter("h1 != lead").select("band", F.col("h1").alias("src"), F.col("lead").alias("dst"))
+    lead, the item that meets most others in all its bands. Of the copies of a
+    text, each with edits of its own, that is the one that the others are nearest
+    to."""
+    sizes = members.groupBy("band").agg(F.count("*").alias("items"))
+    meets = members.join(dealt_anew(sizes, "band"), "band").groupBy("h1").agg(F.sum("items").alias("meets"))
+    weighed = members.join(dealt_anew(meets, "h1"), "h1")
+    leads = weighed.groupBy("band").agg(F.max(F.struct("meets", "h1"))["h1"].alias("lead"))
+    return weighed.join(dealt_anew(leads, "band"), "band").filter("h1 != lead").select("band", F.col("h1").alias("src"), F.col("lead").alias("dst"))
 
 
 def rooted(pairs: DataFrame, reached: DataFrame) -> DataFrame:
@@ -138,13 +148,14 @@ def components(members: DataFrame, sketches: DataFrame, texts: DataFrame, column
     that leaves the components apart."""
 
     def linked(pairs: DataFrame) -> DataFrame:
-        return cut(verified(pairs, sketches, texts, column, set_of, similarity))
+        return stored(verified(pairs, sketches, texts, column, set_of, similarity), "links")
 
+    members = stored(starred(members), "starred")
     reached = connected_components(linked(members.select("src", "dst").distinct()))
-    rest = cut(unsure(members, reached))
+    rest = stored(unsure(members, reached), "unsure")
     pairs = band_pairs(rest.filter(F.col("items") <= band), sketches, similarity)
     large = rest.filter(F.col("items") > band).select("h1", "root").distinct()
-    pairs = cut(pairs.union(prefix_pairs(stored(elements(large), "elements"), similarity)))
+    pairs = stored(pairs.union(prefix_pairs(stored(elements(large), "elements"), similarity)), "candidates")
     one_of_two = pairs.groupBy("src_root", "dst_root").agg(F.min(F.struct("src", "dst")).alias("pair")).select("pair.*")
     reached = extended(reached, linked(one_of_two))
     return extended(reached, linked(rooted(pairs.select("src", "dst").distinct(), reached).filter("src_root != dst_root").select("src", "dst")))
