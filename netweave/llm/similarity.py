@@ -24,6 +24,8 @@ from netweave.session import cut, stored
 
 #: Longs of a bitmap, and items of a band up to which all are compared within it.
 WORDS, BAND = 32, 1024
+#: Rounds in which the items that a lead leaves get another, before all of them are compared.
+ROUNDS = 2
 #: Slack of comparisons with a similarity, which no two ratios of set sizes come near.
 SLACK = 1e-9
 
@@ -84,6 +86,14 @@ def _possible(similarity: float) -> Column:
     return shared + SLACK >= similarity * (shared + left + right)
 
 
+def left_over(members: DataFrame, reached: DataFrame) -> DataFrame:
+    """(band, h1) of the items that are not in the component of their band's
+    lead, in bands where these are in different components."""
+    apart = rooted(members, reached).filter("src_root != dst_root").select("band", F.col("src").alias("h1"), F.col("src_root").alias("root"))
+    bands = apart.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low != high").select("band")
+    return apart.join(dealt_anew(bands, "band"), "band", "left_semi").select("band", "h1")
+
+
 def unsure(members: DataFrame, reached: DataFrame) -> DataFrame:
     """(band, h1, root, items) of the bands in which items that only their lead
     was compared with are in different components."""
@@ -140,10 +150,11 @@ def verified(pairs: DataFrame, sketches: DataFrame, texts: DataFrame, column: st
     return pairs.filter(alike).select("src", "dst")
 
 
-def components(members: DataFrame, sketches: DataFrame, texts: DataFrame, column: str, set_of: Callable[[Column], Column], elements: Callable[[DataFrame], DataFrame], similarity: float, band: int = BAND) -> DataFrame:
+def components(members: DataFrame, sketches: DataFrame, texts: DataFrame, column: str, set_of: Callable[[Column], Column], elements: Callable[[DataFrame], DataFrame], similarity: float, band: int = BAND, rounds: int = ROUNDS) -> DataFrame:
     """(node, component) of the items that are linked to some other.
 
-    members: what led gives. elements: (h1, root, element) of (h1, root). Of the
+    members: what led gives. So many rounds more compare the items that are
+    apart from their band's lead with a lead of their own. elements: (h1, root, element) of (h1, root). Of the
     candidates between two components one is verified first, the others where
     that leaves the components apart."""
 
@@ -152,6 +163,10 @@ def components(members: DataFrame, sketches: DataFrame, texts: DataFrame, column
 
     members = stored(starred(members), "starred")
     reached = connected_components(linked(members.select("src", "dst").distinct()))
+    left = members
+    for _ in range(rounds):
+        left = stored(starred(left_over(left, reached)), "starred")
+        reached = extended(reached, linked(rooted(left.select("src", "dst").distinct(), reached).filter("src_root != dst_root").select("src", "dst")))
     rest = stored(unsure(members, reached), "unsure")
     pairs = band_pairs(rest.filter(F.col("items") <= band), sketches, similarity)
     large = rest.filter(F.col("items") > band).select("h1", "root").distinct()
