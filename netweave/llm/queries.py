@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from netweave.llm import arc_warc, decontaminate, html_labeller, line_dedup, permutation_index, quality, simhash, source_mix, token_counts, url_filter
+from netweave.llm import arc_warc, change_applier, decontaminate, html_labeller, line_dedup, permutation_index, quality, simhash, source_mix, token_counts, token_files, url_filter, whitening
 from netweave.session import shared_path, table
 
 URL_RULES = (
@@ -67,7 +67,30 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_labeller.extract(table(spark, sf_dir, "pages"), "page_id", "url", "html")
 
 
-QUERIES = {"op1_decontaminate": op1_decontaminate, "op2_quality": op2_quality, "op3_token_counts": op3_token_counts, "op4_simhash": op4_simhash, "op5_arc_to_warc": op5_arc_to_warc, "op6_line_dedup": op6_line_dedup, "op7_url_filters": op7_url_filters, "op8_permutation_index": op8_permutation_index, "op9_source_mix": op9_source_mix, "op10_html_text": op10_html_text}
+def op11_ordered_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Changes of clients in 8 batches of 20 days each, by the day they arrive."""
+    h = F.crc32(F.col("change_id").cast("string").cast("binary"))
+    day = F.datediff(F.col("valid_at").cast("date"), F.lit("1970-01-01").cast("date")) + 2 * (h % 4)
+    batch = 1 + F.floor((day - 19723) * 8 / 160)
+    names = change_applier.Names("change_id", "client_id", "seq", "op", ("city", "balance"))
+    found = change_applier.apply_changes(table(spark, sf_dir, "client_changes"), names, day, batch, F.col("valid_at").isNotNull() & (h % 11 != 0), batches=8, patience=5)
+    cents = F.when(F.abs("v1") < 9e16, F.floor(100 * F.col("v1") + 0.5)).cast("long")
+    return found.select(F.col("id").alias("change_id"), F.col("client").alias("client_id"), "status", "batch", "missed", F.col("v0").alias("city"), cents.alias("cents"), "current")
+
+
+def op12_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    folder = shared_path(spark, "token-files")
+    token_files.write(table(spark, sf_dir, "documents"), "doc_id", "text", folder, public_tokenizers.path("word_bpe_49k.json"), end=1)
+    return token_files.read(spark, folder)
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
+
+
+QUERIES = {"op1_decontaminate": op1_decontaminate, "op2_quality": op2_quality, "op3_token_counts": op3_token_counts, "op4_simhash": op4_simhash, "op5_arc_to_warc": op5_arc_to_warc, "op6_line_dedup": op6_line_dedup, "op7_url_filters": op7_url_filters, "op8_permutation_index": op8_permutation_index, "op9_source_mix": op9_source_mix, "op10_html_text": op10_html_text, "op11_ordered_changes": op11_ordered_changes, "op12_token_files": op12_token_files, "op13_whitening": op13_whitening}
 
 ORACLE_SQL: dict[str, str] = {}
 ORACLE_SQL["op7_url_filters"] = """
