@@ -54,6 +54,8 @@ STORE = {
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
     "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "256",
+    # many small stores: no space on disk ahead of need
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
 }
 
 
