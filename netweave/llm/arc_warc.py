@@ -2,16 +2,17 @@
 
 An ARC file starts with a ``filedesc:`` record whose body names the version and
 the fields of every header line that follows: five in version 1, ten in
-version 2. Each header line ends with the declared length of the bytes that
-follow. A WARC record takes its identifier from a name-based UUID of address,
-date, payload digest and capture id (without one, of the archive's digest and its
-place there), its date from the 14 digits, its type from address and
-block, and its digests from the bytes themselves.
+version 2. Only the record that the file starts with is one; a page's address may
+begin like it. Each header line ends with the declared length of the bytes that
+follow. A WARC record takes its identifier from a name-based UUID of the archive's
+digest and its place there, its date from the 14 digits, its type from address and
+block, and its digests from the bytes themselves. WARC files have a gzip member for
+each record, are closed at so many bytes, and are read as streams.
 
 Defined results: a declared length beyond the end of the archive gives a
 record marked ``WARC-Truncated: length``; a line that is no header is passed
-over; an empty archive gives no record. A record converted twice keeps its
-identifier. A page without id has no capture id: it is a response, and nothing
+over; an empty archive gives no record. An archive converted twice keeps its
+identifiers; repeated rows are records of their own. A page without id has no capture id: it is a response, and nothing
 refers to it. Null payloads are
 empty ones, null addresses become ``urn:none``.
 """
@@ -25,18 +26,25 @@ import re
 import uuid
 from calendar import monthrange
 from collections.abc import Iterator
+from typing import BinaryIO
 from urllib.parse import quote
 
 import pyarrow as pa
+from pyarrow.fs import FileType
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from netweave.llm.shared_files import listed, opened
+
 #: Header fields of the two ARC versions, as their filedesc records spell them.
 ARC_FIELDS = {
     1: "URL IP-address Archive-date Content-type Archive-length",
     2: "URL IP-address Archive-date Content-type Result-code Checksum Location Offset Filename Archive-length",
 }
-RECORD_END = "\r\n\r\n"
+RECORD_END = b"\r\n\r\n"
+#: Of gzip members.
+LEVEL = 4
 #: Revisits of one response are dealt over this many salts when they look it up.
 SALTS = 64
 SCHEMA = (
@@ -71,27 +79,29 @@ def write_arc(captures: list[tuple[str | None, bytes]], version: int = 1, name:
 
 
 def parse_arc(content: bytes) -> Iterator[dict]:
-    """The records of an ARC file: header fields by name, body, truncated."""
+    """The records of an ARC file: header fields by name, body, truncated, and
+    about: whether it is the version block, which stands at the start."""
     fields, at = ARC_FIELDS[1].split(), 0
     if content[:2] == b"\x1f\x8b":
         content = gzip.decompress(content)
     while at < len(content):
+        about = at == 0 and content.startswith(b"filedesc:")
         end = content.find(b"\n", at)
         end = len(content) if end < 0 else end
         line, at = content[at:end].rstrip(b"\r"), end + 1
         parts = line.decode("utf-8", "replace").rsplit(" ", len(fields) - 1)
-        if line.startswith(b"filedesc:"):
+        if about:
             parts = line.decode("utf-8", "replace").split(" ")
             fields = ARC_FIELDS[2 if len(parts) == 10 else 1].split()
         if len(parts) != len(fields) or not parts[-1].isdigit():
             continue
         length = int(parts[-1])
         body, at = content[at : at + length], at + length
-        if line.startswith(b"filedesc:"):
+        if about:
             lines = body.decode("utf-8", "replace").splitlines()
             version = int(lines[0].split()[0]) if lines and lines[0][:1].isdigit() else 1
             fields = lines[1].split() if len(lines) > 1 and lines[1].startswith("URL") else ARC_FIELDS.get(version, ARC_FIELDS[1]).split()
-        yield dict(zip(ARC_FIELDS[2].split() if len(parts) == 10 else ARC_FIELDS[1].split(), parts, strict=False)) | {"body": body, "truncated": len(body) < length}
+        yield dict(zip(ARC_FIELDS[2].split() if len(parts) == 10 else ARC_FIELDS[1].split(), parts, strict=False)) | {"body": body, "truncated": len(body) < length, "about": about}
 
 
 def iso_date(digits: str) -> str:
@@ -113,10 +123,10 @@ def split_block(block: bytes) -> tuple[bytes, bytes]:
 
 def convert(record: dict, ordinal: int, archive: str = "") -> tuple:
     """An ARC record as a row of SCHEMA. archive: a digest of the archive, which
-    with the ordinal names records that have no capture id."""
+    with the ordinal names the record."""
     url, block = record["URL"], record["body"]
     head, payload = split_block(block)
-    if url.startswith("filedesc:"):
+    if record["about"]:
         kind, content_type = "warcinfo", "application/warc-fields"
         block = b"software: netweave\r\nformat: WARC File Format 1.1\r\ndescription: " + b" / ".join(block.split(b"\n")).strip(b" /\r") + b"\r\n"
         payload = block
@@ -127,7 +137,7 @@ def convert(record: dict, ordinal: int, archive: str = "") -> tuple:
     date, digest = iso_date(record["Archive-date"]), hashlib.sha256(payload).hexdigest()
     found = re.search(re.escape(CAPTURE) + rb"(-?\d+)\r\n", head)
     capture = int(found[1]) if found else None
-    name = f"{url}\n{date}\n{digest}\n{capture if capture is not None else f'{archive}#{ordinal}'}"
+    name = f"{url}\n{date}\n{digest}\n{archive}#{ordinal}"
     record_id = f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, name)}>"
     return record_id, kind, date, url, record["IP-address"], content_type, block, hashlib.sha256(block).hexdigest(), len(payload), digest, capture, record["truncated"]
 
@@ -221,22 +231,21 @@ def mark_revisits(records: DataFrame, min_bytes: int = 100) -> DataFrame:
 
 def warc_text(records: DataFrame) -> DataFrame:
     """One column ``value``: header and block of each record, without the end
-    mark. Bytes pass through unchanged; a revisit keeps the HTTP header only."""
+    mark. Bytes pass through unchanged; a revisit keeps the HTTP header only. What
+    describes the file has no address."""
     block = F.col("block").cast("string")
     http_end = F.locate("\r\n\r\n", block)
     block = F.when((F.col("warc_type") == "revisit") & (http_end > 0), F.substring(block, F.lit(1), http_end + 3)).otherwise(block)
     field = lambda name, value: F.concat(F.lit(f"{name}: "), value, F.lit("\r\n"))
-    revisit = F.col("warc_type") == "revisit"
+    revisit, info = F.col("warc_type") == "revisit", F.col("warc_type") == "warcinfo"
     header = F.concat(
         F.lit("WARC/1.1\r\n"),
         field("WARC-Type", F.col("warc_type")),
         field("WARC-Record-ID", F.col("record_id")),
         field("WARC-Date", F.col("warc_date")),
-        field("WARC-Target-URI", F.col("target_uri")),
-        field("WARC-IP-Address", F.col("ip")),
+        F.when(~info, F.concat(field("WARC-Target-URI", F.col("target_uri")), field("WARC-IP-Address", F.col("ip")))).otherwise(""),
         F.when(~revisit, field("WARC-Block-Digest", F.concat(F.lit("sha256:"), F.col("block_digest")))).otherwise(""),
-        field("WARC-Payload-Digest", F.concat(F.lit("sha256:"), F.col("payload_digest"))),
-        field("X-Payload-Length", F.col("payload_bytes").cast("string")),
+        F.when(~info, F.concat(field("WARC-Payload-Digest", F.concat(F.lit("sha256:"), F.col("payload_digest"))), field("X-Payload-Length", F.col("payload_bytes").cast("string")))).otherwise(""),
         F.when(F.col("truncated"), F.lit("WARC-Truncated: length\r\n")).otherwise(""),
         F.when(revisit, F.concat(field("WARC-Profile", F.lit("http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")), field("WARC-Refers-To", F.col("refers_to_id")), field("X-Refers-To-Capture", F.col("refers_to").cast("string")))).otherwise(""),
         field("Content-Type", F.col("content_type")),
@@ -246,9 +255,31 @@ def warc_text(records: DataFrame) -> DataFrame:
     return records.withColumn("__block", block).select(F.concat(header, F.col("__block")).alias("value"))
 
 
-def write_warc(records: DataFrame, path: str, per_file: int = 2_000) -> None:
-    """Gzipped WARC files of at most per_file records, by Spark's own writer."""
-    warc_text(records).write.option("lineSep", RECORD_END).option("compression", "gzip").option("maxRecordsPerFile", per_file).text(path)
+def write_warc(records: DataFrame, path: str, file_bytes: int = 256 << 20) -> None:
+    """WARC files with a gzip member for each record, closed when they have that
+    many bytes, and ``manifest``, a table of them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        files, inside = opened(path)
+        task, out, done = f"{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}", None, []
+        for value in (v for batch in batches for v in batch.column(0)):
+            if out is None:
+                done.append([f"part-{task}-{len(done):05d}.warc.gz", 0, 0])
+                out = files.open_output_stream(f"{inside}/{done[-1][0]}")
+            member = gzip.compress(value.as_buffer().to_pybytes() + RECORD_END, LEVEL, mtime=0)
+            out.write(member)
+            done[-1][1] += 1
+            done[-1][2] += len(member)
+            if done[-1][2] >= file_bytes:
+                out.close()
+                out = None
+        if out is not None:
+            out.close()
+        yield _rows([tuple(d) for d in done], ["name", "n_records", "n_bytes"], [pa.string(), pa.int64(), pa.int64()])
+
+    files, inside = opened(path)
+    files.create_dir(inside, recursive=True)
+    warc_text(records).select(F.col("value").cast("binary")).mapInArrow(run, "name string, n_records long, n_bytes long").write.parquet(f"{path}/manifest")
 
 
 READ_SCHEMA = "record_id string, record_type string, warc_date string, target_uri string, capture_id long, payload_bytes long, payload_digest string, refers_to long, refers_to_id string, payload binary"
@@ -256,11 +287,10 @@ _READ_NAMES = [part.split()[0] for part in READ_SCHEMA.split(", ")]
 _READ_TYPES = [{"string": pa.string(), "binary": pa.binary(), "long": pa.int64()}[part.split()[1]] for part in READ_SCHEMA.split(", ")]
 
 
-def parse_warc(content: bytes) -> Iterator[tuple]:
-    """Rows of READ_SCHEMA by declared lengths; digests are of the bytes read,
-    and only a revisit's are the recorded ones. Compressed files are inflated as
-    they are read, a record at a time."""
-    file = gzip.open(io.BytesIO(content)) if content[:2] == b"\x1f\x8b" else io.BytesIO(content)
+def parse_warc(file: BinaryIO) -> Iterator[tuple]:
+    """Rows of READ_SCHEMA by declared lengths, a record at a time; digests are of
+    the bytes read, and only a revisit's are the recorded ones. Where a record
+    names no payload digest there is nothing to compare."""
     while line := file.readline():
         if not line.startswith(b"WARC/"):
             continue
@@ -270,24 +300,39 @@ def parse_warc(content: bytes) -> Iterator[tuple]:
             fields[name] = value
         head, payload = split_block(file.read(int(fields["Content-Length"])))
         found = re.search(re.escape(CAPTURE) + rb"(-?\d+)\r\n", head)
-        recorded = fields["WARC-Payload-Digest"].removeprefix("sha256:")
+        recorded = fields.get("WARC-Payload-Digest", "").removeprefix("sha256:")
         kind = fields["WARC-Type"]
         if kind == "revisit":
             size, digest = int(fields["X-Payload-Length"]), recorded
         else:
             size, digest = len(payload), hashlib.sha256(payload).hexdigest()
-            if digest != recorded and "WARC-Truncated" not in fields:
+            if recorded and digest != recorded and "WARC-Truncated" not in fields:
                 raise ValueError(f"{fields['WARC-Record-ID']}: payload digest {digest}, recorded {recorded}")
         refers = fields.get("X-Refers-To-Capture")
-        yield fields["WARC-Record-ID"], kind, fields["WARC-Date"], fields["WARC-Target-URI"], int(found[1]) if found else None, size, digest, int(refers) if refers else None, fields.get("WARC-Refers-To"), payload
+        yield fields["WARC-Record-ID"], kind, fields["WARC-Date"], fields.get("WARC-Target-URI"), int(found[1]) if found else None, size, digest, int(refers) if refers else None, fields.get("WARC-Refers-To"), payload
+
+
+def _stream(path: str) -> BinaryIO:
+    """A file, inflated as it is read if it is compressed."""
+    files, inside = opened(path)
+    file = files.open_input_file(inside)
+    packed = file.read(2) == b"\x1f\x8b"
+    file.seek(0)
+    return gzip.open(file) if packed else io.BufferedReader(file)
 
 
 def read_warc(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
-    """The records of the WARC files in a folder; without payloads the column
-    is null, and only digests and lengths leave the workers."""
+    """The records of the WARC files in a folder, those of its manifest if it has
+    one; without payloads the column is null, and only digests and lengths leave
+    the workers."""
+    files, inside = opened(path)
+    if files.get_file_info(f"{inside}/manifest").type == FileType.Directory:
+        names = spark.read.parquet(f"{path}/manifest").select("name")
+    else:
+        names = spark.createDataFrame([(n,) for n in listed(path, (".warc", ".warc.gz"))], "name string")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = (r if payloads else (*r[:-1], None) for b in batches for c in b.column(0) for r in parse_warc(c.as_py()))
+        rows = (r if payloads else (*r[:-1], None) for b in batches for name in b.column(0).to_pylist() for r in parse_warc(_stream(f"{path}/{name}")))
         yield from _flushed(rows, 9, _READ_NAMES, _READ_TYPES)
 
-    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, READ_SCHEMA)
+    return names.repartition(max(spark.sparkContext.defaultParallelism, names.count()), "name").mapInArrow(run, READ_SCHEMA)

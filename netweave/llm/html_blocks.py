@@ -11,7 +11,7 @@ from collections import Counter
 from html import unescape
 
 _TAG = re.compile(
-    r"<!--.*?(?:-->|\Z)"
+    r"<!--(?:-?>|.*?(?:--!?>|\Z))"
     r"|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>"
     r"|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>"
     r"|<[!?/][^>]*+>"
@@ -33,6 +33,7 @@ BOXES = {
 #: An element that starts closes these where they are open and nearest.
 _CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 _SCOPE = {"ul", "ol", "dl", "table", "div", "section", "article", "body", "select", "blockquote"}
+WHITE = " \t\n\f\r"
 _IN_HEAD = {"meta", "link", "base"} | RAW
 
 
@@ -97,6 +98,8 @@ def blocks(html: str) -> list[Block]:
         end = found.start() if found else size
         if end > at:
             piece = html[at:end]
+            if head and piece.strip(WHITE):
+                head = False  # text ends it, as in browsers
             held.append(piece)
             linked += len(piece) if opened["a"] else 0
         if not found:

@@ -40,11 +40,11 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyarrow.fs import FileSystem
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from netweave.llm.shared_files import opened
 from netweave.session import cut, stored
 
 MAGIC, VERSION = b"NWTOKENS", 1
@@ -57,13 +57,6 @@ SHARD_IDS, REMEMBERED, READ = 32_000_000, 300_000, 4 << 20
 LEVEL = 3
 
 
-def opened(path: str) -> tuple[FileSystem, str]:
-    """The file system of a shared path, and the path in it."""
-    if path.startswith("file:"):
-        path = "file://" + "/" + path.removeprefix("file:").lstrip("/")
-    return FileSystem.from_uri(path)
-
-
 class WordEncoder:
     """Ids of texts by those of their words."""
 

@@ -52,3 +52,33 @@ def test_dates_lengths_and_identifiers():
     assert len(set(ids)) == 4
     info = a.convert(next(a.parse_arc(a.write_arc(same))), 0)
     assert info[1] == "warcinfo" and all(b": " in line for line in info[6].rstrip().split(b"\r\n"))
+
+
+def test_version_block_stands_at_the_start(spark, tmp_path):
+    rows = [(i, url, html, i) for i, (url, html) in enumerate([("filedesc://trap.arc", "one" * 50), ("http://a/", "filedesc://x 0.0.0.0 20240101000000 text/plain 3\nabc\n"), ("filedesc:", ""), ("http://b/", "one" * 50), ("filedesc:y z", "two")])]
+    df = spark.createDataFrame([*rows, rows[1], rows[1]], "page_id long, url string, html string, n_bytes long")
+    for version in (1, 2):
+        path = str(tmp_path / f"v{version}")
+        a.write_warc(a.mark_revisits(a.arc_to_warc(a.pages_to_arc(df, "page_id", "url", "html", version=version, per_segment=2))), path, file_bytes=700)
+        got = a.read_warc(spark, path).collect()
+        pages = [r for r in got if r.record_type != "warcinfo"]
+        assert sorted((r.capture_id, r.record_type, r.refers_to) for r in pages) == [(0, "response", None), (1, "response", None), (1, "response", None), (1, "response", None), (2, "response", None), (3, "revisit", 0), (4, "response", None)]
+        assert {r.capture_id: r.target_uri for r in pages}[4] == "filedesc:y%20z"
+        info = [r for r in got if r.record_type == "warcinfo"]
+        assert info and all(r.target_uri is None for r in info)
+        assert len({r.record_id for r in got}) == len(got)
+        names = spark.read.parquet(f"{path}/manifest").collect()
+        assert sum(r.n_records for r in names) == len(got) and len(names) > 2
+        for r in names:
+            content = (tmp_path / f"v{version}" / r.name).read_bytes()
+            assert len(content) == r.n_bytes and content.count(b"\x1f\x8b\x08\x00") >= r.n_records  # a member for each
+            if b"warcinfo" in gzip.decompress(content):
+                head = gzip.decompress(content).split(b"WARC-Type: warcinfo")[1].split(b"\r\n\r\n")[0]
+                assert b"Target-URI" not in head and b"IP-Address" not in head
+    other = tmp_path / "other"
+    other.mkdir()
+    (other / "x.warc").write_bytes(gzip.decompress((tmp_path / "v2" / names[0].name).read_bytes()))
+    assert a.read_warc(spark, str(other)).count() == names[0].n_records  # a folder of others' files, no manifest
+    empty = str(tmp_path / "empty")
+    a.write_warc(a.mark_revisits(a.arc_to_warc(a.pages_to_arc(df.limit(0), "page_id", "url", "html"))), empty)
+    assert a.read_warc(spark, empty).count() == 0

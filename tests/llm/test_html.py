@@ -25,6 +25,15 @@ def test_blocks():
     assert [b.text for b in blocks("<ul><li>a<li>b<ul><li>c</ul></ul>d")] == ["a", "b", "c", "d"]
 
 
+def test_heads_and_comments():
+    """Text ends the head; comments end as in browsers."""
+    for page, want in [
+        ("<html><head><title>x</title>Hello world</html>", ["Hello world"]), ("<head>bare text", ["bare text"]), ("<head><title>t</title>stray<p>para</p>", ["stray", "para"]),
+        ("<head>\n<meta a>\n<style>p {}</style>\n</head>\n<body>x", ["x"]), ("<p>a<!-- x --!>b<p>c<!-->d<!--->e<!-- --->f", ["ab", "cdef"]), ("a<!-- -- > <p> --> b", ["a b"]), ("a<!-- never closed <p>b", ["a"]),
+    ]:
+        assert [b.text for b in blocks(page)] == want, page
+
+
 def test_gradients():
     model = h.Labeller(1)
     model.p = {k: v.astype(np.float64) for k, v in model.p.items()}
