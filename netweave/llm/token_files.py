@@ -15,10 +15,11 @@ shards (path, documents, ids, ids before it, least and greatest id). A task that
 is run again writes a shard of another name; the manifest names the one that
 counts, so lost executors leave nothing but an unread file.
 
-White space never takes part in a token of the vocabularies meant here and
-parts what comes before it from what comes after, so each distinct word of a
-batch is encoded once and the ids of a text are those of its words, in order
-(``by_words``). Vocabularies without this property take ``by_words=False``.
+White space never takes part in a token of the vocabularies meant here (words
+with ends, lower case) and parts what comes before it from what comes after, so a
+worker encodes each distinct word once, and the ids of a text are those of its
+words, in order (``by_words``). Vocabularies without these properties take
+``by_words=False``.
 
 Defined results: null texts are empty and hold the end id alone; rows that
 repeat are kept, each; rows with one id follow each other by their ids' hash;
@@ -31,6 +32,7 @@ each, from a place by hash; it changes the size of files, never what is read.
 from __future__ import annotations
 
 import hashlib
+import os
 import struct
 import uuid
 import zlib
@@ -53,25 +55,67 @@ BEGIN, CLOSE = struct.calcsize(HEADER), struct.calcsize(FOOTER)
 INDEX = np.dtype([("id", "<i8"), ("null", "?"), ("end", "<u8"), ("n_tokens", "<u8")])
 TRAIN_DOCUMENTS, TRAIN_BYTES, DICTIONARY_BYTES = 4096, 4096, 65536
 #: Ids in a shard, about; words that a worker remembers; bytes read at a time.
-SHARD_IDS, REMEMBERED, READ = 32_000_000, 300_000, 4 << 20
-LEVEL = 3
+SHARD_IDS, REMEMBERED, READ = 32_000_000, 600_000, 4 << 20
+#: Bytes of text encoded at once; compression level.
+PART, LEVEL = 4 << 20, 3
+#: Words that are looked up by their stem, and how they end.
+_LETTERS, _MARKS = "À-ÖØ-öø-ÿ", r"!-&(-/:-@\[-`{-~"
+PLAIN, STEM_TAIL = f"^[!-~{_LETTERS}]+$", f"^(?P<stem>.*[a-z0-9à-öø-ÿ])(?P<tail>[{_MARKS}]+)$"
 
 
 class WordEncoder:
-    """Ids of texts by those of their words."""
+    """Ids of texts by those of their words.
+
+    A word of letters, digits and marks of ASCII and Latin-1 is looked up in lower
+    case, without the marks at its end, which are words of their own: the
+    vocabulary folds case, and parts letters and digits from marks that are no
+    apostrophes."""
 
     def __init__(self, tokenizer: str, by_words: bool):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.by_words, self.known = Tokenizer.from_str(tokenizer), by_words, {}
-
-    def _of_words(self, words: list[str]) -> list[np.ndarray]:
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-        if new := [w for w in words if w not in self.known]:
-            for word, found in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False), strict=True):
-                self.known[word] = np.array(found.ids, np.uint32)
-        return [self.known[w] for w in words]
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark has a task for each core
+        self.tokenizer, self.by_words = Tokenizer.from_str(tokenizer), by_words
+        self._forget()
+
+    def _forget(self) -> None:
+        """Nothing is known: where the ids of a known word start in the pool, and
+        how many they are."""
+        self.known: dict[str, int] = {}
+        self.starts, self.sizes, self.pool = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
+
+    def _places(self, words: list[str]) -> np.ndarray:
+        """The words' numbers among those known; new ones are encoded, once each."""
+        get = self.known.get
+        at = np.fromiter((get(w, -1) for w in words), np.int64, len(words))
+        if (at < 0).any():
+            new = list(dict.fromkeys(words[i] for i in np.flatnonzero(at < 0)))
+            if len(self.known) + len(new) > REMEMBERED and self.known:
+                self._forget()
+                return self._places(words)
+            found = self.tokenizer.encode(new, is_pretokenized=True, add_special_tokens=False)
+            sizes = np.bincount(np.array(found.word_ids, np.int64), minlength=len(new))
+            self.known.update(zip(new, range(len(self.known), len(self.known) + len(new)), strict=True))
+            self.starts = np.concatenate((self.starts, len(self.pool) + np.cumsum(sizes) - sizes))
+            self.sizes, self.pool = np.concatenate((self.sizes, sizes)), np.concatenate((self.pool, np.array(found.ids, np.uint32)))
+            at = np.fromiter((get(w, -1) for w in words), np.int64, len(words))
+        return at
+
+    def _pieces(self, words: pa.Array) -> np.ndarray:
+        """For each word the numbers of its stem and of the marks at its end."""
+        if not self.by_words:
+            return self._places(words.to_pylist())[:, None]
+        plain = pc.and_(pc.match_substring_regex(words, PLAIN), pc.invert(pc.match_substring(words, "<|")))
+        lower = pc.if_else(plain, pc.utf8_lower(words), words)
+        parts = pc.if_else(plain, pc.extract_regex(lower, STEM_TAIL), None)
+        stems, tails = pc.coalesce(pc.struct_field(parts, "stem"), lower), pc.fill_null(pc.struct_field(parts, "tail"), "")
+        pieces = np.empty((len(words), 2), np.int64)
+        coded = [x.dictionary_encode() for x in (stems, tails)]
+        distinct = [x.dictionary.to_pylist() for x in coded]
+        places = self._places([w for words in distinct for w in words])
+        pieces[:, 0] = places[coded[0].indices.to_numpy()]
+        pieces[:, 1] = places[len(distinct[0]) + coded[1].indices.to_numpy()]
+        return pieces
 
     def __call__(self, texts: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts, each followed by the end id, and how many ids
@@ -79,20 +123,18 @@ class WordEncoder:
         texts = pc.fill_null(texts.cast(pa.large_string()), "")
         words = pc.ascii_split_whitespace(texts) if self.by_words else pa.LargeListArray.from_arrays(pa.array(range(len(texts) + 1), pa.int64()), texts)
         coded = words.flatten().dictionary_encode()
-        ids = self._of_words(coded.dictionary.to_pylist())
-        sizes = np.array([len(x) for x in ids], np.int64)
-        starts, pool = np.cumsum(sizes) - sizes, np.concatenate([np.empty(0, np.uint32), *ids])
-        chosen = coded.indices.to_numpy()
-        lengths = sizes[chosen]
+        pieces = self._pieces(coded.dictionary)
+        chosen = pieces[coded.indices.to_numpy()].ravel() if len(pieces) else np.zeros(0, np.int64)
+        lengths = self.sizes[chosen]
         ends = np.cumsum(lengths)
-        flat = pool[np.repeat(starts[chosen] - (ends - lengths), lengths) + np.arange(lengths.sum())]
-        last = np.cumsum(words.value_lengths().to_numpy())
+        flat = self.pool[np.repeat(self.starts[chosen] - (ends - lengths), lengths) + np.arange(len(ends) and ends[-1])]
+        last = np.cumsum(words.value_lengths().to_numpy()) * pieces.shape[1]
         counts = np.diff(np.concatenate(([0], ends))[np.concatenate(([0], last))])
-        out = np.empty(len(flat) + len(counts), np.uint32)
         closing = np.cumsum(counts + 1) - 1
+        out = np.full(len(flat) + len(counts), end, np.uint32)
         inside = np.ones(len(out), bool)
         inside[closing] = False
-        out[closing], out[inside] = end, flat
+        out[inside] = flat
         return out, counts + 1
 
 
@@ -120,7 +162,7 @@ def encode(df: DataFrame, id_col: str, text_col: str, tokenizer: str, end: int,
     return rows.mapInArrow(run, "doc_id long, ids binary")
 
 
-def _by_size(batch: pa.RecordBatch, most: int = 16 << 20) -> Iterator[pa.RecordBatch]:
+def _by_size(batch: pa.RecordBatch, most: int = PART) -> Iterator[pa.RecordBatch]:
     """A batch in parts of about so many bytes of text, of one row at least."""
     parts = np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy()) // most
     for part in np.unique(parts):
