@@ -4,6 +4,8 @@ equal cells with an exact test; no pair further apart than that is ever made."""
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -58,37 +60,68 @@ def nearest_within(queries: DataFrame, targets: DataFrame, query_key: str, targe
     return best.select("query", F.col("best.id").alias("target"), "best.distance")
 
 
-def k_nearest(queries: DataFrame, targets: DataFrame, query_key: str, target_key: str, k: int = 1) -> DataFrame:
-    """(query, rank, target, distance): the k nearest targets of every query.
+def finite(*columns: str) -> Column:
+    """Whether all of these are numbers, and neither NaN nor infinite."""
+    found = F.lit(True)
+    for c in columns:
+        found = found & F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))
+    return found
+
+
+#: Levels of cells at most, each half as wide as the one before.
+LEVELS = 24
 
-    Rings around a query grow, twice as wide each round, until k targets lie
-    within the ring; then no target outside can be nearer. The first ring is
-    taken from the targets' density. Queries that are done leave the loop.
+
+def k_nearest(queries: DataFrame, targets: DataFrame, query_key: str, target_key: str, k: int = 1) -> DataFrame:
+    """(query, rank, target, distance): the k nearest targets of every query, all
+    targets where there are fewer; rows without a finite place take no part.
+
+    The targets' box is cut into cells of many sizes and the targets in each
+    counted. The smallest cell round a query with k targets or more says how far
+    the k-th can be, so one join on cells of that width finds them, whether the
+    targets lie even or in heaps. A query outside the box is looked up where the box
+    is nearest to it. What lies at one place is searched once, and of targets at one
+    place those with the k smallest keys count.
     """
     from netweave.session import cut
 
-    queries = cut(queries.select(F.col(query_key).alias("id"), "x", "y").filter("x IS NOT NULL AND y IS NOT NULL"))
-    targets = cut(targets.select(F.col(target_key).alias("id"), "x", "y").filter("x IS NOT NULL AND y IS NOT NULL"))
-    box = targets.agg(F.count("*").alias("n"), (F.max("x") - F.min("x")).alias("w"), (F.max("y") - F.min("y")).alias("h")).first()
-    schema = f"query {queries.schema['id'].dataType.simpleString()}, rank int, target {targets.schema['id'].dataType.simpleString()}, distance double"
-    if not box["n"]:
-        return queries.sparkSession.createDataFrame([], schema)
-    k = min(k, box["n"])
-    radius = max(((box["w"] or 1.0) * (box["h"] or 1.0) * (k + 1) / box["n"] / 3) ** 0.5, 1e-9)
-    by_distance, parts = W.partitionBy("query").orderBy("distance", "target"), []
-    while True:
-        near = radius_join(queries, targets, radius).select(F.col("l.id").alias("query"), F.col("r.id").alias("target"), "distance")
-        ranked = near.withColumn("rank", F.row_number().over(by_distance)).filter(F.col("rank") <= k)
-        ranked = cut(ranked.withColumn("n", F.count("*").over(W.partitionBy("query"))).filter(F.col("n") == k))
-        parts.append(ranked.select("query", F.col("rank").cast("int").alias("rank"), "target", "distance"))
-        queries = cut(queries.join(ranked.select(F.col("query").alias("id")).distinct(), "id", "left_anti"))
-        if not queries.take(1):
-            break
-        radius *= 2
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.union(part)
-    return out
+    spark = queries.sparkSession
+    asked = queries.select(F.col(query_key).alias("id"), F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")).filter(finite("x", "y"))
+    places = cut(asked.select("x", "y").distinct())
+    known = targets.select(F.col(target_key).alias("id"), F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")).filter(finite("x", "y"))
+    schema = f"query {asked.schema['id'].dataType.simpleString()}, rank int, target {known.schema['id'].dataType.simpleString()}, distance double"
+    total = known.count()
+    if not total or k < 1:
+        return spark.createDataFrame([], schema)
+    k = min(k, total)
+    known = cut(known.withColumn("nr", F.row_number().over(W.partitionBy("x", "y").orderBy("id"))).filter(F.col("nr") <= k).drop("nr"))
+    west, south, east, north = known.agg(F.min("x"), F.min("y"), F.max("x"), F.max("y")).first()
+    width = max(east - west, north - south) * (1 + 1e-9) or 1.0
+    finest = max(0, min(LEVELS, math.ceil(math.log2(max(total / k, 1)) / 2) + 4))
+    index = lambda v, low: F.least(F.floor((v - low) / (width / 2**finest)), F.lit(2**finest - 1))
+    levels = F.explode(F.sequence(F.lit(0), F.lit(finest))).alias("level")
+    coarser = lambda c: F.call_function("shiftright", F.col(c), F.lit(finest) - F.col("level")).alias(c)
+    fine = known.groupBy(index(F.col("x"), west).alias("cx"), index(F.col("y"), south).alias("cy")).count()
+    counts = fine.select("*", levels).select("level", coarser("cx"), coarser("cy"), "count").groupBy("level", "cx", "cy").agg(F.sum("count").alias("n")).filter(F.col("n") >= k).drop("n")
+    px, py = F.greatest(F.lit(west), F.least(F.lit(east), F.col("x"))), F.greatest(F.lit(south), F.least(F.lit(north), F.col("y")))
+    places = places.withColumn("px", px).withColumn("py", py).withColumn("cx", index(F.col("px"), west)).withColumn("cy", index(F.col("py"), south))
+    own = places.select("cx", "cy").distinct().select(F.col("cx").alias("qx"), F.col("cy").alias("qy"), "cx", "cy", levels).select("qx", "qy", "level", coarser("cx"), coarser("cy"))
+    level = own.join(counts, ["level", "cx", "cy"]).groupBy(F.col("qx").alias("cx"), F.col("qy").alias("cy")).agg(F.max("level").alias("level"))
+    outside = F.sqrt((F.col("x") - F.col("px")) * (F.col("x") - F.col("px")) + (F.col("y") - F.col("py")) * (F.col("y") - F.col("py")))
+    reach = (outside + width * math.sqrt(2) / F.pow(F.lit(2.0), F.col("level"))) * (1 + 1e-9)
+    placed = places.join(level, ["cx", "cy"]).withColumn("reach", reach)
+    placed = cut(placed.withColumn("level", F.greatest(F.lit(0), F.least(F.lit(finest), F.floor(F.log2(F.lit(width) / F.col("reach"))).cast("int")))))
+    used = sorted(r["level"] for r in placed.select("level").distinct().collect())  # LEVELS rows at most
+    if not used:
+        return spark.createDataFrame([], schema)
+    held = known.select(F.col("id").alias("target"), F.col("x").alias("tx"), F.col("y").alias("ty"), index(F.col("x"), west).alias("cx"), index(F.col("y"), south).alias("cy"), F.explode(F.array(*map(F.lit, used))).alias("level"))
+    held = held.select("target", "tx", "ty", "level", coarser("cx"), coarser("cy"))
+    steps = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
+    around = placed.select("x", "y", "reach", "level", coarser("cx"), coarser("cy"), F.explode(steps).alias("step")).withColumn("cx", F.col("cx") + F.col("step.i")).withColumn("cy", F.col("cy") + F.col("step.j"))
+    dx, dy = F.col("x") - F.col("tx"), F.col("y") - F.col("ty")
+    near = around.join(held, ["level", "cx", "cy"]).withColumn("distance", F.sqrt(dx * dx + dy * dy)).filter((F.col("distance") <= F.col("reach")) | (F.col("level") == 0))
+    ranked = near.withColumn("rank", F.row_number().over(W.partitionBy("x", "y").orderBy("distance", "target"))).filter(F.col("rank") <= k)
+    return asked.join(ranked.select("x", "y", F.col("rank").cast("int").alias("rank"), "target", "distance"), ["x", "y"]).select(F.col("id").alias("query"), "rank", "target", "distance")
 
 
 def inverse_distance_mean(neighbours: DataFrame, values: DataFrame, key: str, value: str) -> DataFrame:
