@@ -53,9 +53,9 @@ MAGIC, VERSION = b"NWTOKENS", 1
 HEADER, FOOTER = "<8sII32s", "<QQ8s"
 BEGIN, CLOSE = struct.calcsize(HEADER), struct.calcsize(FOOTER)
 INDEX = np.dtype([("id", "<i8"), ("null", "?"), ("end", "<u8"), ("n_tokens", "<u8")])
-TRAIN_DOCUMENTS, TRAIN_BYTES, DICTIONARY_BYTES = 4096, 4096, 65536
+TRAIN_DOCUMENTS, TRAIN_BYTES, DICTIONARY_BYTES = 2048, 4096, 65536
 #: Ids in a shard, about; words that a worker remembers; bytes read at a time.
-SHARD_IDS, REMEMBERED, READ = 32_000_000, 600_000, 4 << 20
+SHARD_IDS, REMEMBERED, READ = 16_000_000, 600_000, 4 << 20
 #: Bytes of text encoded at once; compression level.
 PART, LEVEL = 4 << 20, 3
 #: Words that are looked up by their stem, and how they end.
@@ -177,7 +177,9 @@ def dictionary(encoded: DataFrame) -> bytes:
 
     place = F.pmod(F.xxhash64("ids", F.lit(1)), F.greatest(F.length("ids") - TRAIN_BYTES, F.lit(0)) + 1)
     part = F.expr(f"substring(ids, 4 * cast(place / 4 AS int) + 1, {TRAIN_BYTES})")
-    keyed = encoded.select(F.xxhash64("ids").alias("k"), place.cast("int").alias("place"), "ids").select("k", part.alias("part"))
+    share = min(1.0, 2 * TRAIN_DOCUMENTS / max(encoded.count(), 1))  # about twice as many by hash, then the first of these
+    drawn = encoded.withColumn("k", F.pmod(F.xxhash64("nr"), F.lit(1 << 30))).filter(F.col("k") < share * (1 << 30))
+    keyed = drawn.select("k", place.cast("int").alias("place"), "ids").select("k", part.alias("part"))
     samples = [bytes(row["part"]) for row in keyed.orderBy("k", "part").limit(TRAIN_DOCUMENTS).collect()]
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, samples).as_bytes()
