@@ -8,7 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from netweave.operators import outline, overlay
 from netweave.operators.spatial import in_polygon, k_nearest, radius_join
+from netweave.session import cut
 
 
 def grid_points(spark, box: tuple[float, float, float, float], step: float) -> DataFrame:
@@ -65,6 +67,32 @@ def too_concentrated(shares: DataFrame, limit: float = 0.05) -> bool:
     return False
 
 
+def served_ground(boundary: DataFrame | None, pipes: DataFrame | None, nodes: DataFrame, reach: float | None, radius: float = 60.0, apart: float = 45.0) -> DataFrame:
+    """The ground that demand is spread over, as an area of plane 0: the boundary
+    (an area), of that what is within reach of a pipe (x1, y1, x2, y2) where there is
+    any; without a boundary the outline of the nodes and what is within ``apart`` of
+    it or of a node."""
+    if boundary is None or not boundary.take(1):
+        return outline.footprint(nodes, "node_id", radius, apart)
+    if reach and pipes is not None:
+        ways = pipes.select(F.lit(0).cast("long").alias("plane"), *[F.round(c, overlay.DIGITS).alias(n) for c, n in (("x1", "ax"), ("y1", "ay"), ("x2", "bx"), ("y2", "by"))])
+        tips = ways.select("plane", F.col("ax").alias("x"), F.col("ay").alias("y")).union(ways.select("plane", "bx", "by")).distinct()
+        lines = ways.filter("ax <> bx OR ay <> by")
+        both = lines.union(lines.select("plane", F.col("bx"), F.col("by"), F.col("ax"), F.col("ay"))).distinct()
+        near = overlay.combined(boundary, overlay.buffered(both, reach, lone=tips), "intersection", max(reach / 4, 1.0))
+        near = cut(near)
+        if near.take(1):
+            return near
+    return boundary
+
+
+def thiessen_areas(nodes: DataFrame, ground: DataFrame) -> DataFrame:
+    """(node_id, area): of the ground, an area of plane 0, what is nearer to a
+    node than to any other, exactly; 0 for nodes without any."""
+    found = overlay.area(outline.thiessen(nodes, "node_id", ground)).withColumnRenamed("plane", "node_id")
+    return nodes.select("node_id").join(found, "node_id", "left").select("node_id", F.coalesce("area", F.lit(0.0)).alias("area"))
+
+
 def voronoi_share(cells: DataFrame, nodes: DataFrame, step: float) -> DataFrame:
     """(node_id, n_cells, area): the cells nearest to each node, ties to the
     smaller id; a Voronoi cell to the grid's accuracy. Nodes without a cell
@@ -107,9 +135,10 @@ def allocate(nodes: DataFrame, total: float, method: str = "uniform", links: Dat
 
 def concentration(demands: DataFrame, demand: str = "demand", top: int = 10) -> DataFrame:
     """(total, top1_share, top10_share): how much of all the largest nodes
-    take; the largest are found without sorting all nodes."""
+    take, null where there is nothing to take; the largest are found without sorting all nodes."""
     exact = F.col(demand).cast("decimal(28,9)")
     sums = demands.agg(F.sum(exact).cast("double").alias("total"))
     first = demands.orderBy(F.desc(demand)).limit(top).withColumn("nr", F.row_number().over(W.orderBy(F.desc(demand))))  # top rows
     best = first.agg(F.sum(F.when(F.col("nr") == 1, exact)).cast("double").alias("one"), F.sum(exact).cast("double").alias("ten"))
-    return sums.crossJoin(best).select("total", (F.col("one") / F.col("total")).alias("top1_share"), (F.col("ten") / F.col("total")).alias("top10_share"))
+    some = F.nullif(F.col("total"), F.lit(0.0))
+    return sums.crossJoin(best).select("total", (F.col("one") / some).alias("top1_share"), (F.col("ten") / some).alias("top10_share"))  # one row each

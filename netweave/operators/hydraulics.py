@@ -78,42 +78,10 @@ def source_at(nodes: DataFrame, x: float, y: float) -> DataFrame:
     return nodes.agg(F.min(F.struct((dx * dx + dy * dy).alias("d"), "node_id", "x", "y")).alias("best")).select("best.node_id", "best.x", "best.y").filter("node_id IS NOT NULL")
 
 
-def spanning_tree(links: DataFrame, roots: DataFrame, src: str = "node1", dst: str = "node2", key: str = "link_id") -> DataFrame:
-    """(node_id, depth, parent, link_id): breadth-first trees from the roots
-    (node_id), one round a level. A node reached over several links keeps that
-    of the smallest (link, parent); roots have depth 0 and no parent."""
-    edges = cut(links.select(F.col(src).alias("a"), F.col(dst).alias("b"), F.col(key).alias("link_id")).union(links.select(dst, src, key)).filter("a != b"))
-    none = F.lit(None)
-    seen = cut(roots.select("node_id", F.lit(0).alias("depth"), none.cast(links.schema[src].dataType).alias("parent"), none.cast(links.schema[key].dataType).alias("link_id")))
-    front, depth = seen, 0
-    while True:
-        depth += 1
-        step = front.select(F.col("node_id").alias("a")).join(edges, "a").join(seen.select(F.col("node_id").alias("b")), "b", "left_anti")
-        best = step.groupBy("b").agg(F.min(F.struct("link_id", "a")).alias("best"))
-        front = cut(best.select(F.col("b").alias("node_id"), F.lit(depth).alias("depth"), F.col("best.a").alias("parent"), F.col("best.link_id")))
-        if not front.take(1):
-            return seen
-        seen = cut(seen.union(front))
-
-
-def tree_flows(tree: DataFrame, demands: DataFrame, peak: float = 1.0) -> DataFrame:
-    """(node_id, link_id, flow): demand below each tree link times peak, summed
-    level by level from the deepest; a link out of the tree carries nothing.
-    Demands (node_id, demand) are summed as decimals, so order is no matter."""
-    flows = cut(tree.join(demands, "node_id", "left").select("node_id", "depth", "parent", "link_id", F.coalesce("demand", F.lit(0.0)).cast("decimal(28,6)").alias("flow")))
-    deepest = flows.agg(F.max("depth")).first()[0] or 0
-    for level in range(deepest, 1, -1):
-        below = flows.filter(F.col("depth") == level).groupBy(F.col("parent").alias("node_id")).agg(F.sum("flow").cast("decimal(28,6)").alias("more"))
-        flows = flows.join(below, "node_id", "left").withColumn("flow", (F.col("flow") + F.coalesce("more", F.lit(0))).cast("decimal(28,6)")).drop("more")
-        if level % 8 == 0:
-            flows = cut(flows)
-    return flows.filter("depth > 0").select("node_id", "link_id", (F.col("flow").cast("double") * peak).alias("flow"))
-
-
 def network_trees(nodes: DataFrame, links: DataFrame, roots: DataFrame, peak: float = 1.0) -> DataFrame:
-    """(network_id, node_id, depth, parent, link_id, flow): spanning_tree and
-    tree_flows for many networks at once, each walked by a worker of its own;
-    for networks that fit one. Long chains cost no rounds here.
+    """(network_id, node_id, depth, parent, link_id, flow): trees and flows for
+    many networks at once, each walked by a worker of its own, for networks that
+    fit one; ``trees`` has them for any size.
 
     nodes: network_id, node_id, demand; links: network_id, link_id, node1, node2;
     roots: network_id, node_id. Nodes are visited in order of arrival, links of a
@@ -145,11 +113,6 @@ def network_trees(nodes: DataFrame, links: DataFrame, roots: DataFrame, peak: fl
     return rows.groupBy("network_id").applyInPandas(run, "network_id long, node_id long, depth int, parent long, link_id long, flow double")
 
 
-def reachable(links: DataFrame, roots: DataFrame, src: str = "node1", dst: str = "node2", key: str = "link_id") -> DataFrame:
-    """(node_id) that a root reaches."""
-    return spanning_tree(links, roots, src, dst, key).select("node_id")
-
-
 def solve_network(nodes: pd.DataFrame, pipes: pd.DataFrame, source, peak: float = 1.0, target: float = 15.0, tolerance: float = 1e-8, rounds: int = 100) -> tuple[np.ndarray, np.ndarray, float]:
     """Heads of nodes, flows of pipes (cubic metres a second, from node1 to
     node2) and the source's head, by the global gradient method: Newton steps

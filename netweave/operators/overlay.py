@@ -175,6 +175,13 @@ def outlines(edges: DataFrame) -> DataFrame:
     return chained.select("plane", "ring", points.alias("points"), shoelace.alias("area"))
 
 
+def shapes(edges: DataFrame) -> DataFrame:
+    """(plane, parts, area): an area's rings as arrays of points, the largest
+    first, such as the exports and ``edges_of`` take."""
+    found = outlines(edges).groupBy("plane").agg(F.array_sort(F.collect_list(F.struct((-F.col("area")).alias("small"), "points"))).alias("all"), F.sum("area").alias("area"))  # one area's rings
+    return found.select("plane", F.transform("all", lambda r: r["points"]).alias("parts"), "area")
+
+
 def buffered(edges: DataFrame, distance: float, quarter: int = 16, lone: DataFrame | None = None) -> DataFrame:
     """The area within a distance of an area: with a strip along each edge and a
     disc, a polygon of so many corners a quarter, at each corner. lone: points

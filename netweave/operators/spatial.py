@@ -145,9 +145,10 @@ def in_box(x: str, y: str, box: tuple[float, float, float, float]) -> Column:
     return (F.col(x) >= box[0]) & (F.col(y) >= box[1]) & (F.col(x) <= box[2]) & (F.col(y) <= box[3])
 
 
-def in_polygon(x: Column, y: Column, ring: list[tuple[float, float]]) -> Column:
-    """Strictly inside a ring (even-odd); points on an edge are outside. The
-    ring is a literal, so this is plain arithmetic in the scan's stage."""
+def on_or_in(x: Column, y: Column, ring: list[tuple[float, float]]) -> tuple[Column, Column]:
+    """How many edges of a ring are crossed on the way out, and whether the
+    point is on one. The ring is a literal, so this is plain arithmetic in the
+    scan's stage."""
     crossings, on_edge = F.lit(0), F.lit(False)
     for (ax, ay), (bx, by) in zip(ring, ring[1:] + ring[:1], strict=True):
         if (ax, ay) == (bx, by):
@@ -156,4 +157,10 @@ def in_polygon(x: Column, y: Column, ring: list[tuple[float, float]]) -> Column:
         on_edge = on_edge | ((side == 0) & x.between(min(ax, bx), max(ax, bx)) & y.between(min(ay, by), max(ay, by)))
         if ay != by:
             crossings = crossings + F.when(((y < ay) != (y < by)) & (x < (bx - ax) * (y - ay) / (by - ay) + ax), 1).otherwise(0)
+    return crossings, on_edge
+
+
+def in_polygon(x: Column, y: Column, ring: list[tuple[float, float]]) -> Column:
+    """Strictly inside a ring (even-odd); points on an edge are outside."""
+    crossings, on_edge = on_or_in(x, y, ring)
     return (crossings % 2 == 1) & ~on_edge

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from netweave.functions import labels
-from netweave.operators import cleaning, georeference, hydraulics, noding, topology, zones
+from netweave.operators import cleaning, georeference, hydraulics, noding, topology, trees, zones
 from netweave.operators.components import connected_components
 from netweave.plans.fixtures import BASE, LADDER, PIPES, memo, net_links, net_nodes, net_pipes
 from netweave.plans.registry import query
@@ -64,7 +64,7 @@ def largest_component(spark, sf_dir):
 @query("reachability", f"WITH RECURSIVE {BASE}, both_ways AS (SELECT node1 AS a, node2 AS b FROM links UNION ALL SELECT node2, node1 FROM links), walk AS (SELECT CAST(5 AS BIGINT) AS node_id UNION SELECT b FROM walk JOIN both_ways ON a = node_id) SELECT node_id FROM walk")
 def reachability(spark, sf_dir):
     root = spark.createDataFrame([(5,)], "node_id long")
-    return hydraulics.reachable(net_links(spark, sf_dir), root)
+    return trees.reachable(net_links(spark, sf_dir), root)
 
 
 @query("unreachable_nodes", f"WITH RECURSIVE {BASE}, both_ways AS (SELECT node1 AS a, node2 AS b FROM links UNION ALL SELECT node2, node1 FROM links), walk AS (SELECT CAST(5 AS BIGINT) AS node_id UNION SELECT b FROM walk JOIN both_ways ON a = node_id) SELECT node_id FROM nodes WHERE node_id NOT IN (SELECT node_id FROM walk)")
@@ -72,6 +72,33 @@ def unreachable_nodes(spark, sf_dir):
     return net_nodes(spark, sf_dir).select("node_id").join(reachability(spark, sf_dir), "node_id", "left_anti")
 
 
+_TREE = f"""WITH RECURSIVE {BASE}, both_ways AS (SELECT node1 AS a, node2 AS b, link_id FROM links UNION ALL SELECT node2, node1, link_id FROM links),
+  root AS (SELECT min(node_id) AS node_id FROM nodes GROUP BY cluster),
+  walk AS (SELECT node_id AS node, 0 AS d FROM root UNION SELECT b, d + 1 FROM walk JOIN both_ways ON a = node WHERE d < 60),
+  far AS (SELECT node, CAST(min(d) AS INTEGER) AS depth FROM walk GROUP BY node),
+  best AS (SELECT x.node, x.depth, min(struct_pack(link := link_id, up := a)) AS best FROM far x LEFT JOIN (both_ways JOIN far y ON y.node = a) ON b = x.node AND y.depth = x.depth - 1 GROUP BY x.node, x.depth),
+  tree AS (SELECT node AS node_id, depth, best.up AS parent, best.link AS link_id FROM best) """
+
+
+@memo
+def node_tree(spark, sf_dir):
+    first = net_nodes(spark, sf_dir).groupBy("cluster").agg(F.min("node_id").alias("node_id")).select("node_id")
+    return trees.spanning_tree(net_links(spark, sf_dir), first)
+
+
+@query("spanning_tree", _TREE + "SELECT node_id, depth, parent, link_id FROM tree")
+def spanning_tree(spark, sf_dir):
+    """Breadth-first trees from each cluster's first node, whatever their size;
+    ``bfs_tree`` walks each in a worker, in order of arrival."""
+    return node_tree(spark, sf_dir)
+
+
+@query("tree_flows", _TREE + ", below AS (SELECT node_id AS top, node_id FROM tree UNION ALL SELECT parent, below.node_id FROM below JOIN tree ON tree.node_id = top WHERE parent IS NOT NULL) SELECT tree.node_id, link_id, CAST(sum(CAST(demand_lps AS DECIMAL(28,6))) AS DOUBLE) * 2.5::DOUBLE AS flow FROM below JOIN tree ON tree.node_id = top JOIN nodes ON nodes.node_id = below.node_id WHERE parent IS NOT NULL GROUP BY ALL")
+def tree_flows(spark, sf_dir):
+    needs = net_nodes(spark, sf_dir).select("node_id", F.col("demand_lps").alias("demand"))
+    return trees.tree_flows(node_tree(spark, sf_dir), needs, 2.5)
+
+
 @query("spatial_clusters")
 def spatial_clusters(spark, sf_dir):
     """All nodes, joined where 40 m apart at most; the tests compare all pairs."""

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
 _SQL: dict[str, str] = {}
-_MODULES = ("placement_queries", "scalar_queries", "spatial_queries", "graph_queries", "graph_data_queries", "export_queries")
+_MODULES = ("placement_queries", "scalar_queries", "spatial_queries", "area_queries", "graph_queries", "graph_data_queries", "export_queries")
 
 
 def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:

@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from netweave.functions import geometry, labels
-from netweave.operators import hydraulics, topology
+from netweave.operators import hydraulics, overlay, topology
 from netweave.plans.fixtures import BASE, LADDER, PIPES, label_sql, memo, net_nodes, net_pipes
 from netweave.plans.registry import query
 from netweave.session import table
@@ -141,19 +140,12 @@ def bearing_check(spark, sf_dir):
 @query("polygon_area_iou", """WITH r AS (SELECT p_partkey AS id, CAST(p_size AS DOUBLE) AS w, CAST(p_partkey % 40 AS DOUBLE) AS dx FROM part)
   SELECT id, w * 10 AS area, round(greatest(0, least(w, dx + 20) - dx) * 10 / (w * 10 + 20 * 10 - greatest(0, least(w, dx + 20) - dx) * 10), 9) AS iou FROM r""")
 def polygon_area_iou(spark, sf_dir):
-    @F.pandas_udf("double")
-    def iou(w: pd.Series, dx: pd.Series) -> pd.Series:
-        out = []
-        for a, d in zip(w, dx, strict=True):
-            one, other = [(0.0, 0.0), (a, 0.0), (a, 10.0), (0.0, 10.0)], [(d, 0.0), (d + 20.0, 0.0), (d + 20.0, 10.0), (d, 10.0)]
-            shared = geometry.ring_area(geometry.clip_convex(one, other))
-            out.append(shared / (geometry.ring_area(one) + geometry.ring_area(other) - shared))
-        return pd.Series(out)
-
-    rectangles = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_size").cast("double").alias("w"), (F.col("p_partkey") % 40).cast("double").alias("dx"))
+    parts = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_size").cast("double").alias("w"), (F.col("p_partkey") % 40).cast("double").alias("dx"))
     corner = lambda x, y: F.struct(x.alias("x"), F.lit(y).alias("y"))
-    ring = F.array(corner(F.lit(0.0), 0.0), corner(F.col("w"), 0.0), corner(F.col("w"), 10.0), corner(F.lit(0.0), 10.0))
-    return rectangles.select("id", geometry.polygon_area(ring).alias("area"), F.round(iou("w", "dx"), 9).alias("iou"))
+    box = lambda x, w: F.array(corner(x, 0.0), corner(x + w, 0.0), corner(x + w, 10.0), corner(x, 10.0))
+    one, other = (overlay.edges_of(parts.select("id", F.array(ring).alias("parts")), "id") for ring in (box(F.lit(0.0), F.col("w")), box(F.col("dx"), F.lit(20.0))))
+    shares = overlay.overlap(one, other, 25.0).select(F.col("plane").alias("id"), F.round("iou", 9).alias("iou"))
+    return parts.select("id", geometry.polygon_area(box(F.lit(0.0), F.col("w"))).alias("area")).join(shares, "id")
 
 
 @query("utm_project")

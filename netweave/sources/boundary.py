@@ -1,4 +1,4 @@
-"""A service boundary: polygons read, reprojected and taken as one."""
+"""A service boundary: polygons read, reprojected and dissolved into one area."""
 
 from __future__ import annotations
 
@@ -6,34 +6,50 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from netweave.functions.geometry import to_utm
+from netweave.operators import overlay
 from netweave.operators.demand import segment_distance
-from netweave.operators.spatial import in_polygon
+from netweave.operators.spatial import finite, on_or_in
+from netweave.session import cut
 
-#: Vertices of a boundary: it is a literal of every expression that tests it.
+#: Vertices of a boundary that is a literal of the expressions that test it.
 MOST = 20_000
 
 
-def load_boundary(features: DataFrame, zone: int | None = None, south: bool = False) -> list[list[tuple[float, float]]]:
-    """The rings of the polygons of (geom_type, parts), such as read_geojson
-    gives; with a zone from degrees to metres. Raises for more than MOST
-    vertices, which a boundary does not have."""
-    rings = features.filter("parts IS NOT NULL AND lower(geom_type) LIKE '%polygon'").select(F.explode("parts").alias("ring"))
-    if (rings.agg(F.sum(F.size("ring"))).first()[0] or 0) > MOST:
-        raise ValueError(f"the boundary has more than {MOST} vertices")
+def load_boundary(features: DataFrame, zone: int | None = None, south: bool = False, buffer: float = 0.0) -> DataFrame:
+    """The ground that the polygons of (geom_type, parts) cover, such as
+    read_geojson gives, as one area (see ``overlay``) of plane 0; with a zone from
+    degrees to metres, with a buffer so much wider. Within a feature rings are holes
+    and islands by the even-odd rule; where features overlap the ground counts once."""
+    polygons = features.filter("parts IS NOT NULL AND lower(geom_type) LIKE '%polygon'").select("parts")
     if zone is not None:
         placed = lambda p: F.struct(*[c.alias(k) for c, k in zip(to_utm(p.x, p.y, zone, south), "xy", strict=True)])
-        rings = rings.select(F.transform("ring", placed).alias("ring"))
-    found = [[(p["x"], p["y"]) for p in row["ring"]] for row in rings.filter(F.size("ring") > 0).collect()]
-    return [ring[:-1] if ring[0] == ring[-1] and len(ring) > 1 else ring for ring in found]
+        polygons = polygons.select(F.transform("parts", lambda ring: F.transform(ring, placed)).alias("parts"))
+    numbered = cut(polygons.withColumn("feature", F.monotonically_increasing_id()))
+    edges = cut(overlay.edges_of(numbered, "feature").filter(finite("ax", "ay", "bx", "by")))
+    size = overlay.cell_size(edges)
+    whole = overlay.dissolve(overlay.even_odd(edges, size).withColumn("plane", F.lit(0).cast("long")), size)
+    return overlay.buffered(whole, buffer) if buffer > 0 else whole
+
+
+def rings(boundary: DataFrame) -> list[list[tuple[float, float]]]:
+    """The rings of a boundary, for ``covers``. Raises for more than MOST vertices;
+    ``overlay.covered`` tests points against any number."""
+    boundary = cut(boundary)
+    if boundary.count() > MOST:
+        raise ValueError(f"the boundary has more than {MOST} vertices: use overlay.covered")
+    return [[(p["x"], p["y"]) for p in row["points"]] for row in overlay.outlines(boundary).collect()]
 
 
 def covers(x: Column, y: Column, rings: list[list[tuple[float, float]]], buffer: float = 0.0) -> Column:
-    """Inside any of the rings (they count as one area), or with a buffer at most
-    that far from one."""
-    inside = F.lit(False)
+    """Inside an odd number of the rings, so that holes are outside and edges
+    too; or with a buffer at most that far from an edge as well."""
+    crossings, on_edge = F.lit(0), F.lit(False)
     for ring in rings:
-        inside = inside | in_polygon(x, y, ring)
-        if buffer > 0:
+        odd, edge = on_or_in(x, y, ring)
+        crossings, on_edge = crossings + odd, on_edge | edge
+    inside = (crossings % 2 == 1) & ~on_edge
+    if buffer > 0:
+        for ring in rings:
             for (ax, ay), (bx, by) in zip(ring, ring[1:] + ring[:1], strict=True):
                 inside = inside | (segment_distance(x, y, F.lit(ax), F.lit(ay), F.lit(bx), F.lit(by)) <= buffer)
     return inside

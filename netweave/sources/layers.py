@@ -60,10 +60,10 @@ def read_lines(features: DataFrame, extent: tuple[float, float, float, float] |
 
 def read_texts(features: DataFrame) -> DataFrame:
     """(layer, raw, x, y): the first text column that has one, at the middle of
-    the feature's points."""
+    the feature's points; without points the place is null."""
     known = [c for c in TEXT_COLUMNS if c in features.columns]
     points = F.flatten("parts")
-    middle = lambda k: F.aggregate(points, F.lit(0.0), lambda s, p: s + p[k]) / F.size(points)
+    middle = lambda k: F.aggregate(points, F.lit(0.0), lambda s, p: s + p[k]) / F.nullif(F.size(points), F.lit(0))
     return features.select("layer", F.coalesce(*known).alias("raw") if known else F.lit(None).cast("string").alias("raw"), middle("x").alias("x"), middle("y").alias("y")).filter("raw IS NOT NULL")
 
 

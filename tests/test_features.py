@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from netweave.functions import geometry
-from netweave.operators import cleaning, demand, hydraulics, topology
+from netweave.operators import cleaning, demand, hydraulics, overlay, topology
 from netweave.rdf import profile, store
 from netweave.rdf.sparql import sparql
 from netweave.sources import boundary, export, layers
@@ -20,14 +20,31 @@ def test_boundary_reads_joins_and_buffers(spark, tmp_path):
     path = tmp_path / "b.json"
     path.write_text(json.dumps({"type": "FeatureCollection", "features": [{"type": "Feature", "properties": {"layer": f"l{i}", "Text": '6"'}, "geometry": g} for i, g in enumerate(shapes)]}))
     features = layers.read_geojson(spark, str(path), spark.range(0).selectExpr("'' AS layer", "'' AS Text").schema)
-    rings = boundary.load_boundary(features)
-    assert sorted(len(r) for r in rings) == [4, 4, 4]
+    rings = boundary.rings(boundary.load_boundary(features))
+    assert sorted(len(r) for r in rings) == [4, 8]  # two that overlap are one
     points = spark.createDataFrame([(7.0, 5.0), (12.0, 5.0), (17.0, 5.0), (45.0, 12.9), (45.0, 13.1), (30.0, 5.0)], "x double, y double")
     inside = lambda d: [r.c for r in points.select(boundary.covers(F.col("x"), F.col("y"), rings, d).alias("c")).collect()]
     assert inside(0.0) == [True, True, False, False, False, False] and inside(3.0) == [True, True, True, True, False, False]
     assert [r.layer for r in layers.read_lines(features).collect()] == ["l3"] and layers.read_lines(features, (0, 0, 2, 9)).count() == 0
     assert {(r.layer, r.raw, r.x, r.y) for r in layers.read_texts(features).collect()} >= {("l2", '6"', 1.0, 2.0), ("l3", '6"', 1.5, 2.0)}
-    assert boundary.load_boundary(features.limit(0)) == []
+    assert boundary.load_boundary(features.limit(0)).count() == 0
+    none = spark.createDataFrame([("e", '4"', [], "Point"), ("n", '5"', None, None)], "layer string, Text string, parts array<array<struct<x:double,y:double>>>, geom_type string")
+    assert {(r.layer, r.x, r.y) for r in layers.read_texts(none).collect()} == {("e", None, None), ("n", None, None)}
+
+
+def test_boundary_with_holes(spark):
+    box = lambda x, w: [(x, x), (x + w, x), (x + w, x + w), (x, x + w)]
+    features = spark.createDataFrame([("Polygon", [box(0.0, 30.0), box(10.0, 10.0)]), ("Polygon", [box(12.0, 3.0)])], "geom_type string, parts array<array<struct<x:double,y:double>>>")
+    area = boundary.load_boundary(features)
+    assert overlay.area(area).first()["area"] == 900 - 100 + 9
+    spots = [(1, 5.0, 5.0), (2, 11.0, 11.0), (3, 13.0, 13.0), (4, 18.0, 18.0), (5, 40.0, 5.0)]
+    points = spark.createDataFrame([(0, *s) for s in spots], "plane long, id long, x double, y double")
+    rings = boundary.rings(area)
+    assert [r.id for r in points.filter(boundary.covers(F.col("x"), F.col("y"), rings)).orderBy("id").collect()] == [1, 3]
+    assert sorted(r.id for r in overlay.covered(points, area, 8.0).collect()) == [1, 3]
+    alone = features.limit(1)
+    wider = overlay.area(boundary.load_boundary(alone, buffer=2.0)).first()["area"]
+    assert wider == pytest.approx(30 * 30 + 120 * 2 + math.pi * 4 - 6 * 6, rel=1e-3)
 
 
 def test_shapes_round_trip(spark, tmp_path):
@@ -68,6 +85,22 @@ def test_service_area_follows_pipes(spark):
     assert demand.network_service_area(cells, df.limit(0), None, 6.0).count() == cells.count()
     with pytest.warns(UserWarning):
         assert demand.too_concentrated(spark.createDataFrame([(0.06,)], "top1_share double"))
+    nothing = demand.concentration(spark.createDataFrame([(0.0,), (0.0,)], "demand double"))
+    assert tuple(nothing.first()) == (0.0, None, None) and not demand.too_concentrated(nothing)
+
+
+def test_served_ground(spark):
+    square = overlay.edges_of(spark.createDataFrame([(0, [[(0.0, 0.0), (100.0, 0.0), (100.0, 100.0), (0.0, 100.0)]])], "plane long, parts array<array<struct<x:double,y:double>>>"), "plane")
+    pipes = spark.createDataFrame([(10.0, 50.0, 90.0, 50.0), (500.0, 500.0, 500.0, 500.0)], "x1 double, y1 double, x2 double, y2 double")
+    nodes = spark.createDataFrame([(1, 10.0, 50.0), (2, 90.0, 50.0), (3, 700.0, 700.0)], "node_id long, x double, y double")
+    near = demand.served_ground(square, pipes, nodes, 5.0)
+    assert overlay.area(near).first()["area"] == pytest.approx(80 * 10 + math.pi * 25, rel=2e-3)
+    areas = {r.node_id: r.area for r in demand.thiessen_areas(nodes, near).collect()}
+    assert areas[1] == pytest.approx(areas[2], rel=1e-4) and areas[3] == 0 and areas[1] + areas[2] == pytest.approx(80 * 10 + math.pi * 25, rel=2e-3)
+    assert overlay.area(demand.served_ground(square, pipes.limit(0), nodes, 5.0)).first()["area"] == 10_000
+    alone = overlay.area(demand.served_ground(None, None, nodes, None)).first()["area"]  # two of the three discs meet
+    lens = 2 * 45**2 * math.acos(80 / 90) - 40 * math.sqrt(4 * 45**2 - 80**2)
+    assert alone == pytest.approx(3 * math.pi * 45**2 - lens, rel=1e-2)
     assert not demand.too_concentrated(spark.createDataFrame([(0.05,)], "top1_share double"))
 
 

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from netweave.functions import geometry, labels
-from netweave.operators import demand, georeference, hydraulics, noding, placement, spatial, topology, zones
+from netweave.operators import demand, georeference, hydraulics, noding, placement, spatial, topology, trees, zones
 from netweave.operators.components import connected_components
 from netweave.plans import fixtures, graph_queries
 from netweave.session import stored
@@ -155,10 +155,10 @@ def test_solve(spark):
 def test_tree_flows(spark):
     rows = links(spark, [(1, 2, 1.0), (2, 3, 1.0), (1, 4, 1.0), (3, 4, 1.0), (2, 2, 1.0), (8, 9, 1.0)])
     root = spark.createDataFrame([(1,)], "node_id long")
-    tree = stored(hydraulics.spanning_tree(rows, root))
+    tree = stored(trees.spanning_tree(rows, root))
     assert {(r.node_id, r.depth, r.link_id) for r in tree.collect()} == {(1, 0, None), (2, 1, 0), (4, 1, 2), (3, 2, 1)}
     needs = spark.createDataFrame([(2, 1.0), (3, 2.0), (4, 4.0), (9, 9.0)], "node_id long, demand double")
-    assert {(r.link_id, r.flow) for r in hydraulics.tree_flows(tree, needs, 2.0).collect()} == {(0, 6.0), (1, 4.0), (2, 8.0)}
+    assert {(r.link_id, r.flow) for r in trees.tree_flows(tree, needs, 2.0).collect()} == {(0, 6.0), (1, 4.0), (2, 8.0)}
     many = hydraulics.network_trees(needs.withColumn("network_id", F.lit(1)), rows.withColumn("network_id", F.lit(1)), root.withColumn("network_id", F.lit(1)), 2.0).collect()
     assert {(r.link_id, r.flow) for r in many if r.depth} == {(0, 6.0), (1, 4.0), (2, 8.0)}
 

@@ -116,3 +116,31 @@ def test_thiessen_areas(spark):
     for x in closed:
         sums[x.plane] = sums.get(x.plane, 0) + x.area
     assert all(sums[n] == pytest.approx(got[n], abs=1e-2) for n in got)
+
+
+def test_area_queries_add_up(spark):
+    import os
+
+    from netweave.plans import area_queries, fixtures
+
+    folder = "/root/testdata/sf0.001"
+    if not os.path.isdir(folder):
+        pytest.skip("no test tables here")
+    whole = overlay.area(area_queries.ground(spark, folder)).first()["area"]
+    nodes = {x.node_id: (x.x, x.y) for x in fixtures.net_nodes(spark, folder).collect()}
+    got = {x.node_id: x.area for x in area_queries.thiessen_areas(spark, folder).collect()}
+    assert set(got) == set(nodes) and sum(got.values()) == pytest.approx(whole, rel=1e-5)
+    rings = [area_queries.RING, area_queries.HOLE]
+
+    def inside(x, y):
+        return sum((ay > y) != (by > y) and x < (bx - ax) * (y - ay) / (by - ay) + ax for ring in rings for (ax, ay), (bx, by) in zip(ring, ring[1:] + ring[:1], strict=True)) % 2
+
+    want = dict.fromkeys(nodes, 0)
+    for i in range(200):
+        for j in range(200):
+            x, y = 5 * i + 2.5, 5 * j + 2.5
+            if inside(x, y):
+                want[min(nodes, key=lambda n: (nodes[n][0] - x) ** 2 + (nodes[n][1] - y) ** 2)] += 25
+    assert all(abs(got[n] - want[n]) < 0.12 * want[n] + 250 for n in nodes)
+    zones = area_queries.zone_polygons(spark, folder).collect()
+    assert sum(z.area for z in zones) == pytest.approx(whole, rel=1e-4)
