@@ -55,6 +55,10 @@ def as_text(v: Value) -> Column:
     return T.text(v.col) if v.kind == TERM else v.col.cast("string")
 
 
+def as_instant(v: Value) -> Column:
+    return T.instant(v.col) if v.kind == TERM else F.lit(None).cast("double")
+
+
 def as_bool(v: Value) -> Column:
     """The effective boolean value; null where there is none."""
     if v.kind == BOOL:
@@ -83,6 +87,15 @@ def turned(path: tuple) -> tuple:
     return (kind, turned(path[1]))
 
 
+def _endless(path: tuple) -> bool:
+    """Whether a path has a part that is walked on and on."""
+    if path[0] in ("star", "plus"):
+        return True
+    if path[0] in ("alt", "seq"):
+        return any(_endless(x) for x in path[1])
+    return path[0] in ("inv", "opt") and _endless(path[1])
+
+
 class Compiler:
     def __init__(self, triples: DataFrame, counts: dict[str, int] | None = None):
         self.triples = triples.select("s", "p", "o")
@@ -102,10 +115,16 @@ class Compiler:
                 wanted.append(F.col(column).alias(part[1]))
         return Solutions(df.select(*wanted) if wanted else df.select(F.lit(1).alias("__one")), dict.fromkeys(kinds, TERM))
 
-    def pairs(self, path: tuple, start: str | None = None) -> DataFrame:
-        """(s, o) of a path. start: only from that term."""
+    def pairs(self, path: tuple, start: str | DataFrame | None = None) -> DataFrame:
+        """(s, o) of a path. start: only from that term, or from those of a frame
+        (s)."""
         kind = path[0]
-        begin = (lambda df: df.filter(F.col("s") == start)) if start else (lambda df: df)
+
+        def begin(df: DataFrame) -> DataFrame:
+            if start is None:
+                return df
+            return df.filter(F.col("s") == start) if isinstance(start, str) else df.join(start, "s", "left_semi")
+
         if kind == "term":
             return begin(self.triples.filter(F.col("p") == path[1]).select("s", "o"))
         if kind == "inv":
@@ -134,28 +153,40 @@ class Compiler:
             if kind == "plus":
                 return reached
             own = self.triples.select(F.col("s").alias("n")).union(self.triples.select("o")).distinct()
-            if start:
-                own = self.spark.createDataFrame([(start,)], "n string")
+            if start is not None:
+                own = self.spark.createDataFrame([(start,)], "n string") if isinstance(start, str) else start.select(F.col("s").alias("n"))
             return reached.union(own.select(F.col("n").alias("s"), F.col("n").alias("o"))).distinct()
         raise SparqlError(f"no such path: {kind}")
 
-    def closure(self, steps: DataFrame, start: str | None) -> DataFrame:
-        """Pairs joined by one or more steps; each round adds only new pairs."""
+    def closure(self, steps: DataFrame, start: str | DataFrame | None) -> DataFrame:
+        """Pairs joined by one or more steps; each round makes and writes only new
+        pairs, from the start where there is one."""
         steps = cut(steps)
-        reached = new = cut(steps.filter(F.col("s") == start) if start else steps)
+        first = steps
+        if start is not None:
+            first = steps.filter(F.col("s") == start) if isinstance(start, str) else steps.join(start, "s", "left_semi")
+        new = cut(first)
+        reached = new
         while new.take(1):
             further = new.join(steps.select(F.col("s").alias("o"), F.col("o").alias("__o")), "o").select("s", F.col("__o").alias("o")).distinct()
             new = cut(further.join(reached, ["s", "o"], "left_anti"))
-            reached = cut(reached.union(new))
+            reached = reached.union(new)  # tables that are there already, one more each round
         return reached
 
-    def pattern(self, s: tuple, p: tuple, o: tuple) -> Solutions:
+    def pattern(self, s: tuple, p: tuple, o: tuple, known: Solutions | None = None) -> Solutions:
+        """known: what was found before; a path that is walked on and on starts from
+        the terms that a variable of its can still be."""
         if p[0] in ("term", "var"):
             return self.scan(s, p, o)
+        begins = lambda part: self.seeds(part, known) if _endless(p) else None
         if s[0] != "term" and o[0] == "term":  # walked from the end that is known
             df = self.pairs(turned(p), o[1]).select(F.col("o").alias("s"), F.col("s").alias("o"))
+        elif s[0] == "term":
+            df = self.pairs(p, s[1])
+        elif (found := begins(s)) is None and (backward := begins(o)) is not None:
+            df = self.pairs(turned(p), backward).select(F.col("o").alias("s"), F.col("s").alias("o"))
         else:
-            df = self.pairs(p, s[1] if s[0] == "term" else None)
+            df = self.pairs(p, found)
         wanted, kinds = [], {}
         for column, part in (("s", s), ("o", o)):
             if part[0] == "term":
@@ -167,6 +198,12 @@ class Compiler:
                 wanted.append(F.col(column).alias(part[1]))
         return Solutions(df.select(*wanted) if wanted else df.select(F.lit(1).alias("__one")), kinds)
 
+    def seeds(self, part: tuple, known: Solutions | None) -> DataFrame | None:
+        """(s): the terms of a variable that is bound in all that is known."""
+        if known is None or part[0] != "var" or known.kinds.get(part[1]) != TERM or part[1] in known.unsure:
+            return None
+        return cut(known.df.select(F.col(part[1]).alias("s")).distinct())
+
     def cost(self, triple: tuple) -> float:
         s, p, o = triple
         size = self.counts.get(p[1], 10**6) if p[0] == "term" else 10**9 if p[0] in ("star", "plus", "opt") else 10**7
@@ -181,7 +218,7 @@ class Compiler:
             best = min(linked, key=self.cost)
             left.remove(best)
             bound |= names(best)
-            found = self.pattern(*best)
+            found = self.pattern(*best, out)
             out = found if out is None else self.join(out, found)
         return out or self.unit()
 
@@ -243,20 +280,41 @@ class Compiler:
 
     def exists(self, a: Solutions, inner: list, wanted: bool) -> Solutions:
         b = self.group(inner, outer=set(a.kinds))
-        right, on, _ = self._on(a, b)
-        env = {v: Value(F.col(v), k) for v, k in a.kinds.items()} | {v: Value(F.col(f"__r_{v}"), k) for v, k in b.kinds.items()}
-        for e in b.deferred:
-            on = on & F.coalesce(as_bool(self.value(e, env)), F.lit(False))
-        return Solutions(a.df.join(right, on, "left_semi" if wanted else "left_anti"), a.kinds, a.unsure)
+        return Solutions(self._held(a, b, wanted, b.deferred).df, a.kinds, a.unsure)
 
     def minus(self, a: Solutions, b: Solutions) -> Solutions:
-        right, on, shared = self._on(a, b)
-        if not shared:
+        return Solutions(self._held(a, b, False, [], overlap=True).df, a.kinds, a.unsure)
+
+    def _held(self, a: Solutions, b: Solutions, wanted: bool, filters: list, overlap: bool = False) -> Solutions:
+        """a's solutions that have (or have not) one of b's that agrees with them.
+        overlap: only one that shares a bound variable counts. A variable that may be
+        unbound splits its frame in two, as in ``_split``, so that what is left is
+        always a join on equal keys."""
+        shared = [v for v in a.kinds if v in b.kinds and a.kinds[v] == b.kinds[v]]
+        if v := next((v for v in shared if v in a.unsure), None):
+            bound = self._held(Solutions(a.df.filter(F.col(v).isNotNull()), a.kinds, a.unsure - {v}), b, wanted, filters, overlap)
+            rest = a.df.filter(F.col(v).isNull()).withColumnRenamed(v, f"__none_{v}")
+            free = self._held(Solutions(rest, {k: x for k, x in a.kinds.items() if k != v}, a.unsure - {v}), b, wanted, filters, overlap)
+            return Solutions(bound.df.unionByName(free.df.withColumnRenamed(f"__none_{v}", v)), a.kinds, a.unsure)
+        if v := next((v for v in shared if v in b.unsure), None):
+            some = Solutions(b.df.filter(F.col(v).isNotNull()), b.kinds, b.unsure - {v})
+            rest = b.df.filter(F.col(v).isNull()).drop(v)
+            none = Solutions(rest if rest.columns else rest.select(F.lit(1).alias("__one")), {k: x for k, x in b.kinds.items() if k != v}, b.unsure - {v})
+            left = self._held(self._held(a, some, False, filters, overlap), none, wanted, filters, overlap)
+            if not wanted:
+                return left
+            return Solutions(self._held(a, some, True, filters, overlap).df.unionByName(left.df), a.kinds, a.unsure)
+        right, on, both = self._on(a, b)
+        if not both and overlap:
             return a
-        overlap = F.lit(False)
-        for v in shared:
-            overlap = overlap | (F.col(v).isNotNull() & F.col(f"__r_{v}").isNotNull())
-        return Solutions(a.df.join(right, on & overlap, "left_anti"), a.kinds, a.unsure)
+        if not both and not filters:
+            right = right.limit(1)  # that there is any is all that counts
+        env = {v: Value(F.col(v), k) for v, k in a.kinds.items()} | {v: Value(F.col(f"__r_{v}"), k) for v, k in b.kinds.items()}
+        for e in filters:
+            on = on & F.coalesce(as_bool(self.value(e, env)), F.lit(False))
+        if overlap and any(v in a.unsure or v in b.unsure for v in both):  # of different kinds
+            on = on & F.coalesce(*[F.when(F.col(v).isNotNull() & F.col(f"__r_{v}").isNotNull(), True) for v in both], F.lit(False))
+        return Solutions(a.df.join(right, on, "left_semi" if wanted else "left_anti"), a.kinds, a.unsure)
 
     # -- groups
     def group(self, parts: list, outer: set[str] = frozenset()) -> Solutions:
@@ -378,8 +436,8 @@ class Compiler:
         raise SparqlError(f"no such expression: {kind}")
 
     def compare(self, mark: str, a: Value, b: Value) -> Column:
-        """Numbers by value, other terms by their texts; = of two terms that are
-        not both numbers is that of the terms."""
+        """Numbers by value, dates and times by the instant they mean, other terms
+        by their texts; = of two terms that are neither is that of the terms."""
         apply = {"=": lambda x, y: x == y, "!=": lambda x, y: x != y, "<": lambda x, y: x < y, ">": lambda x, y: x > y, "<=": lambda x, y: x <= y, ">=": lambda x, y: x >= y}[mark]
         if a.kind == b.kind and a.kind in (INTEGER, BOOL, TEXT):
             return apply(a.col, b.col)
@@ -389,6 +447,9 @@ class Compiler:
         rest = apply(as_term(a), as_term(b)) if mark in ("=", "!=") and TEXT not in (a.kind, b.kind) else F.when(x.isNull() & y.isNull(), apply(as_text(a), as_text(b)))
         if {a.kind, b.kind} & {NUMBER, INTEGER}:
             return apply(x, y)
+        if a.kind == b.kind == TERM:
+            i, j = as_instant(a), as_instant(b)
+            rest = F.when(i.isNotNull() & j.isNotNull(), apply(i, j)).otherwise(rest)
         return F.when(x.isNotNull() & y.isNotNull(), apply(x, y)).otherwise(rest)
 
     def cast(self, target: str, v: Value) -> Value:
@@ -437,9 +498,34 @@ class Compiler:
         }
         if name in texts:
             return Value(texts[name](), TEXT)
+        parts = {"YEAR": 1, "MONTH": 2, "DAY": 3, "HOURS": 4, "MINUTES": 5}
+        if name in parts:
+            return Value(T.stamp_part(t(0), parts[name]).try_cast("long"), INTEGER)
+        if name == "SECONDS":
+            return Value(T.stamp_part(t(0), 6).try_cast("double"), NUMBER)
+        if name == "TZ":
+            return Value(F.when(T.stamp_part(t(0), 1).isNotNull(), F.coalesce(T.stamp_part(t(0), 7), F.lit(""))), TEXT)
+        if name == "NOW":
+            return Value(F.concat(F.lit('"'), F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss.SSSXXX"), F.lit(f'"^^<{T.XSD}dateTime>')), TERM)
+        if name in ("UUID", "STRUUID"):
+            return Value(F.concat(F.lit("<urn:uuid:"), F.uuid(), F.lit(">")), TERM) if name == "UUID" else Value(F.uuid(), TEXT)
+        if name == "RAND":
+            return Value(F.rand(), NUMBER)
+        if name == "STRDT":
+            return Value(F.concat(F.lit('"'), T.escape(t(0)), F.lit('"^^'), as_term(v[1])), TERM)
+        if name == "STRLANG":
+            return Value(F.concat(F.lit('"'), T.escape(t(0)), F.lit('"@'), t(1)), TERM)
+        if name in ("MD5", "SHA1", "SHA256", "SHA384", "SHA512"):
+            return Value(F.md5(t(0)) if name == "MD5" else F.sha1(t(0)) if name == "SHA1" else F.sha2(t(0), int(name[3:])), TEXT)
+        if name == "ENCODE_FOR_URI":
+            coded = F.url_encode(t(0))
+            for old, new in (("+", "%20"), ("*", "%2A"), ("%7E", "~")):
+                coded = F.replace(coded, F.lit(old), F.lit(new))
+            return Value(coded, TEXT)
         numbers = {"ABS": F.abs, "CEIL": F.ceil, "FLOOR": F.floor, "ROUND": lambda c: F.floor(c + 0.5)}
         if name in numbers:
-            return Value(numbers[name](n(0)).cast("double"), NUMBER)
+            whole = v[0].kind == INTEGER or (args[0][0] == "term" and args[0][1].endswith(f"^^<{T.XSD}integer>"))
+            return Value(numbers[name](n(0)).cast("long"), INTEGER) if whole else Value(numbers[name](n(0)).cast("double"), NUMBER)
         raise SparqlError(f"no such function: {name}")
 
     # -- SELECT
@@ -472,8 +558,8 @@ class Compiler:
         if name in ("MIN", "MAX"):
             if v.kind != TERM:
                 return Value((F.min if name == "MIN" else F.max)(v.col), v.kind)
-            n, pick = T.number(v.col), F.min if name == "MIN" else F.max
-            return Value(pick(F.struct(n.isNull().alias("t"), n.alias("n"), v.col.alias("v")))["v"], TERM)
+            n, pick = F.coalesce(T.number(v.col), T.instant(v.col)), F.min if name == "MIN" else F.max
+            return Value(pick(F.when(v.col.isNotNull(), F.struct(n.isNull().alias("t"), n.alias("n"), v.col.alias("v"))))["v"], TERM)
         if name == "SAMPLE":
             return Value(F.min(v.col), v.kind)
         items = F.collect_set(as_text(v)) if distinct else F.collect_list(as_text(v))
@@ -503,7 +589,7 @@ class Compiler:
         keys = []
         for desc, e in order:
             v = self.value(e, self.env(a))
-            for c in ([self.rank(v), as_number(v), as_text(v)] if v.kind == TERM else [v.col]):
+            for c in ([self.rank(v), as_number(v), as_instant(v), as_text(v)] if v.kind == TERM else [v.col]):
                 keys.append(c.desc_nulls_last() if desc else c.asc_nulls_first())
         absent = [v for v in names if v not in a.kinds]
         df = a.df.withColumns({v: F.lit(None).cast("string") for v in absent}) if absent else a.df

@@ -70,3 +70,21 @@ def datatype(term: Column) -> Column:
     typed = F.regexp_extract(term, r'"\^\^(<[^>]*>)$', 1)
     plain = F.when(term.rlike(r'"@[\w-]+$'), f"<{PREFIXES['rdf']}langString>").otherwise(f"<{XSD}string>")
     return F.when(is_literal(term), F.when(typed != "", typed).otherwise(plain))
+
+
+_STAMP = r'^(-?\d{4,})-(\d\d)-(\d\d)(?:T(\d\d):(\d\d):(\d\d(?:\.\d+)?))?(Z|[+-]\d\d:\d\d)?$'
+
+
+def stamp_part(value: Column, part: int) -> Column:
+    """Of the text of a date or dateTime its year, month, day, hour, minute, second
+    or zone (1 to 7), as they are written; null where there is none."""
+    return F.nullif(F.regexp_extract(value, _STAMP, part), F.lit(""))
+
+
+def instant(term: Column) -> Column:
+    """Microseconds since 1970 of a dateTime or date literal, those without a zone
+    in UTC and dates at their start; null for any other term."""
+    value = F.regexp_extract(term, rf'^"([^"]*)"\^\^<{XSD}date(?:Time)?>$', 1)
+    zoned = F.when(stamp_part(value, 7).isNotNull(), value).otherwise(F.concat(value, F.lit("Z")))
+    whole = F.when(stamp_part(value, 4).isNotNull(), zoned).when(stamp_part(value, 1).isNotNull(), F.concat(F.substring(value, 1, 10), F.lit("T00:00:00"), F.coalesce(stamp_part(value, 7), F.lit("Z"))))
+    return F.unix_micros(whole.try_cast("timestamp")).cast("double")
