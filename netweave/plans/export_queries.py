@@ -8,8 +8,8 @@ from netweave.functions import labels
 from netweave.operators import hydraulics
 from netweave.plans.fixtures import BASE, PIPES, net_nodes, net_pipes
 from netweave.plans.registry import query
-from netweave.session import table
-from netweave.sources import export
+from netweave.session import shared_path, table
+from netweave.sources import drawing, export
 from netweave.streaming import readings
 
 
@@ -31,6 +31,28 @@ def inp_lines(spark, sf_dir):
     return export.inp_lines(net_nodes(spark, sf_dir), sized, hydraulics.pick_source(pipes), 2.5, 111.7).select("section", "line")
 
 
+def _corners():
+    return F.array(F.array(*[F.struct(F.col(f"x{i}").alias("x"), F.col(f"y{i}").alias("y")) for i in (1, 2)]))
+
+
+@query("drawing_lines", f"WITH {BASE}, {PIPES} SELECT 'zone ' || cluster AS layer, x1, y1, x2, y2 FROM pipes")
+def drawing_lines(spark, sf_dir):
+    """All pipes as drawings, read back."""
+    path = shared_path(spark, "drawing")
+    lines = net_pipes(spark, sf_dir).select(F.concat(F.lit("zone "), "cluster").alias("layer"), _corners().alias("parts"), F.lit(None).cast("string").alias("Text"))
+    drawing.drawing_text(lines).write.text(path)
+    found = drawing.read_drawing(spark, path).withColumn("p", F.get("parts", F.lit(0)))
+    return found.select("layer", *[F.get("p", F.lit(i))[c].alias(f"{c}{i + 1}") for i in (0, 1) for c in "xy"])
+
+
+@query("wkt_lines", f"WITH {BASE}, {PIPES} SELECT link_id, 'LINESTRING (' || regexp_replace(CAST(x1 AS VARCHAR), '\\.0$', '') || ' ' || regexp_replace(CAST(y1 AS VARCHAR), '\\.0$', '') || ', ' || regexp_replace(CAST(x2 AS VARCHAR), '\\.0$', '') || ' ' || regexp_replace(CAST(y2 AS VARCHAR), '\\.0$', '') || ')' AS wkt, x1 AS first_x, 2 AS n_points FROM pipes")
+def wkt_lines(spark, sf_dir):
+    """All pipes as well-known text, and what is read from it."""
+    shapes = net_pipes(spark, sf_dir).select("link_id", drawing.to_wkt(F.lit("LineString"), _corners()).alias("wkt"))
+    points = F.get(drawing.from_wkt(F.col("wkt"))[1], F.lit(0))
+    return shapes.select("link_id", "wkt", F.get(points, F.lit(0))["x"].alias("first_x"), F.size(points).alias("n_points"))
+
+
 @query("observation_medians", "SELECT event_type AS property, 'U' || user_id AS station, date_trunc('minute', ts) AS start, quantile_cont(floor(value), 0.5) AS median, count(*) AS n FROM events GROUP BY ALL")
 def observation_medians(spark, sf_dir):
     return readings.medians(_readings(spark, sf_dir)).select("property", "station", "start", "median", "n")
