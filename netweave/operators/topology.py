@@ -83,14 +83,6 @@ def weld(lines: DataFrame, tolerance: float, line_id: str = "line_id", points: s
     return joined.withColumn(points, kept).filter(F.size(points) >= 2)
 
 
-def split_rings(lines: DataFrame, points: str = "points") -> DataFrame:
-    """A line that ends where it starts becomes two, cut at its middle vertex
-    or, if it has one step only, dropped with all lines of no length."""
-    ring, half = first_point(points) == last_point(points), F.ceil(F.size(points) / 2).cast("int")
-    parts = F.when(ring & (F.size(points) > 2), F.array(F.slice(points, F.lit(1), half), F.slice(points, half, F.size(points) - half + 1))).otherwise(F.array(points))
-    return lines.withColumn("part", F.explode(parts)).withColumn(points, F.col("part")).drop("part").filter(line_length(F.col(points)) > 0)
-
-
 def prune_dangles(links: DataFrame, least: float, rounds: int = 8, src: str = "node1", dst: str = "node2", length: str = "length_m") -> DataFrame:
     """Drops links shorter than least that have a free end, again while any is
     found, at most so many rounds."""

@@ -7,10 +7,10 @@ from functools import partial
 from pyspark.sql import functions as F
 
 from netweave.operators import placement
-from netweave.plans.fixtures import BASE, PIPES, memo, net_pipes
+from netweave.plans.fixtures import BASE, PIPES, memo, net_links, net_pipes
 from netweave.plans.placement_queries import FIGURES, RISKS, chosen
 from netweave.plans.registry import query
-from netweave.rdf import emit, profile, store, turtle
+from netweave.rdf import emit, profile, rules, store, turtle
 from netweave.rdf import vocabulary as V
 from netweave.rdf.sparql import sparql
 from netweave.session import shared_path, table
@@ -207,6 +207,32 @@ def infer_subclass_closure(spark, sf_dir):
     return profile.superclasses(spark)
 
 
+def _typed(who: str, what: str, source: str) -> str:
+    return f"SELECT '<{V.NS}' || {who} || '>' AS s, '<{V.NS}{what}>' AS type FROM {source}"
+
+
+_FOLLOWS = " UNION ".join([
+    *[_typed("'C' || node_id", c, "nodes") for c in ("Node", "NetworkElement")], _typed("'C' || node_id", "CandidateSensorNode", "chosen WHERE passed"), _typed("'C' || node_id", "InstrumentedNode", "stations"), _typed("'C' || node_id", "QualityCriticalNode", "nodes WHERE node_type = 'dead_end'"),
+    *[_typed("'P' || link_id", c, "pipes") for c in ("Link", "NetworkElement")], _typed("'S' || k", "Platform", "stations"), _typed("'R' || n_regionkey", "WaterDistributionNetwork", "nation"),
+    *[_typed(f"'{c}'", "PlacementCriterion", f"chosen WHERE {flag}") for flag, c in V.CRITERIA.items()], _typed("'S' || k || '_' || q", "Sensor", f"stations, (VALUES {', '.join(f'({chr(39)}{q}{chr(39)})' for q in V.SUITE)}) v(q) WHERE NOT (k % 17 = 0 AND q = 'Temperature')"),
+])
+
+
+@query("infer_types", ALL + f"SELECT DISTINCT s, type FROM ({_FOLLOWS})")
+def infer_types(spark, sf_dir):
+    """All types that follow by the vocabulary's rules and are not stated."""
+    found = rules.entail(triples(spark, sf_dir), rules.NETWORK)
+    return found.filter(F.col("p") == TYPE).select("s", F.col("o").alias("type"))
+
+
+@query("infer_feeds", f"WITH RECURSIVE {BASE}, walk AS (SELECT node1 AS a, node2 AS b FROM links UNION SELECT a, node2 FROM walk JOIN links ON b = node1) SELECT DISTINCT '<{V.NS}C' || a || '>' AS s, '<{V.NS}C' || b || '>' AS o FROM walk WHERE (a, b) NOT IN (SELECT node1, node2 FROM links)")
+def infer_feeds(spark, sf_dir):
+    """What each node feeds through others, if links run from node1 to node2."""
+    node = lambda c: F.concat(F.lit(f"<{V.NS}C"), c, F.lit(">"))
+    stated = net_links(spark, sf_dir).select(node("node1").alias("s"), F.lit(V.name("feeds")).alias("p"), node("node2").alias("o"))
+    return rules.entail(stated, rules.Rules(transitive=(V.name("feeds"),))).select("s", "o")
+
+
 @query("turtle_roundtrip", TRIPLES + "SELECT s, p, o FROM triples")
 def turtle_roundtrip(spark, sf_dir):
     path = shared_path(spark, "turtle")

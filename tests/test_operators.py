@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from netweave.functions import geometry, labels
-from netweave.operators import demand, georeference, hydraulics, noding, placement, spatial, topology, trees, zones
+from netweave.operators import cleaning, demand, georeference, hydraulics, noding, placement, spatial, topology, trees, zones
 from netweave.operators.components import connected_components
 from netweave.plans import fixtures, graph_queries
 from netweave.session import stored
@@ -114,8 +114,8 @@ def test_weld_and_rings(spark):
     got = {r.line_id: [(p.x, p.y) for p in r.points] for r in topology.weld(lines, 0.8).collect()}
     assert set(got) == {1, 2, 3} and got[1][1] == got[2][0] == got[3][0] == (10.2, -0.033) and got[3][1] == (10.0, 9.0)
     rings = spark.createDataFrame([(1, point((0, 0), (4, 0), (4, 4), (0, 0))), (2, point((1, 1), (1, 1))), (3, point((0, 0), (1, 0)))], "line_id long, points array<struct<x:double,y:double>>")
-    halves = [(r.line_id, [(p.x, p.y) for p in r.points]) for r in topology.split_rings(rings).collect()]
-    assert sorted(i for i, _ in halves) == [1, 1, 3] and all(p[0] != p[-1] for _, p in halves)
+    halves = [(r.line_id, [(p.x, p.y) for p in r.points]) for r in cleaning.halved_rings(rings).collect()]
+    assert sorted(i for i, _ in halves) == [1, 2, 3] and all(p[0] != p[-1] for _, p in halves)
 
 
 def test_noding_keeps_length(spark):
