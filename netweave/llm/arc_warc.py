@@ -265,7 +265,7 @@ def write_warc(records: DataFrame, path: str, file_bytes: int = 256 << 20) -> No
         for value in (v for batch in batches for v in batch.column(0)):
             if out is None:
                 done.append([f"part-{task}-{len(done):05d}.warc.gz", 0, 0])
-                out = files.open_output_stream(f"{inside}/{done[-1][0]}")
+                out = files.open_output_stream(f"{inside}/{done[-1][0]}", compression=None)
             member = gzip.compress(value.as_buffer().to_pybytes() + RECORD_END, LEVEL, mtime=0)
             out.write(member)
             done[-1][1] += 1

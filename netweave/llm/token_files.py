@@ -207,7 +207,7 @@ def write(df: DataFrame, id_col: str, text_col: str, folder: str, tokenizer_path
     content = dictionary(encoded)
     files, inside = opened(folder)
     files.create_dir(inside, recursive=True)
-    with files.open_output_stream(f"{inside}/dictionary") as out:
+    with files.open_output_stream(f"{inside}/dictionary", compression=None) as out:
         out.write(content)
     total = encoded.agg(F.sum(F.length("ids"))).first()[0] or 0
     shards = max(1, -(-total // (width * shard_ids)))
@@ -229,7 +229,7 @@ def write(df: DataFrame, id_col: str, text_col: str, folder: str, tokenizer_path
             if not batch.num_rows:
                 continue
             if out is None:
-                out = files.open_output_stream(f"{inside}/{name}")
+                out = files.open_output_stream(f"{inside}/{name}", compression=None)
                 out.write(struct.pack(HEADER, MAGIC, VERSION, width, hashlib.sha256(sent.value).digest()))
             rows = np.empty(batch.num_rows, INDEX)
             rows["id"], rows["null"] = pc.fill_null(batch.column(0), 0).to_numpy(), batch.column(0).is_null().to_numpy(zero_copy_only=False)
@@ -305,7 +305,7 @@ class Shard:
 
 def _content(folder: str) -> bytes:
     files, inside = opened(folder)
-    with files.open_input_stream(f"{inside}/dictionary") as found:
+    with files.open_input_stream(f"{inside}/dictionary", compression=None) as found:
         return found.read()
 
 

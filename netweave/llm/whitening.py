@@ -186,6 +186,8 @@ def identity_errors(found: DataFrame, models: dict[int, Model]) -> dict[int, flo
             for batch in batches:
                 dims = batch.column(0).to_numpy()
                 for at, y in _matrices(batch, 1, "float64"):
+                    if not y.shape[1]:
+                        continue  # no component has variance
                     for dim in np.unique(dims[at]):  # dimensions may share a number of components
                         sums[dim] = sums.get(dim, 0.0) + of(y[dims[at] == dim], int(dim)).ravel()
             for dim, total in sums.items():

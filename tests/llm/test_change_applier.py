@@ -73,6 +73,7 @@ def made(seed, size, hot):
 def test_equals_a_row_at_a_time(spark):
     rows = made(1, 700, 0.35)
     odd = [(None, "w1", 3, "I", 1, 1, "a", 1.0, 0, "x"), (9001, None, 3, "I", 1, 1, "a", 1.0, 0, "x"), (9002, "w1", None, "I", 1, 1, "a", 1.0, 0, "x"), (9003, "w1", 2, "I", None, 1, "a", 1.0, 0, "x"), (9004, "w1", 2, "I", 1, None, "a", 1.0, 0, "x"), (9005, "w2", 1, None, 7, -3, "a", 1.0, 0, "x"), (9006, "w3", 1, "I", 90, 77, "a", 1.0, 0, "x")]
+    odd += [(None, "gap", 1, "I", 1, 4, "a", 1.0, 0, "x"), (9007, "gap", 2, "U", 40, 4, "b", None, 0, "x")]  # held to the end
     rows += odd + rows[:60]  # repeated rows are one
     got, want = run(spark, rows), brute(rows, 4, 5)
     assert got == want
