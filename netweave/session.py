@@ -6,6 +6,8 @@ import atexit
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import lru_cache
 
 from pyspark import SparkContext
@@ -65,13 +67,27 @@ def shared_path(spark: SparkSession, label: str) -> str:
     return f"{_own_folder(shared_folder(spark), spark.sparkContext.applicationId)}/{label}-{uuid.uuid4().hex}"
 
 
+@contextmanager
+def brief_plans(spark: SparkSession, length: int = 8192) -> Iterator[None]:
+    """The driver keeps the text of every plan that has run; those of wide frames
+    are long, and long loops run many. In here only so many characters of each are kept."""
+    name = "spark.sql.maxPlanStringLength"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(length))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def stored(df: DataFrame, label: str = "stored", collect: bool = True) -> DataFrame:
     """df as a compressed table in the shared folder, which cuts its lineage: a
     lost executor costs what came after it. With collect the driver then collects its
     garbage, since Spark keeps the shuffle files of what is written until that
     happens."""
     path = shared_path(df.sparkSession, label)
-    df.write.option("compression", "zstd").parquet(path)
+    with brief_plans(df.sparkSession):
+        df.write.option("compression", "zstd").parquet(path)
     if collect:
         df.sparkSession.sparkContext._jvm.System.gc()
     return df.sparkSession.read.schema(df.schema).parquet(path)
