@@ -217,13 +217,13 @@ def weld_endpoints(spark, sf_dir):
     return topology.weld(chords(spark, sf_dir), 15.0)
 
 
-@query("split_rings", f"""WITH {BASE}, r AS (SELECT x, y, row_number() OVER (ORDER BY node_id) AS nr FROM nodes) SELECT 2 * nr - 1 AS line_id, x AS x1, y AS y1, x + 9 AS xm, y AS ym, x + 9 AS x2, y + 9 AS y2 FROM r UNION ALL SELECT 2 * nr, x + 9, y + 9, x, y + 9, x, y FROM r""")
+@query("split_rings", f"""WITH {BASE}, r AS (SELECT x, y, row_number() OVER (ORDER BY node_id) AS nr FROM nodes) SELECT 2 * nr - 1 AS line_id, round(x, 3) AS x1, round(y, 3) AS y1, round(x + 9, 3) AS xm, round(y, 3) AS ym, round(x + 9, 3) AS x2, round(y + 9, 3) AS y2 FROM r UNION ALL SELECT 2 * nr, round(x + 9, 3), round(y + 9, 3), round(x, 3), round(y + 9, 3), round(x, 3), round(y, 3) FROM r""")
 def split_rings(spark, sf_dir):
     """A square at each node, as two lines cut at half its length."""
     corner = lambda dx, dy: F.struct((F.col("x") + dx).alias("x"), (F.col("y") + dy).alias("y"))
     rings = net_nodes(spark, sf_dir).select(F.col("node_id").alias("line_id"), F.array(corner(0, 0), corner(9, 0), corner(9, 9), corner(0, 9), corner(0, 0)).alias("points"))
     halves = cleaning.halved_rings(rings)
-    return halves.select("line_id", *[F.get("points", F.lit(i))[c].alias(f"{c}{n}") for i, n in ((0, "1"), (1, "m"), (2, "2")) for c in "xy"])
+    return halves.select("line_id", *[F.round(F.get("points", F.lit(i))[c], 3).alias(f"{c}{n}") for i, n in ((0, "1"), (1, "m"), (2, "2")) for c in "xy"])
 
 
 @query("network_build")
