@@ -10,7 +10,7 @@ from netweave.plans.fixtures import BASE, PIPES, net_nodes, net_pipes
 from netweave.plans.registry import query
 from netweave.session import shared_path, table
 from netweave.sources import drawing, export
-from netweave.streaming import readings
+from netweave.streaming import readings, sampling
 
 
 @query("geojson_features", f"""WITH {BASE} SELECT '{{"type":"Feature","properties":{{"node_id":' || node_id || ',"degree":' || degree || ',"node_type":"' || node_type || '","deep":' || CAST(degree > 2 AS INTEGER) || '}},"geometry":{{"type":"Point","coordinates":[' || CAST(node_id AS DOUBLE) / 8 || ',' || CAST(degree AS DOUBLE) / 4 || ']}}}}' AS feature FROM nodes""")
@@ -68,6 +68,36 @@ def observation_breaches(spark, sf_dir):
     return readings.breaches(observation_medians(spark, sf_dir), ranges)
 
 
+#: Samples from clicks, their bursts of 21 (a pause of a day ends one) and ranges.
+_SAMPLES = """WITH s AS (SELECT 'C' || client_id AS station, kind AS property, ts, click_id AS sample, min(floor(value * 8)) AS value FROM clicks WHERE client_id IS NOT NULL AND kind IS NOT NULL AND ts IS NOT NULL AND click_id IS NOT NULL AND isfinite(value) GROUP BY ALL),
+  g AS (SELECT *, coalesce(epoch_us(ts) - epoch_us(lag(ts) OVER w) > 86400000000, TRUE) AS new FROM s WINDOW w AS (PARTITION BY station, property ORDER BY ts, sample)),
+  r AS (SELECT *, sum(CAST(new AS INTEGER)) OVER (PARTITION BY station, property ORDER BY ts, sample) AS run FROM g),
+  a AS (SELECT *, (row_number() OVER (PARTITION BY station, property, run ORDER BY ts, sample) - 1) // 21 AS burst FROM r),
+  b AS (SELECT station, property, min(ts) AS start, arg_min(sample, struct_pack(t := ts, s := sample)) AS sample, max(ts) AS "end", quantile_cont(value, 0.5) AS value, count(*) AS n FROM a GROUP BY station, property, run, burst)"""
+_IDLE = 86400.0
+
+
+def _samples(spark, sf_dir):
+    return table(spark, sf_dir, "clicks").select(F.concat(F.lit("C"), "client_id").alias("station"), F.col("kind").alias("property"), F.col("ts").cast("timestamp").alias("ts"), F.col("click_id").alias("sample"), F.floor(F.col("value") * 8).cast("double").alias("value"))
+
+
+@query("sample_bursts", f'{_SAMPLES} SELECT station, property, start, sample, "end", value, n FROM b')
+def sample_bursts(spark, sf_dir):
+    """Medians of 21 samples, as a station publishes them."""
+    return sampling.bursts(_samples(spark, sf_dir), _IDLE)
+
+
+@query("breach_episodes", f"""{_SAMPLES}, k(property, low, high) AS (VALUES ('click', 300.0, 420.0), ('view', NULL, 400.0), ('purchase', 300.0, NULL)),
+  j AS (SELECT b.*, CASE WHEN value < low THEN 'low' WHEN value > high THEN 'high' END AS side FROM b LEFT JOIN k USING (property)),
+  l AS (SELECT *, coalesce(side IS DISTINCT FROM lag(side) OVER w OR epoch_us(start) - epoch_us(lag("end") OVER w) > 86400000000, TRUE) AS new FROM j WINDOW w AS (PARTITION BY station, property ORDER BY start, sample)),
+  m AS (SELECT *, sum(CAST(new AS INTEGER)) OVER (PARTITION BY station, property ORDER BY start, sample) AS run FROM l)
+  SELECT station, property, min(start) AS start, max("end") AS "end", CASE side WHEN 'low' THEN min(value) ELSE max(value) END AS value, count(*) AS n, side FROM m WHERE side IS NOT NULL GROUP BY station, property, run, side""")
+def breach_episodes(spark, sf_dir):
+    """Runs of published readings that are out of range on one side."""
+    ranges = readings.permissible(spark, {"click": (300.0, 420.0), "view": (None, 400.0), "purchase": (300.0, None)})
+    return sampling.episodes(sample_bursts(spark, sf_dir), ranges, _IDLE)
+
+
 @query("network_report", f"WITH {BASE}, {PIPES} SELECT (SELECT count(*) FROM nodes) AS n_nodes, (SELECT count(*) FROM pipes) AS n_pipes, (SELECT CAST(sum(CAST(demand_lps AS DECIMAL(28,6))) AS DOUBLE) FROM nodes) AS demand_lps, (SELECT max(pressure_m) FROM nodes) AS pressure_max")
 def network_report(spark, sf_dir):
     nodes, pipes = net_nodes(spark, sf_dir), net_pipes(spark, sf_dir)
