@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from netweave.operators import demand, spatial
 from netweave.plans.fixtures import BASE, PIPES, net_links, net_nodes, net_pipes
 from netweave.plans.registry import query
-from netweave.session import table
+from netweave.session import shared_path, table
 
 RING = [(100.0, 100.0), (900.0, 150.0), (850.0, 900.0), (500.0, 450.0), (150.0, 800.0)]
 _D = "sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y))"
@@ -66,6 +66,15 @@ def _winding(x: str, y: str) -> str:
     return f"({' + '.join(parts)}) % 2 = 1 AND NOT ({' OR '.join(edge)})"
 
 
+def _within(x: str, y: str, far: float) -> str:
+    near = []
+    for (ax, ay), (bx, by) in zip(RING, RING[1:] + RING[:1], strict=True):
+        px, py = bx - ax, by - ay
+        t = f"greatest(0, least(1, (({x} - {ax}) * {px} + ({y} - {ay}) * {py}) / {px * px + py * py}::DOUBLE))"
+        near.append(f"({x} - {ax} - {t} * {px}) ** 2 + ({y} - {ay} - {t} * {py}) ** 2 <= {far * far}")
+    return f"({' OR '.join(near)})"
+
+
 @query("point_in_polygon", f"WITH {BASE} SELECT node_id FROM nodes WHERE {_winding('x', 'y')}")
 def point_in_polygon(spark, sf_dir):
     return net_nodes(spark, sf_dir).filter(spatial.in_polygon(F.col("x"), F.col("y"), RING)).select("node_id")
@@ -141,6 +150,41 @@ def raster_sample(spark, sf_dir):
     return layers.sample_raster(net_nodes(spark, sf_dir), dem, "node_id", (0.0, 1000.0), (25.0, 25.0), fill="constant", constant=5.0, offset=1.5)
 
 
+#: Heights by cells of 25 m, the mean of what stands there, cut out of tiles for RING and 40 m around it.
+_DEM = f"""WITH {BASE}, dem AS (SELECT CAST(floor((1000 - y) / 25) AS INTEGER) AS row, CAST(floor(x / 25) AS INTEGER) AS col, CAST(sum(CAST(elevation_m AS DECIMAL(28,6))) AS DOUBLE) / count(elevation_m) AS z FROM nodes GROUP BY ALL),
+  centred AS (SELECT *, (col + 0.5::DOUBLE) * 25 AS x, 1000 - (row + 0.5::DOUBLE) * 25 AS y FROM dem),
+  kept AS (SELECT row, col, z FROM centred WHERE {_winding('x', 'y')} OR {_within('x', 'y', 40)}) """
+
+
+def _prepared(spark, sf_dir, grid):
+    from netweave.operators.placement import exact_mean
+    from netweave.sources import raster
+
+    nodes = net_nodes(spark, sf_dir)
+    row, col = grid.place(F.col("x"), F.col("y"))
+    path = shared_path(spark, "dem")
+    raster.write_tiles(nodes.groupBy(row.alias("row"), col.alias("col")).agg(exact_mean("elevation_m").alias("z")), path, grid)
+    ground = spark.createDataFrame([("Polygon", [[(x, y) for x, y in RING]])], "geom_type string, parts array<array<struct<x:double,y:double>>>")
+    return raster.prepare(ground, path, grid, buffer=40.0)
+
+
+@query("raster_prepare", _DEM + "SELECT row, col, z FROM kept")
+def raster_prepare(spark, sf_dir):
+    from netweave.sources.raster import Grid
+
+    return _prepared(spark, sf_dir, Grid(0.0, 1000.0, 25.0, 25.0, 16))
+
+
+@query("raster_tile_sample", _DEM + "SELECT node_id, coalesce(z, -1) + 1.5::DOUBLE AS z, z IS NULL AS filled FROM nodes LEFT JOIN kept ON col = CAST(floor(x / 25) AS INTEGER) AND row = CAST(floor((1000 - y) / 25) AS INTEGER)")
+def raster_tile_sample(spark, sf_dir):
+    """All nodes on the raster that raster_prepare gives, written in tiles again."""
+    from netweave.sources import raster
+
+    grid, path = raster.Grid(0.0, 1000.0, 25.0, 25.0, 16), shared_path(spark, "prepared")
+    raster.write_tiles(_prepared(spark, sf_dir, grid), path, grid)
+    return raster.sample_tiles(net_nodes(spark, sf_dir), path, grid, "node_id", fill="constant", constant=-1.0, offset=1.5)
+
+
 @query("left_join_flags", "SELECT c_custkey, count(o_orderkey) AS n, max(o_totalprice) AS top FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY c_custkey")
 def left_join_flags(spark, sf_dir):
     customer, orders = table(spark, sf_dir, "customer"), table(spark, sf_dir, "orders")
