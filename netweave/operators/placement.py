@@ -5,6 +5,7 @@ windows; nothing leaves the cluster."""
 from __future__ import annotations
 
 from collections.abc import Sequence
+from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -63,8 +64,14 @@ def attrition(selected: DataFrame) -> DataFrame:
 
 
 def _fixed(value: Column, digits: int) -> Column:
-    """A figure with that many digits, rounded half up on its exact decimals."""
-    return F.format_string(f"%.{digits}f", value)
+    """A figure with that many digits, rounded half up on its first 12 decimals, as
+    CAST(x AS DECIMAL(28,12)) has them in the queries' SQL: 8727.05 is a little less
+    than it says, so with one digit it is 8727.0. Beyond 9 million 12 decimals say
+    nothing, and the shortest decimals of the figure are rounded."""
+    units = F.round(value * 1e12).try_cast("long")
+    rounded = F.floor((F.abs(units) + 5 * 10 ** (11 - digits)) / F.lit(Decimal(10 ** (12 - digits)))).cast("decimal(18,0)")
+    shown = (F.when(units < 0, -rounded).otherwise(rounded) * F.lit(Decimal(1).scaleb(-digits))).cast(f"decimal(22,{digits})").cast("string")
+    return F.when(F.abs(value) < 9e6, shown).otherwise(F.format_string(f"%.{digits}f", value))
 
 
 def reason(selected: DataFrame, low_percent: int = 20) -> Column:
