@@ -113,13 +113,115 @@ def network_trees(nodes: DataFrame, links: DataFrame, roots: DataFrame, peak: fl
     return rows.groupBy("network_id").applyInPandas(run, "network_id long, node_id long, depth int, parent long, link_id long, flow double")
 
 
+class Levels:
+    """Solves A h = right for the matrix of a network: on its diagonal what leaves a
+    node, off it what links two, and a node's own ground.
+
+    Dead ends are put aside again and again, each into its only neighbour; what is
+    left (the root, and loops) is laid in levels by links from the root. A link
+    stays in a level or leads to the next one, so elimination needs a level and its
+    neighbour at a time: time and memory follow the sum of squared widths, not the
+    square of the nodes. Built once; a solve takes the links' weights of a round."""
+
+    def __init__(self, n: int, a: np.ndarray, b: np.ndarray, root: int):
+        self.n, self.real = n, np.flatnonzero(a != b)
+        low, high = np.minimum(a, b)[self.real], np.maximum(a, b)[self.real]
+        keys, self.same = np.unique(low.astype(np.int64) * n + high, return_inverse=True)  # parallel links count as one
+        u, v = keys // n, keys % n
+        self.u, self.v, m = u, v, len(keys)
+        degree = np.bincount(u, minlength=n) + np.bincount(v, minlength=n)
+        only = np.zeros(n, np.int64)  # the exclusive or of a node's links: of a dead end its link
+        np.bitwise_xor.at(only, u, np.arange(m))
+        np.bitwise_xor.at(only, v, np.arange(m))
+        alive, there, self.turns = np.ones(m, bool), np.ones(n, bool), []
+        tips = np.flatnonzero(degree == 1)
+        while len(tips := tips[tips != root]):
+            links = only[tips]
+            up = u[links] + v[links] - tips
+            if not alive[links].all() or len(np.unique(links)) < len(links):
+                raise np.linalg.LinAlgError("a network must be connected")
+            self.turns.append((tips, links, up))
+            alive[links], there[tips], degree[tips] = False, False, 0
+            np.subtract.at(degree, up, 1)
+            np.bitwise_xor.at(only, up, links)
+            up = np.unique(up)
+            tips = up[degree[up] == 1]
+        self.links = np.flatnonzero(alive)
+        self._lay(u[self.links], v[self.links], there, root)
+
+    def _lay(self, u: np.ndarray, v: np.ndarray, there: np.ndarray, root: int) -> None:
+        heads, tails = np.concatenate([u, v]), np.concatenate([v, u])
+        order = np.argsort(heads, kind="stable")
+        tails, start = tails[order], np.searchsorted(heads[order], np.arange(self.n + 1))
+        level, self.levels, front = np.full(self.n, -1), [], np.array([root])
+        while len(front):
+            level[front] = len(self.levels)
+            self.levels.append(front)
+            sizes = start[front + 1] - start[front]
+            at = np.repeat(start[front] - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
+            front = np.unique(tails[at])
+            front = front[level[front] < 0]
+        if (level[there] < 0).any():
+            raise np.linalg.LinAlgError("a network must be connected")
+        place = np.zeros(self.n, np.int64)
+        for nodes in self.levels:
+            place[nodes] = np.arange(len(nodes))
+        width = np.array([len(x) for x in self.levels])
+        self.width, self.own = width, np.concatenate([[0], np.cumsum(width * width)])
+        self.next = np.concatenate([[0], np.cumsum(width[:-1] * width[1:])]).astype(np.int64)
+        nodes = np.flatnonzero(there)
+        self.nodes, self.at = nodes, self.own[level[nodes]] + place[nodes] * (width[level[nodes]] + 1)
+        self.inner = level[u] == level[v]
+        iu, iv = u[self.inner], v[self.inner]
+        self.in_at = [self.own[level[x]] + place[x] * width[level[x]] + place[y] for x, y in ((iu, iv), (iv, iu))]
+        ou, ov = u[~self.inner], v[~self.inner]
+        first, then = np.where(level[ou] < level[ov], ou, ov), np.where(level[ou] < level[ov], ov, ou)
+        self.out_at = self.next[level[first]] + place[first] * width[level[then]] + place[then]
+
+    def solve(self, weights: np.ndarray, ground: np.ndarray, right: np.ndarray) -> np.ndarray:
+        w = np.bincount(self.same, weights[self.real], len(self.u)) if len(self.u) else np.zeros(0)
+        diagonal = ground + np.bincount(self.u, w, self.n) + np.bincount(self.v, w, self.n)
+        right, heads, shares = right.copy(), np.zeros(self.n), []
+        for tips, links, up in self.turns:
+            share = w[links] / diagonal[tips]
+            shares.append(share)
+            np.subtract.at(diagonal, up, w[links] * share)
+            np.add.at(right, up, share * right[tips])
+        own, ahead = np.zeros(self.own[-1]), np.zeros(self.next[-1])
+        own[self.at] = diagonal[self.nodes]
+        left = w[self.links]
+        for at in self.in_at:
+            own[at] = -left[self.inner]
+        ahead[self.out_at] = -left[~self.inner]
+        done, take = [], None
+        for i, nodes in enumerate(self.levels):
+            k = self.width[i]
+            block, y = own[self.own[i] : self.own[i + 1]].reshape(k, k), right[nodes]
+            if take is not None:
+                block, y = block - take[0].T @ take[1], y - take[0].T @ take[2]
+            if i + 1 < len(self.levels):
+                link = ahead[self.next[i] : self.next[i + 1]].reshape(k, self.width[i + 1])
+                both = np.linalg.solve(block, np.column_stack([link, y]))
+                take = (link, both[:, :-1], both[:, -1])
+                done.append(take[1:])
+            else:
+                done.append((None, np.linalg.solve(block, y)))
+        for i in range(len(self.levels) - 1, -1, -1):
+            to, z = done[i]
+            heads[self.levels[i]] = z if to is None else z - to @ heads[self.levels[i + 1]]
+        for (tips, _, up), share in zip(reversed(self.turns), reversed(shares), strict=True):
+            heads[tips] = right[tips] / diagonal[tips] + share * heads[up]
+        return heads
+
+
 def solve_network(nodes: pd.DataFrame, pipes: pd.DataFrame, source, peak: float = 1.0, target: float = 15.0, tolerance: float = 1e-8, rounds: int = 100) -> tuple[np.ndarray, np.ndarray, float]:
     """Heads of nodes, flows of pipes (cubic metres a second, from node1 to
     node2) and the source's head, by the global gradient method: Newton steps
     on heads and flows together with Hazen-Williams losses.
 
     Demands are fixed, so heads move with the source's; the head at which the
-    smallest pressure is target is met by one shift.
+    smallest pressure is target is met by one shift. The steps' equations are solved
+    level by level (``Levels``).
     """
     place = {n: i for i, n in enumerate(nodes["node_id"])}
     n, a, b = len(place), pipes["node1"].map(place).to_numpy(), pipes["node2"].map(place).to_numpy()
@@ -131,18 +233,16 @@ def solve_network(nodes: pd.DataFrame, pipes: pd.DataFrame, source, peak: float
     demand = nodes["demand_lps"].to_numpy(float) / 1000 * peak
     flow = np.full(len(a), max(demand.sum(), 1e-6) / 10)
     heads = np.zeros(n + 1)
+    levels = Levels(n, a[:-1], b[:-1], place[source])
     for _ in range(rounds):
         step = 1 / (EXPONENT * resistance * np.maximum(np.abs(flow), 1e-7) ** (EXPONENT - 1))
         lag = flow / EXPONENT
-        matrix = np.zeros((n + 1, n + 1))
-        np.add.at(matrix, (a, a), step)
-        np.add.at(matrix, (b, b), step)
-        np.add.at(matrix, (a, b), -step)
-        np.add.at(matrix, (b, a), -step)
+        ground = np.zeros(n)
+        ground[place[source]] = step[-1]
         right = np.append(-demand, 0.0)
         np.add.at(right, a, -(flow - lag))
         np.add.at(right, b, flow - lag)
-        heads[:n] = np.linalg.solve(matrix[:n, :n], right[:n])
+        heads[:n] = levels.solve(step[:-1], ground, right[:n])
         new = flow - lag + step * (heads[a] - heads[b])
         moved, flow = np.abs(new - flow).sum() / max(np.abs(new).sum(), 1e-12), new
         if moved < tolerance:
