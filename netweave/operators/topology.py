@@ -143,13 +143,22 @@ def bridge_islands(links: DataFrame, nodes: DataFrame, max_gap: float, src: str
     It is found by rounds in which every group of components takes its shortest
     gap (Boruvka), a number of rounds that grows with the logarithm of the
     number of components. Connectors of trees without the largest are left out.
+
+    Of the components that meet at one place only the one with the smallest node
+    there looks further, and the others at that place are joined to it: any other
+    gap is the longest of a circle of gaps, so it is in no minimum spanning tree.
     """
-    from netweave.operators.spatial import radius_pairs
+    from netweave.operators.spatial import finite, radius_pairs
 
     labelled = nodes.join(connected_components(links, src, dst), nodes["node_id"] == F.col("node"), "left")
     found = cut(labelled.select("node_id", "x", "y", F.coalesce("component", "node_id").alias("component")))
-    of = found.select("node_id", "component")
-    near = radius_pairs(found.drop("component"), "node_id", max_gap).join(of.toDF("a", "u"), "a").join(of.toDF("b", "v"), "b").filter("u != v")
+    there = found.filter(finite("x", "y")).groupBy("x", "y", "component").agg(F.min("node_id").alias("node_id"))
+    first = cut(there.groupBy("x", "y").agg(F.min("node_id").alias("a"), F.min_by("component", "node_id").alias("u")))
+    of = first.select("a", "u")
+    near = radius_pairs(first, "a", max_gap).join(of, "a").join(of.toDF("b", "v"), "b").filter("u != v").select("a", "b", "distance", "u", "v")
+    if max_gap >= 0:
+        here = there.join(first, ["x", "y"]).filter("component != u")
+        near = near.union(here.select("a", F.col("node_id").alias("b"), F.lit(0.0).alias("distance"), "u", F.col("component").alias("v")))
     gaps = cut(near.groupBy(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).agg(F.min(F.struct("distance", "a", "b", F.least("u", "v").alias("cu"), F.greatest("u", "v").alias("cv"))).alias("gap")))
     chosen = gaps.limit(0).select("gap")
     while gaps.take(1):
