@@ -42,22 +42,42 @@ def radius_pairs(points: DataFrame, key: str, radius: float) -> DataFrame:
     return radius_join(own, own, radius).filter("l.id < r.id").select(F.col("l.id").alias("a"), F.col("r.id").alias("b"), "distance")
 
 
+def clusters(points: DataFrame, key: str, radius: float) -> DataFrame:
+    """(key, cluster): the smallest key among the points that a point is joined to
+    by steps of at most radius (0 or more). Points at one place are one from the
+    start; a point without a finite place is by itself."""
+    from netweave.operators.components import connected_components
+    from netweave.session import cut
+
+    own = points.select(F.col(key).alias("id"), "x", "y")
+    places = cut(own.filter(finite("x", "y")).groupBy("x", "y").agg(F.min("id").alias("id")))  # named by their smallest key
+    found = connected_components(radius_pairs(places, "id", radius), "a", "b")
+    named = places.join(found, places["id"] == found["node"], "left").select("x", "y", F.coalesce("component", "id").alias("cluster"))
+    return own.join(named, ["x", "y"], "left").select(F.col("id").alias(key), F.coalesce("cluster", "id").alias("cluster"))
+
+
 def neighbourhood_mean(points: DataFrame, key: str, value: str, radius: float) -> DataFrame:
     """(key, mean, n) of the values within the radius, its own included; a
-    radius of 0 or less leaves values as they are."""
+    radius of 0 or less leaves values as they are. What lies at one place is summed
+    first (as decimals, so the sums are the same), and places are joined, so heaps
+    of points at a place are not compared with each other."""
     own = points.select(F.col(key).alias("id"), "x", "y", F.col(value).cast("double").alias("v"))
     if radius <= 0:
         return own.select(F.col("id").alias(key), F.col("v").alias("mean"), F.lit(1).cast("long").alias("n"))
-    total = F.sum(F.col("r.v").cast("decimal(28,6)")).cast("double")
-    return radius_join(own, own, radius).groupBy(F.col("l.id").alias(key)).agg((total / F.count("r.v")).alias("mean"), F.count("*").alias("n"))
+    from netweave.session import cut
+
+    own = own.filter(finite("x", "y"))
+    places = cut(own.groupBy("x", "y").agg(F.sum(F.col("v").cast("decimal(28,6)")).alias("total"), F.count("v").alias("known"), F.count("*").alias("n")))
+    sums = radius_join(places.select("x", "y"), places, radius).groupBy("l.x", "l.y").agg((F.sum("r.total").cast("double") / F.sum("r.known")).alias("mean"), F.sum("r.n").alias("n"))
+    return own.join(sums, ["x", "y"]).select(F.col("id").alias(key), "mean", "n")
 
 
 def nearest_within(queries: DataFrame, targets: DataFrame, query_key: str, target_key: str, radius: float) -> DataFrame:
     """(query, target, distance): the nearest target at most radius away, of
-    equals the one with the smallest key; none without such a target."""
-    joined = radius_join(queries.select(F.col(query_key).alias("id"), "x", "y"), targets.select(F.col(target_key).alias("id"), "x", "y"), radius)
-    best = joined.groupBy(F.col("l.id").alias("query")).agg(F.min(F.struct("distance", F.col("r.id").alias("id"))).alias("best"))
-    return best.select("query", F.col("best.id").alias("target"), "best.distance")
+    equals the one with the smallest key; none without such a target. Found as the
+    nearest of all, so its cost follows how many rows there are and not how many
+    targets lie within the radius."""
+    return k_nearest(queries, targets, query_key, target_key, 1).filter(F.col("distance") <= radius).select("query", "target", "distance")
 
 
 def finite(*columns: str) -> Column:

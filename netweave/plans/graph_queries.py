@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from netweave.functions import labels
-from netweave.operators import cleaning, georeference, hydraulics, noding, topology, trees, zones
+from netweave.operators import cleaning, georeference, hydraulics, noding, spatial, topology, trees, zones
 from netweave.operators.components import connected_components
 from netweave.plans.fixtures import BASE, LADDER, PIPES, memo, net_links, net_nodes, net_pipes
 from netweave.plans.registry import query
@@ -102,11 +102,7 @@ def tree_flows(spark, sf_dir):
 @query("spatial_clusters")
 def spatial_clusters(spark, sf_dir):
     """All nodes, joined where 40 m apart at most; the tests compare all pairs."""
-    from netweave.operators.spatial import radius_pairs
-
-    nodes = net_nodes(spark, sf_dir).select("node_id", "x", "y")
-    found = connected_components(radius_pairs(nodes, "node_id", 40.0), "a", "b")
-    return nodes.join(found, nodes["node_id"] == found["node"], "left").select("node_id", F.coalesce("component", "node_id").alias("spatial_cluster"))
+    return spatial.clusters(net_nodes(spark, sf_dir), "node_id", 40.0).withColumnRenamed("cluster", "spatial_cluster")
 
 
 def roots(spark, sf_dir):
