@@ -162,9 +162,11 @@ class Compiler:
         """Pairs joined by one or more steps; each round makes and writes only new
         pairs, from the start where there is one."""
         steps = cut(steps)
+        if isinstance(start, str):
+            return self.reached_from(steps, start)
         first = steps
         if start is not None:
-            first = steps.filter(F.col("s") == start) if isinstance(start, str) else steps.join(start, "s", "left_semi")
+            first = steps.join(start, "s", "left_semi")
         new = cut(first)
         reached = new
         while new.take(1):
@@ -173,6 +175,32 @@ class Compiler:
             reached = reached.union(new)  # tables that are there already, one more each round
         return reached
 
+    def reached_from(self, steps: DataFrame, start: str) -> DataFrame:
+        """(s, o): what one term reaches. Of each term's steps one is kept, that to
+        the term with the fewest steps into it, and what kept steps lead to is found by
+        doubling: chains take a number of rounds that grows with the logarithm of
+        their length. Then all steps are taken from what was new, until nothing is."""
+        into = steps.groupBy("o").agg(F.count("*").alias("n"))
+        kept = steps.join(into, "o").groupBy("s").agg(F.min(F.struct("n", "o")).alias("best"))
+        jumps = [cut(kept.select("s", F.col("best.o").alias("o")))]
+        reached = None
+        new = cut(steps.filter(F.col("s") == start).select("o").distinct())
+        while new.take(1):
+            turn = 0
+            while True:  # new holds what fewer than 2 ** turn kept steps lead to
+                if turn == len(jumps):
+                    far = jumps[-1]
+                    jumps.append(cut(far.select("s", F.col("o").alias("m")).join(far.select(F.col("s").alias("m"), "o"), "m").select("s", "o")))
+                further = new.select(F.col("o").alias("s")).join(jumps[turn], "s").select("o").distinct().join(new, "o", "left_anti")
+                more = cut(further if reached is None else further.join(reached, "o", "left_anti"))
+                if not more.take(1):
+                    break
+                new, turn = cut(new.union(more)), turn + 1
+            reached = new if reached is None else cut(reached.union(new))
+            new = cut(new.select(F.col("o").alias("s")).join(steps, "s").select("o").distinct().join(reached, "o", "left_anti"))
+        found = new if reached is None else reached
+        return found.select(F.lit(start).alias("s"), "o")
+
     def pattern(self, s: tuple, p: tuple, o: tuple, known: Solutions | None = None) -> Solutions:
         """known: what was found before; a path that is walked on and on starts from
         the terms that a variable of its can still be."""

@@ -141,3 +141,19 @@ def test_reason_rounds_as_the_sql(spark):
     text = "CAST(round(CAST({0}::DOUBLE AS DECIMAL(28,12)), {1}) AS VARCHAR)"
     con = duckdb.connect()
     assert got == [con.execute(f"SELECT {text.format(repr(v), 1)}, {text.format(repr(v), 4)}").fetchone() for v in figures]
+
+
+def test_long_paths_take_few_rounds(spark, monkeypatch):
+    """A chain of 600 terms with chords and a circle: what one term reaches, in far
+    fewer tables than steps."""
+    from netweave.rdf import sparql as module
+
+    links = [(i, i + 1) for i in range(600)] + [(i, i + 35) for i in range(0, 100, 5)] + [(600, 590), (1000, 3)]
+    tables, real = [], module.cut
+    monkeypatch.setattr(module, "cut", lambda df: tables.append(1) or real(df))
+    graph = spark.createDataFrame([(f"<u:{a}>", "<u:to>", f"<u:{b}>") for a, b in links], "s string, p string, o string")
+    for start, want in ((1000, range(3, 601)), (595, range(590, 601))):
+        tables.clear()
+        got = module.sparql(graph, f"SELECT ?x WHERE {{ <u:{start}> <u:to>+ ?x }}").collect()
+        assert sorted(r.x for r in got) == sorted(f"u:{i}" for i in want)
+        assert len(tables) < 60
