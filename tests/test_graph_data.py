@@ -95,3 +95,14 @@ def test_stream(spark, tmp_path):
     assert [(r.station, r.property, r["median"], r.n, r.side) for r in spark.sql("select * from found").collect()] == [("S1", "pH", 9.0, 3, "high")]
     batch = readings.breaches(readings.medians(readings.parse_payload(spark.createDataFrame(rows, "payload string"))), readings.permissible(spark))
     assert batch.count() == 1
+
+
+def test_lost_probes_by_name(spark):
+    """Every 17th station's probe and no other term, and no number is cut out of
+    terms that are no probe: a cast of nothing cost more than making a triple."""
+    from netweave.plans.graph_data_queries import lost_probe, triples
+
+    terms = {"<http://example.org/net#S34_Temperature>": True, "<http://example.org/net#S0_Temperature>": True, "<http://example.org/net#S35_Temperature>": False, "<http://example.org/net#S34_pH>": False, "<http://example.org/net#SX_Temperature>": False, '"17"': False, "": False}
+    got = spark.createDataFrame([(t,) for t in terms], "s string").select("s", lost_probe("s").alias("lost")).collect()
+    assert {r.s: r.lost for r in got} == terms
+    assert "regexp_extract" not in triples.__closure__[0].cell_contents(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
