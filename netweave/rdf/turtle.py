@@ -26,12 +26,17 @@ from netweave.session import cut
 from netweave.sources.drawing import opened
 
 SPLIT, AHEAD = 8 << 20, 1 << 16
+#: Tasks at most that read ranges; with more ranges a task reads several.
+TASKS = 4096
 _NORMAL = re.compile(
     r"""\"\"\"|\'\'\'|"(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*'"""
     r"""|@?\b(?:[Pp][Rr][Ee][Ff][Ii][Xx])\s+(?P<name>[\w.-]*):\s*<(?P<space>[^<>]*)>\s*\.?|@?\b(?:[Bb][Aa][Ss][Ee])\s+<(?P<base>[^<>]*)>\s*\.?"""
     r"""|<[^<>\s]*>|\#[^\n]*|\.(?=[\s#]|\Z)"""
 )
 _LONG = {q: re.compile(rf"(?:[^{q}\\]++|\\.|{q}(?!{q}{q}))*+{q}{q}{q}", re.S) for q in "\"'"}
+_IRI = r"""<[^<>"{}|^`\\\s]*>"""
+#: A statement of one triple that names its terms in full, as most files that were written by programs have them.
+_PLAIN = re.compile(rf"""\s*({_IRI})\s+({_IRI})\s+({_IRI}|"(?:[^"\\\n\r]|\\.)*"(?:@[a-zA-Z]+(?:-\w+)*|\^\^{_IRI})?)\s*\.(?=\s|\Z)""")
 #: A range begins in none of the long strings, or in one of either kind.
 STATES = ("", '"', "'")
 
@@ -48,6 +53,10 @@ def scan(text: str, state: str, stop: int) -> tuple[list[tuple], str]:
                 return found, state
             at, state = closed.end(), ""
             continue
+        if (plain := _PLAIN.match(text, at)) and plain.end() <= stop:
+            at = plain.end()
+            found.append(("end", at - 1, at))
+            continue
         token = _NORMAL.search(text, at)
         if not token or token.start() >= stop:
             break
@@ -64,8 +73,13 @@ def scan(text: str, state: str, stop: int) -> tuple[list[tuple], str]:
 
 
 def _triples(text: str, prefixes: dict[str, str], base: str, mark: str) -> Iterator[tuple[str, str, str]]:
-    """The triples of statements that share their prefixes."""
-    parser = Parser(text, prefixes)
+    """The triples of statements that share their prefixes. Plain statements are
+    taken as they stand, up to the first that is not."""
+    at = 0
+    while not base and (plain := _PLAIN.match(text, at)):
+        at = plain.end()
+        yield plain.groups()
+    parser = Parser(text[at:], prefixes)
     parser.base = base
 
     def term(part: tuple) -> str:
@@ -141,7 +155,9 @@ def read_turtle(spark: SparkSession, path: str, split_bytes: int = SPLIT) -> Dat
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", F.col("length").alias("size")).filter("size > 0")
     last = F.floor((F.col("size") - 1) / split_bytes)
     ranges = files.select("path", "size", F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("split"))
-    ranges = cut(ranges.repartition(F.col("path"), F.col("split")))
+    ranges = cut(ranges)
+    tasks = max(1, min(TASKS, ranges.count()))
+    dealt = lambda df: df.repartitionByRange(tasks, "path", "split")  # noqa: E731  so many, or adaptive execution makes one task of rows this small
 
     def looked(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
@@ -186,9 +202,9 @@ def read_turtle(spark: SparkSession, path: str, split_bytes: int = SPLIT) -> Dat
                     found[c] = found[c].str.replace(r"^_:", f"_:{mark}", regex=True)
                 yield found
 
-    known = ranges.mapInPandas(looked, "path string, size long, split long, ways string")
+    known = dealt(ranges).mapInPandas(looked, "path string, size long, split long, ways string")
     begun = cut(known.groupBy("path").applyInPandas(told, "path string, size long, split long, begins string"))
-    return begun.repartition(F.col("path"), F.col("split")).mapInPandas(read, "s string, p string, o string").distinct()
+    return dealt(begun).mapInPandas(read, "s string, p string, o string").distinct()
 
 
 def turtle_lines(triples: DataFrame) -> DataFrame:

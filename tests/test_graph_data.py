@@ -106,3 +106,26 @@ def test_lost_probes_by_name(spark):
     got = spark.createDataFrame([(t,) for t in terms], "s string").select("s", lost_probe("s").alias("lost")).collect()
     assert {r.s: r.lost for r in got} == terms
     assert "regexp_extract" not in triples.__closure__[0].cell_contents(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_turtle_ranges_are_dealt_out(spark, tmp_path):
+    """A task for each range: adaptive execution made one task of all."""
+    rows = [(f"<http://e/{i}>", "<http://e/p>", f'"text {i}"@en') for i in range(3000)]
+    turtle.write_turtle(spark.createDataFrame(rows, "s string, p string, o string").coalesce(1), str(tmp_path / "t"))
+    read = turtle.read_turtle(spark, str(tmp_path / "t"), split_bytes=8192)
+    files = read.sparkSession.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("turtle", "turtle")
+    assert sorted(map(tuple, read.collect())) == sorted(rows)
+    stages = [files.getStageInfo(i) for job in files.getJobIdsForGroup("turtle") for i in files.getJobInfo(job).stageIds]
+    assert max(s.numTasks for s in stages if s) > 8
+
+
+def test_plain_statements_are_read_as_any(spark):
+    """Plain statements, and ones that only look like them, as the parser has them."""
+    plain = '<http://e/a> <http://e/p> "x \\" . y"^^<http://e/t> .\n<http://e/a> <http://e/p> <http://e/b>.\n<http://e/a> <http://e/p> "z"@en-GB .\n'
+    odd = '<http://e/c> <http://e/p> <http://e/d> , """a . b""" . # <http://e/x> <http://e/y> <http://e/z> .\n<http://e/c> a "v" .\n' + plain
+    got = list(turtle.parse_turtle(plain + odd))
+    first = [("<http://e/a>", "<http://e/p>", '"x \\" . y"^^<http://e/t>'), ("<http://e/a>", "<http://e/p>", "<http://e/b>"), ("<http://e/a>", "<http://e/p>", '"z"@en-GB')]
+    more = [("<http://e/c>", "<http://e/p>", "<http://e/d>"), ("<http://e/c>", "<http://e/p>", '"a . b"'), ("<http://e/c>", "<http://www.w3.org/1999/02/22-rdf-syntax-ns#type>", '"v"')]
+    assert got == [*first, *more, *first]
+    assert turtle._PLAIN.match(plain) and len(turtle.scan(plain, "", len(plain))[0]) == 3
