@@ -40,19 +40,20 @@ def network_service_area(cells: DataFrame, pipes: DataFrame, ring: list[tuple[fl
     """The cells inside the boundary and within reach of a pipe (x1, y1, x2,
     y2), anywhere along it. If there are none, all cells inside the boundary.
 
-    Points along each pipe, at most reach apart, are posted to the squares
-    around them; a cell is compared with the pipes posted to its own square."""
+    Cells are posted to the squares around their own, and points along each pipe,
+    at most reach apart, meet the cells posted to theirs; pipes, which are many,
+    are not repeated for the squares around them."""
     inside = cells.filter(in_polygon(F.col("x"), F.col("y"), ring)) if ring else cells
     side = 1.25 * reach  # what is within reach of a pipe is in a square next to one of its points
     dx, dy = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")
     steps = F.greatest(F.ceil(F.sqrt(dx * dx + dy * dy) / reach), F.lit(1))
     along = pipes.select("x1", "y1", "x2", "y2").distinct().withColumn("n", steps).withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n"))))
     share = F.col("i") / F.col("n")
-    around = F.array(*[F.struct((F.floor((F.col("x1") + share * dx) / side) + i).alias("cx"), (F.floor((F.col("y1") + share * dy) / side) + j).alias("cy")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
-    posted = along.select("x1", "y1", "x2", "y2", F.explode(around).alias("at")).select("x1", "y1", "x2", "y2", "at.cx", "at.cy").distinct()
-    placed = inside.withColumn("cx", F.floor(F.col("x") / side)).withColumn("cy", F.floor(F.col("y") / side))
+    points = along.select("x1", "y1", "x2", "y2", F.floor((F.col("x1") + share * dx) / side).alias("cx"), F.floor((F.col("y1") + share * dy) / side).alias("cy"))
+    around = F.array(*[F.struct((F.floor(F.col("x") / side) + i).alias("cx"), (F.floor(F.col("y") / side) + j).alias("cy")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
+    placed = inside.select("cell", "x", "y", F.explode(around).alias("at")).select("cell", "x", "y", "at.cx", "at.cy")
     near = segment_distance(*[F.col(c) for c in ("x", "y", "x1", "y1", "x2", "y2")]) <= reach
-    served = placed.join(posted, ["cx", "cy"]).filter(near).select("cell").distinct()
+    served = points.join(placed, ["cx", "cy"]).filter(near).select("cell").distinct()
     found = inside.join(served, "cell", "left_semi")
     return found if found.take(1) else inside
 

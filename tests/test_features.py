@@ -138,3 +138,14 @@ def test_plans_of_patterns(spark):
     back = ask("SELECT ?x WHERE { ?x n:next+ n:4 }")
     assert sorted(r.x for r in back.collect()) == [f"{n}{i}" for i in range(4)]
     assert ask("SELECT ?x WHERE { ?x n:next* n:2 }").count() == 3 and ask("SELECT ?x WHERE { ?x (n:next/n:next)+ n:4 }").count() == 2
+
+
+def test_service_area_does_not_repeat_pipes(spark):
+    """A pipe's points were posted to nine squares each; cells are now."""
+    from pyspark.sql import functions as F
+
+    pipes = spark.range(50).select(F.col("id").cast("double").alias("x1"), F.lit(0.0).alias("y1"), F.col("id").cast("double").alias("x2"), F.lit(90.0).alias("y2"))
+    cells = demand.grid_points(spark, (0.0, 0.0, 100.0, 100.0), 10.0)
+    plan = demand.network_service_area(cells, pipes, None, 5.0)._jdf.queryExecution().optimizedPlan().toString()
+    posted = [line for line in plan.split("\n") if "Generate explode(" in line and "struct" in line and "array" in line]
+    assert posted and not any("x1" in line for line in posted), plan
