@@ -98,12 +98,11 @@ def pieces(edges: DataFrame, size: float) -> DataFrame:
     return cut(once.withColumn("id", F.monotonically_increasing_id()))
 
 
-def overlay(edges: DataFrame, size: float, rule: Callable[[Column, Column], Column], parity: bool = False) -> DataFrame:
-    """The area (plane, ax, ay, bx, by) of the ground that the rule takes.
-
-    edges: plane, layer (0 or 1), ax, ay, bx, by. rule: of the two layers' numbers
-    whether ground is inside; with parity the numbers are 0 and 1 by the
-    even-odd rule, whichever way edges run."""
+def counted(edges: DataFrame, size: float, parity: bool = False) -> DataFrame:
+    """(plane, ax, ay, bx, by, l0, l1, r0, r1): the pieces of edges (plane, layer
+    0 or 1, ax, ay, bx, by), with each layer's number of the ground at the left and
+    at the right. With parity the numbers are 0 and 1 by the even-odd rule,
+    whichever way edges run. Any number of rules can be asked of it."""
     found = pieces(edges, size)
     if parity:
         found = found.withColumn("w0", F.col("n0")).withColumn("w1", F.col("n1"))
@@ -113,12 +112,26 @@ def overlay(edges: DataFrame, size: float, rule: Callable[[Column, Column], Colu
     upright = F.col("ax") == F.col("bx")
     number = (lambda n: F.pmod(n, F.lit(2))) if parity else (lambda n: n)
     # what was counted is the ground above the piece, or right of an upright one
-    left = [number(F.when(upright, F.col(f"s{i}") + F.col(f"w{i}")).otherwise(F.col(f"s{i}"))) for i in (0, 1)]
-    right = [number(F.when(upright, F.col(f"s{i}")).otherwise(F.col(f"s{i}") - F.col(f"w{i}"))) for i in (0, 1)]
-    told = known.withColumn("left", rule(*left)).withColumn("right", rule(*right)).filter(F.col("left") != F.col("right"))
+    left = [number(F.when(upright, F.col(f"s{i}") + F.col(f"w{i}")).otherwise(F.col(f"s{i}"))).alias(f"l{i}") for i in (0, 1)]
+    right = [number(F.when(upright, F.col(f"s{i}")).otherwise(F.col(f"s{i}") - F.col(f"w{i}"))).alias(f"r{i}") for i in (0, 1)]
+    return known.select("plane", "ax", "ay", "bx", "by", *left, *right)
+
+
+def ruled(known: DataFrame, rule: Callable[[Column, Column], Column]) -> DataFrame:
+    """The area (plane, ax, ay, bx, by) that a rule takes of what ``counted`` gives."""
+    told = known.withColumn("left", rule(F.col("l0"), F.col("l1"))).withColumn("right", rule(F.col("r0"), F.col("r1"))).filter(F.col("left") != F.col("right"))
     return told.select("plane", *[F.when(F.col("left"), F.col(p)).otherwise(F.col(q)).alias(p) for p, q in (("ax", "bx"), ("ay", "by"), ("bx", "ax"), ("by", "ay"))])
 
 
+def overlay(edges: DataFrame, size: float, rule: Callable[[Column, Column], Column], parity: bool = False) -> DataFrame:
+    """The area (plane, ax, ay, bx, by) of the ground that the rule takes.
+
+    edges: plane, layer (0 or 1), ax, ay, bx, by. rule: of the two layers' numbers
+    whether ground is inside; with parity the numbers are 0 and 1 by the
+    even-odd rule, whichever way edges run."""
+    return ruled(counted(edges, size, parity), rule)
+
+
 def even_odd(edges: DataFrame, size: float) -> DataFrame:
     """The area of rings drawn any way round, holes and islands by the even-odd rule."""
     return overlay(edges.withColumn("layer", F.lit(0)), size, lambda a, b: a > 0, parity=True)
@@ -138,8 +151,12 @@ RULES: dict[str, Callable[[Column, Column], Column]] = {
 
 def combined(one: DataFrame, two: DataFrame, how: str, size: float) -> DataFrame:
     """Union, intersection or difference of two areas, plane by plane."""
-    both = one.select("plane", F.lit(0).alias("layer"), "ax", "ay", "bx", "by").unionByName(two.select("plane", F.lit(1).alias("layer"), "ax", "ay", "bx", "by"))
-    return overlay(both, size, RULES[how])
+    return overlay(layered(one, two), size, RULES[how])
+
+
+def layered(one: DataFrame, two: DataFrame) -> DataFrame:
+    """Two areas as the layers 0 and 1."""
+    return one.select("plane", F.lit(0).alias("layer"), "ax", "ay", "bx", "by").unionByName(two.select("plane", F.lit(1).alias("layer"), "ax", "ay", "bx", "by"))
 
 
 def area(edges: DataFrame) -> DataFrame:
@@ -151,8 +168,14 @@ def area(edges: DataFrame) -> DataFrame:
 def overlap(one: DataFrame, two: DataFrame, size: float) -> DataFrame:
     """(plane, intersection, union, iou) of two areas; planes that have
     neither are left out."""
-    parts = {how: area(combined(one, two, how, size)).withColumnRenamed("area", how) for how in ("union", "intersection")}
-    joined = parts["union"].join(parts["intersection"], "plane", "left").withColumn("intersection", F.coalesce("intersection", F.lit(0.0)))
+    known = counted(layered(one, two), size)  # once, for both rules
+    half = ((F.col("ax") * F.col("by") - F.col("bx") * F.col("ay")) / 2).cast("decimal(38,6)")
+
+    def size_of(how: str) -> Column:
+        left, right = RULES[how](F.col("l0"), F.col("l1")), RULES[how](F.col("r0"), F.col("r1"))
+        return F.sum(F.when(left & ~right, half).when(right & ~left, -half)).cast("double").alias(how)
+
+    joined = known.groupBy("plane").agg(size_of("union"), size_of("intersection")).filter(F.col("union").isNotNull()).withColumn("intersection", F.coalesce("intersection", F.lit(0.0)))
     return joined.select("plane", "intersection", "union", F.when(F.col("union") > 0, F.col("intersection") / F.col("union")).otherwise(0.0).alias("iou"))
 
 

@@ -100,3 +100,13 @@ def test_doubling_takes_few_rounds(spark, monkeypatch):
     assert got == [*((i, 3, i - 3) for i in range(3, 10)), (20, 20, 0), (30, 30, 0), (31, 30, 1)]
     odd = spark.createDataFrame([(1, 99), (2, 1), (3, None)], "id long, next long")
     assert sorted(tuple(r) for r in doubling.to_the_end(odd).collect()) == [(1, 1, 0), (2, 1, 1), (3, 3, 0)]
+
+
+def test_overlap_cuts_edges_once(spark, monkeypatch):
+    """Union and intersection are asked of the same pieces."""
+    calls, whole = [], overlay.pieces
+    monkeypatch.setattr(overlay, "pieces", lambda *a: calls.append(1) or whole(*a))
+    edge = "plane long, ax double, ay double, bx double, by double"
+    box = lambda x: [(1, x, 0.0, x + 2, 0.0), (1, x + 2, 0.0, x + 2, 1.0), (1, x + 2, 1.0, x, 1.0), (1, x, 1.0, x, 0.0)]
+    (found,) = overlay.overlap(spark.createDataFrame(box(0.0), edge), spark.createDataFrame(box(1.0), edge), 2.0).collect()
+    assert (found.intersection, found.union, len(calls)) == (1.0, 3.0, 1)
