@@ -1,3 +1,4 @@
+import collections
 import random
 import zlib
 
@@ -89,6 +90,78 @@ def test_a_batch_without_rows_ticks(spark):
     assert sorted((r.id, r.status, r.batch, r.missed, r.v0, r.v1, r.current) for r in found) == [(1, "applied", 1, 0, "x", 1.0, False), (3, "applied", 3, 1, "x", 3.0, True), (4, "applied", 2, 0, "z", 1.0, True)]
 
 
+class Store:
+    """A state variable of one bucket, and how often it was called."""
+
+    def __init__(self):
+        self.rows, self.calls = {}, 0
+
+    def _called(self, f, *a):
+        self.calls += 1
+        return f(*a)
+
+    def get(self):
+        return self._called(self.rows.get, None)
+
+    def update(self, value):
+        self._called(self.rows.__setitem__, None, value)
+
+    def getValue(self, key):
+        return self._called(self.rows.get, key)
+
+    def updateValue(self, key, value):
+        self._called(self.rows.__setitem__, key, value)
+
+    def removeKey(self, key):
+        self._called(self.rows.pop, key)
+
+
+def fed(rows, batches, patience):
+    """What an Applier of one bucket makes of rows, and its calls to the store by batch."""
+    Row = collections.namedtuple("Row", "client lead id n day op v0 v1 batch clock bucket")
+    rank = {who: {s: i + 1 for i, s in enumerate(sorted({r[2] for r in rows if r[1] == who}))} for who in {r[1] for r in rows}}
+    stores, out, calls, latest = {"heads": Store(), "pages": Store()}, [], [], None
+    for b in range(1, batches + 2):
+        applier = c.Applier("string", "long", ["string", "double"], patience)
+        applier.heads, applier.pages = stores["heads"], stores["pages"]
+        clock, before = c.END_OF_TIME if b > batches else latest, sum(s.calls for s in stores.values())
+        now, first = sorted((r for r in rows if r[5] == b), key=lambda r: (r[4], r[0])), {}
+        for r in now:
+            first.setdefault((r[1], r[2]), r)
+        ticks = [Row(who, True, None, None, None, None, None, None, b, clock, 0) for who in rank if clock is not None]
+        given = ticks + [Row(r[1], True, r[0], rank[r[1]][r[2]], r[4], r[3], r[6], r[7], b, clock, 0) for r in first.values()]
+        rest = [Row(r[1], False, r[0], rank[r[1]][r[2]], r[4], r[3], r[6], r[7], b, clock, -1) for r in now if first[r[1], r[2]] is not r]
+        out += [tuple(r) for r in applier.handleInputRows((0,), iter(given), None)] + [tuple(r) for r in applier.handleInputRows((-1,), iter(rest), None)]
+        calls.append(sum(s.calls for s in stores.values()) - before)
+        latest = max([r[4] for r in now] + ([latest] if latest is not None else []), default=None)
+    return sorted(((i, who, n, status, b, missed, *v) for i, who, n, op, status, b, missed, *v in out), key=str), calls
+
+
+def test_the_store_is_not_called_for_each_client():
+    rows = made(3, 3000, 0.05)
+    found, calls = fed(rows, 4, 5)
+    assert found == sorted((r[:-1] for r in brute(rows, 4, 5)), key=str)
+    assert max(calls) <= 2
+
+
+def test_many_held_rows_lie_in_pages(monkeypatch):
+    monkeypatch.setattr(c, "INLINE", 3)
+    monkeypatch.setattr(c, "PAGE", 4)
+    monkeypatch.setattr(c, "MEMORY", 6)
+    monkeypatch.setattr(c, "PIECE", 50)
+    for seed in range(20):
+        rows = made(seed, 600, 0.35)
+        assert fed(rows, 4, 5)[0] == sorted((r[:-1] for r in brute(rows, 4, 5)), key=str)
+
+
+def test_one_client_holds_thousands(spark):
+    """Number 1 comes last; until then all others are held."""
+    rows = [(i, "hot", i, "U", 1 + i % 3, 1 + i % 2, "a", float(i), 0, "x") for i in range(2, 1500, 2)] + [(1, "hot", 1, "I", 2, 3, "b", 0.5, 0, "x")]
+    assert run(spark, rows, patience=99) == brute(rows, 4, 99)
+    late = [(*r[:4], r[4] + 40 * (r[5] > 1), *r[5:]) for r in rows]
+    assert run(spark, late, patience=3) == brute(late, 4, 3)
+
+
 def test_empty(spark):
     assert run(spark, []) == []
 
