@@ -75,3 +75,18 @@ def test_long_chain_takes_few_rounds(spark, monkeypatch):
     top = spark.createDataFrame([(0,)], "node_id long")
     got = {r.node_id: r.depth for r in trees.depths(df, top).collect()}
     assert got == {i: i for i in range(10_000)} and len(rounds) < 20
+
+
+@pytest.mark.parametrize("block", [150, 1 << 18])
+def test_loops_upon_loops_are_walked_in_blocks(spark, monkeypatch, block):
+    """A ladder of 100 rungs, which is neither raked nor compressed: a round a
+    block, not a round a link."""
+    links = [(i, i, i + 2) for i in range(198)] + [(1000 + i, i, i + 1) for i in range(0, 200, 2)] + [(2000, 900, 901)]
+    rounds, real = [], trees._walked
+    monkeypatch.setattr(trees, "release", lambda df: rounds.append(1))
+    monkeypatch.setattr(trees, "_walked", lambda edges, parts, fixed, _: real(edges, parts, fixed, block))
+    want = {n: d for n, (d, _, _) in brute(links, [0, 130, 990]).items()}
+    df = spark.createDataFrame(links, "link_id long, node1 long, node2 long")
+    got = {r.node_id: r.depth for r in trees.depths(df, spark.createDataFrame([(0,), (130,), (990,)], "node_id long")).collect()}
+    assert got == want
+    assert len(rounds) <= 3 * (2 if block > 150 else 8)
