@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from netweave.llm import decontaminate, line_dedup, quality, similar_documents, source_mix
-from netweave.session import shared_path, table
+from netweave.session import brief_plans, shared_path, table
 
 ORACLE_SQL = None
 
@@ -62,6 +62,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
         path = shared_path(spark, name)
-        stage(spark, docs, sf_dir).write.parquet(path)
+        kept = stage(spark, docs, sf_dir)
+        with brief_plans(spark):
+            kept.write.parquet(path)
         docs = spark.read.parquet(path)
     return docs

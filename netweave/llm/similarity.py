@@ -79,11 +79,13 @@ def _sketched(end: str) -> list[Column]:
 
 
 def _possible(similarity: float) -> Column:
-    """Whether the sketches of src and dst allow the similarity."""
-    only = lambda a, b: reduce(Column.__add__, [F.bit_count(F.col(f"{a}_w{k}").bitwiseAND(F.bitwise_not(f"{b}_w{k}"))) for k in range(WORDS)])
-    left, right = only("src", "dst"), only("dst", "src")
-    shared = F.least(F.col("src_size") - left, F.col("dst_size") - right)
-    return shared + SLACK >= similarity * (shared + left + right)
+    """Whether the sketches of src and dst allow the similarity: sets are that
+    similar if what only one of them has is no more than a part of their sizes,
+    and it is at least as much as the bits that differ. Half of the words rule
+    most pairs out."""
+    differ = lambda words: reduce(Column.__add__, [F.bit_count(F.col(f"src_w{k}").bitwiseXOR(F.col(f"dst_w{k}"))) for k in words])
+    most = (F.col("src_size") + F.col("dst_size")) * ((1 - similarity) / (1 + similarity)) + SLACK
+    return (differ(range(WORDS // 2)) <= most) & (differ(range(WORDS)) <= most)
 
 
 def left_over(members: DataFrame, reached: DataFrame) -> DataFrame:

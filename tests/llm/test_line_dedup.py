@@ -138,3 +138,41 @@ def test_few_places_agree(spark):
     assert len(grams(lines[0]) & grams(lines[1])) >= 0.8 * len(grams(lines[0]) | grams(lines[1]))
     df = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
     assert sum(x.n_kept for x in d.line_report(df, "doc_id", "text").collect()) == 1
+
+
+def test_writes_leave_no_shuffle_files(spark):
+    """What is stored has no use for its shuffles; they go at once, not after the next write."""
+    from netweave.session import stored
+
+    manager = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def files():
+        found = manager.getAllFiles()
+        return {name for i in range(found.size()) if (name := found.apply(i).getName()).startswith("shuffle_")}
+
+    before = files()
+    stored(spark.range(20_000).selectExpr("xxhash64(id) AS x").distinct())
+    assert not files() - before
+
+
+def test_bits_that_differ_rule_no_similar_pair_out(spark):
+    """Sets with sizes and bitmaps: pairs at the similarity or above stay, most others go."""
+    import random
+
+    from pyspark.sql import functions as F
+
+    from netweave.llm import similarity as near
+
+    draw, rows = random.Random(3), []
+    for i in range(300):
+        n, extra = draw.randrange(1, 120), draw.randrange(0, 60)
+        a = [draw.getrandbits(63) for _ in range(n)]
+        b = [x for x in a if draw.random() > 0.1] + [draw.getrandbits(63) for _ in range(extra)]
+        rows += [(i, "src", x) for x in a] + [(i, "dst", x) for x in b or a]
+    df = spark.createDataFrame(rows, "id int, side string, element long")
+    made = df.groupBy("id", "side").agg(F.count("*").alias("size"), *near.sketch(), F.collect_list("element").alias("all"))
+    one, two = (made.filter(F.col("side") == end).select("id", *[F.col(c).alias(f"{end}_{c}") for c in ("size", "all", *(f"w{k}" for k in range(near.WORDS)))]) for end in ("src", "dst"))
+    got = one.join(two, "id").select("id", "src_all", "dst_all", near._possible(0.8).alias("possible")).collect()
+    alike = {r.id: len({*r.src_all} & {*r.dst_all}) / len({*r.src_all} | {*r.dst_all}) for r in got}
+    assert len(got) == 300 and all(r.possible for r in got if alike[r.id] >= 0.8)
+    assert sum(r.possible for r in got if alike[r.id] < 0.7) < 0.1 * len(got)
