@@ -108,3 +108,12 @@ def test_network_build_is_one_network(spark):
         assert r.length_m > 0 and r.node1 != r.node2
         root[find(r.node1)] = find(r.node2)
     assert len({find(i) for i in root}) == 1
+
+
+def test_lines_drawn_many_times_are_cut_once(spark, monkeypatch):
+    """60 equal squares, half of them drawn the other way round: four segments are compared, not 240."""
+    seen, real = [], noding.crossings
+    monkeypatch.setattr(noding, "crossings", lambda segs, size: seen.append(segs.count()) or real(segs, size))
+    ring = [(0, 0), (9, 0), (9, 9), (0, 9), (0, 0)]
+    got = noding.node(noding.segments(lines(spark, *[ring, ring[::-1]] * 30, [(4, 4), (12, 4)])), 10.0).collect()
+    assert seen == [5] and len(got) == 7
